@@ -1,6 +1,6 @@
 """Queries of the operators and the SQL that must return the same rows."""
 
-from ledgerlens.llm import simhash
+from ledgerlens.llm import decontam, simhash
 
-QUERIES = {"op3_simhash": simhash.query}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_decontamination": decontam.query, "op3_simhash": simhash.query}
+ORACLE: dict[str, str] = {"op1_decontamination": decontam.SQL}
