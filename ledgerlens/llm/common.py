@@ -25,6 +25,7 @@ def lower_ascii(text: Column) -> Column:
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:

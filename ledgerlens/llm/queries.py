@@ -1,6 +1,12 @@
 """Queries of the operators and the SQL that must return the same rows."""
 
-from ledgerlens.llm import decontam, simhash
+from ledgerlens.llm import bpe, decontam, media, records, simhash
 
-QUERIES = {"op1_decontamination": decontam.query, "op3_simhash": simhash.query}
+QUERIES = {
+    "op1_decontamination": decontam.query,
+    "op2_media": media.query,
+    "op3_simhash": simhash.query,
+    "op6_bpe": bpe.query,
+    "op7_records": records.query,
+}
 ORACLE: dict[str, str] = {"op1_decontamination": decontam.SQL}
