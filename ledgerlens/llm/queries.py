@@ -1,6 +1,6 @@
 """Queries of the operators and the SQL that must return the same rows."""
 
-from ledgerlens.llm import bpe, decontam, media, records, simhash
+from ledgerlens.llm import bpe, decontam, media, records, simhash, warc
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -8,5 +8,6 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op6_bpe": bpe.query,
     "op7_records": records.query,
+    "op9_warc": warc.query,
 }
 ORACLE: dict[str, str] = {"op1_decontamination": decontam.SQL}
