@@ -1,11 +1,12 @@
 """Queries of the operators and the SQL that must return the same rows."""
 
-from ledgerlens.llm import bpe, decontam, media, records, simhash, toxicity, warc
+from ledgerlens.llm import bpe, decontam, media, pii, records, simhash, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontam.query,
     "op2_media": media.query,
     "op3_simhash": simhash.query,
+    "op4_pii": pii.query,
     "op5_toxicity": toxicity.query,
     "op6_bpe": bpe.query,
     "op7_records": records.query,
