@@ -1,6 +1,6 @@
 """Queries of the operators and the SQL that must return the same rows."""
 
-from ledgerlens.llm import bpe, chat, decontam, media, pii, records, simhash, toxicity, warc
+from ledgerlens.llm import bpe, chat, decontam, media, passages, pii, records, simhash, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_records": records.query,
     "op8_chat": chat.query,
     "op9_warc": warc.query,
+    "op10_passages": passages.query,
 }
 ORACLE: dict[str, str] = {"op1_decontamination": decontam.SQL, "op8_chat": chat.SQL}
