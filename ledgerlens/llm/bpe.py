@@ -192,11 +192,12 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 
 
-def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
+def digest(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, and its ids if asked for."""
     both = decode(encode(docs, path=path), path)
     return both.select(
         "doc_id",
+        *(["ids"] if with_ids else []),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
