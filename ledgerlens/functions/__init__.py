@@ -1 +1 @@
-
+"""Column expressions: exact decimals, text normalisation, evidence predicates, cell coordinates."""

@@ -1 +1 @@
-
+"""Readers of package files into DataFrames."""
