@@ -5,12 +5,12 @@ from __future__ import annotations
 import decimal
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.decimals import DIGITS
 from ledgerlens.functions.text import lookup
+from ledgerlens.operators.grouped import by_group
 from ledgerlens.operators.rows import OPERANDS
 
 #: Cells that one range may name.
@@ -176,19 +176,19 @@ def evaluate(cells: DataFrame) -> DataFrame:
     in a cycle, or depends on one, says so; blanks are not zeros.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[tuple]) -> list[tuple]:
         values, formulas = {}, {}
-        for ref, value, formula in zip(pdf["ref"], pdf["value"], pdf["formula"], strict=True):
-            if formula is not None and formula == formula:
+        for _, ref, value, formula in rows:
+            if formula is not None:
                 formulas[ref] = formula
-            elif value is not None and value == value:
+            elif value is not None:
                 try:
                     number = decimal.Decimal(value)
-                    if number.is_finite():
-                        values[ref] = number
                 except decimal.InvalidOperation:
-                    pass
-        sheet, own, out = pdf["sheet"].iloc[0], Evaluator(values, formulas), []
+                    continue
+                if number.is_finite():
+                    values[ref] = number
+        sheet, own, out = rows[0][0], Evaluator(values, formulas), []
         for ref in sorted(formulas):
             try:
                 out.append((sheet, ref, format(own.cell(ref), "f"), None))
@@ -196,9 +196,9 @@ def evaluate(cells: DataFrame) -> DataFrame:
                 out.append((sheet, ref, None, CYCLE))
             except (Unsupported, decimal.DecimalException, RecursionError):
                 out.append((sheet, ref, None, UNSUPPORTED))
-        return pd.DataFrame(out, columns=["sheet", "ref", "value", "error"])
+        return out
 
-    return cells.select("sheet", "ref", "value", "formula").groupBy("sheet").applyInPandas(run, "sheet string, ref string, value string, error string")
+    return by_group(cells.select("sheet", "ref", "value", "formula"), "sheet", fold, "sheet string, ref string, value string, error string")
 
 
 def product_basis(rows: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.grouped import by_group
+
 #: A new text line starts where the top is further than this from the first word of the line.
 LINE_STEP = 3.0
 RELIABLE_CONFIDENCE, HEADER_CONFIDENCE = 60, 90
@@ -55,19 +56,15 @@ def text_lines(words: DataFrame, step: float = LINE_STEP) -> DataFrame:
     The anchor makes this sequential within a page, and a page is bounded, so pages are grouped.
     """
 
-    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "x0", "text"], kind="stable")
-        number, anchor, out = 0, None, []
-        for top in pdf["top"]:
+    def fold(rows: list[tuple]) -> list[tuple]:
+        number, anchor, lines = 0, None, {}
+        for page, top, x0, text in sorted(rows, key=lambda r: r[1:]):
             if anchor is None or abs(top - anchor) > step:
                 number, anchor = number + 1, top
-            out.append(number)
-        pdf = pdf.assign(line_no=out).sort_values(["line_no", "x0", "text"], kind="stable")
-        made = pdf.groupby("line_no").agg(n=("text", "size"), text=("text", " ".join)).reset_index()
-        made.insert(0, "page", pdf["page"].iloc[0])
-        return made
+            lines.setdefault(number, []).append((x0, text))
+        return [(page, n, len(words), " ".join(t for _, t in sorted(words))) for n, words in lines.items()]
 
-    return words.select("page", "top", "x0", "text").groupBy("page").applyInPandas(lines, "page long, line_no long, n long, text string")
+    return by_group(words.select(F.col("page").cast("long").alias("page"), "top", "x0", "text"), "page", fold, "page long, line_no long, n long, text string")
 
 
 def column_bounds(headers: DataFrame) -> DataFrame:
