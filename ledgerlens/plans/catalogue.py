@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -446,3 +447,78 @@ def corrections_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = "WHERE p_partkey >= 10 AND p_partkey < (SELECT floor(max(p_partkey) / 10) * 10 FROM part)"
     wanted = select(spark, sf_dir, f"SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 2 THEN concat('A', p_partkey - 1) WHEN p_partkey % 10 = 3 THEN 'X' || p_partkey ELSE concat('A', p_partkey) END AS target, CASE WHEN p_partkey % 10 = 6 THEN 'disputed' ELSE 'confirmed' END AS status, CASE WHEN p_partkey % 10 = 4 THEN 'old' ELSE p_brand END AS expected_old, CASE WHEN p_partkey % 10 = 5 THEN ' =1+1' ELSE 'new' END AS replacement FROM part {where}")
     return tables.corrections(wanted, select(spark, sf_dir, "SELECT concat('A', p_partkey) AS target, p_brand AS value FROM part"))
+
+
+_XML = """SELECT o_orderkey, concat('<Order id="', o_orderkey, '"><Date>', date_format(o_orderdate, 'yyyy-MM-dd'), '</Date><Status>', o_orderstatus, '</Status><Items>', concat_ws('', collect_list(concat('<Item num="', l_linenumber, '"><Qty>', cast(l_quantity AS int), '</Qty><Price>', cast(l_extendedprice AS decimal(12,2)), '</Price></Item>'))), '</Items></Order>') AS content
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate, o_orderstatus"""
+
+
+def _xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import xml
+
+    return xml.values(select(spark, sf_dir, _XML).select(F.col("o_orderkey").cast("string").alias("path"), "content"))
+
+
+@query("""
+WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey), k AS (SELECT o_orderkey, n FROM orders JOIN n ON l_orderkey = o_orderkey)
+SELECT '/Order/@id' AS xpath, 'text' AS type, count(*) AS n FROM k UNION ALL SELECT '/Order/Date', 'date', count(*) FROM k UNION ALL SELECT '/Order/Status', 'text', count(*) FROM k
+UNION ALL SELECT '/Order/Items/Item/@num', 'integer', sum(n)::BIGINT FROM k UNION ALL SELECT '/Order/Items/Item/Qty', 'integer', sum(n)::BIGINT FROM k UNION ALL SELECT '/Order/Items/Item/Price', 'decimal', sum(n)::BIGINT FROM k""")
+def xml_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import xml
+
+    found = _xml(spark, sf_dir).where("kind <> 'element'")
+    return found.groupBy(coords.plain_xpath(F.col("xpath")).alias("xpath"), xml.typed(F.col("local_name"), F.col("raw_value")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT 'item' AS rule, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'order', count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def xml_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import xml
+
+    rules = spark.createDataFrame([("item", "order.v1", "/Order/Items/Item"), ("order", "order.v1", "/[A-Za-z]+"), ("other", "order.v2", ".*")], "rule string, schema_id string, pattern string")
+    return xml.anchors(_xml(spark, sf_dir).withColumn("schema_id", F.lit("order.v1")), rules).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT l_orderkey::VARCHAR AS source_path, 'quantity' AS field, sum(l_quantity::INT)::DECIMAL(20,2) AS total, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey
+UNION ALL SELECT l_orderkey::VARCHAR, 'unit_price', sum(l_extendedprice::DECIMAL(12,2))::DECIMAL(20,2), count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey""")
+def xml_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import xml
+
+    found = _xml(spark, sf_dir).withColumn("schema_id", F.lit("order.v1"))
+    rules = spark.createDataFrame([("item", "order.v1", "/Order/Items/Item")], "rule string, schema_id string, pattern string")
+    mapping = spark.createDataFrame([("item", "Qty", "quantity", 1, "first"), ("item", "Amount", "quantity", 2, "first"), ("item", "Price", "unit_price", 1, "unique")], "rule string, local_name string, field string, ordinal int, mode string")
+    got = xml.mapped(xml.direct_fields(xml.anchors(found, rules), found), mapping)
+    return got.groupBy("source_path", "field").agg(F.sum(F.col("value").cast("decimal(12,2)")).cast("decimal(20,2)").alias("total"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'minstroy.local_estimate.v1' WHEN 1 THEN 'minstroy.object_or_summary_estimate.v1' END AS schema_id, CASE p_partkey % 4 WHEN 0 THEN 'LSR' WHEN 1 THEN 'SSR' END AS document_type FROM part WHERE p_partkey % 4 < 2 AND p_partkey % 3 <> 2""")
+def schema_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import xml
+
+    roots = select(spark, sf_dir, "SELECT p_partkey AS path, CASE p_partkey % 4 WHEN 0 THEN 'Construction' WHEN 1 THEN 'Summary' ELSE 'Other' END AS root, cast(NULL AS string) AS namespace, CASE p_partkey % 3 WHEN 0 THEN 'xml' WHEN 1 THEN 'gge' ELSE 'txt' END AS extension FROM part")
+    registry = spark.createDataFrame([("minstroy.local_estimate.v1", "Construction", None, ["xml", "gge"]), ("minstroy.object_or_summary_estimate.v1", "Summary", None, ["xml", "gge"]), ("minstroy.market_analysis.v1", "Summary", "urn:x", ["xml"])], "schema_id string, root string, namespace string, extensions array<string>")
+    return xml.matching_schemas(roots, registry).select(F.col("path").alias("p_partkey"), "schema_id", xml.document_type(F.col("schema_id")).alias("document_type"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'date' WHEN 1 THEN 'text' WHEN 2 THEN 'integer' WHEN 3 THEN 'decimal' WHEN 4 THEN 'text' WHEN 5 THEN 'datetime' WHEN 6 THEN 'text' ELSE 'text' END AS type FROM events""")
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import xml
+
+    tokens = select(spark, sf_dir, "SELECT event_id, CASE WHEN event_id % 8 = 4 THEN 'SourceCode' ELSE 'Value' END AS name, CASE event_id % 8 WHEN 0 THEN '2026-02-28' WHEN 1 THEN '2026-02-30' WHEN 2 THEN cast(event_id AS string) WHEN 3 THEN '-12.50' WHEN 4 THEN '17' WHEN 5 THEN '2026-02-28T10:00:00' WHEN 6 THEN '007' ELSE '1234567890123456' END AS raw FROM events")
+    return tokens.select("event_id", xml.typed(F.col("name"), F.col("raw")).alias("type"))
+
+
+@query()
+def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources.packages import collision_key, member_name
+
+    @F.pandas_udf("name string, key string")
+    def run(paths: pd.Series) -> pd.DataFrame:
+        names = [member_name(p) for p in paths]
+        return pd.DataFrame({"name": names, "key": [None if n is None else collision_key(n) for n in names]})
+
+    paths = select(spark, sf_dir, "SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('A/É', page_id, '\\\\b') WHEN 2 THEN '../x' ELSE 'C:/x' END AS path FROM pages")
+    return paths.select("page_id", run("path").alias("n")).select("page_id", "n.name", "n.key")
