@@ -1,0 +1,120 @@
+"""The audit: controls over canonical collections, rolled up to one bounded result."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.functions.text import blank
+from ledgerlens.operators import hierarchy, rollup, rows
+from ledgerlens.plans.views import configure
+
+# What a run must know about its package.
+PASSPORT = ["object", "work_type", "funding_source", "region_or_price_zone", "price_level_date", "calculation_method", "stage", "document_set"]
+MAX_FINDINGS = 1000
+
+
+@dataclass
+class Audit:
+    """Checks (id, status, n) and findings (id, severity, ord) as DataFrames; `questions` is what is missing."""
+
+    checks: DataFrame
+    findings: DataFrame
+    questions: list[str] = field(default_factory=list)
+
+    def result(self, limit: int = MAX_FINDINGS) -> dict:
+        """The result document: some forty checks, `limit` findings at most, and how many were left out."""
+        checks = [r.asDict() for r in self.checks.orderBy("id").collect()]
+        total = self.findings.count()
+        kept = [r.asDict() for r in rollup.top_findings(self.findings, limit).collect()]
+        statuses = {c["status"] for c in checks}
+        overall = "needs_input" if self.questions else "finding" if "finding" in statuses else next((s for s in ("needs_input", "limited", "passed") if s in statuses), "not_applicable")
+        return {"status": overall, "checks": checks, "findings": kept, "findings_total": total, "findings_omitted": total - len(kept), "questions": self.questions}
+
+    def to_json(self, limit: int = MAX_FINDINGS) -> str:
+        return json.dumps(self.result(limit), ensure_ascii=False, sort_keys=True, default=str)
+
+
+def missing_passport(context: dict) -> list[str]:
+    """Passport fields that are absent, null, blank or empty."""
+    return [k for k in PASSPORT if context.get(k) is None or context[k] in ("", [], {}) or (isinstance(context[k], str) and not context[k].strip())]
+
+
+def _check(name: str, states: DataFrame, order: list[str] = rollup.USUAL) -> DataFrame:
+    return rollup.state(states, order=order).select(F.lit(name).alias("id"), "status", "n")
+
+
+def audit(spark: SparkSession, model: dict[str, DataFrame], context: dict, mode: str = "full") -> Audit:
+    """Runs the controls over the collections that model has: rows, formulas, estimates, kacs, resources and so on.
+
+    Without a complete passport every control needs input and none runs. In light mode the row controls are
+    limited. A control that needs input demotes all that passed, coverage included.
+    """
+    configure(spark)
+    names = ["INV-01", "HIER-01", "ARITH-01", "FORMULA-01", "DUP-01", "FIELD-01", "COMPONENT-01", "KAC-01", "ANALYTICS-01"]
+    none = spark.createDataFrame([], "id string, severity string, ord string")
+    if questions := missing_passport(context):
+        checks = spark.createDataFrame([(n, "needs_input", 0) for n in names], "id string, status string, n long")
+        return Audit(checks, none, questions)
+    made: dict[str, DataFrame] = {}
+    findings: list[DataFrame] = []
+    fixed: dict[str, str] = {"INV-01": "passed" if model else "needs_input"}
+
+    def found(prefix: str, states: DataFrame, key: str, severity: str = "material") -> None:
+        findings.append(states.where("status = 'finding'").select(F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string")).alias("id"), F.lit(severity).alias("severity"), F.col(key).cast("string").alias("ord")))
+
+    light = mode == "light"
+    if "rows" in model and not light:
+        own = model["rows"]
+        states = rows.arithmetic(own)
+        made["ARITH-01"] = _check("ARITH-01", states)
+        found("ARITH-01", states, "row_id")
+        gaps = rows.fields(own)
+        whole = own.where(F.coalesce("reliability", F.lit("reliable")) == "reliable").select(F.lit("passed").alias("status"))
+        made["FIELD-01"] = _check("FIELD-01", gaps.select("status").unionByName(whole), rollup.INPUT_FIRST)
+        found("FIELD-01", gaps, "row_id")
+        twice = rows.exact_duplicates(own).select(F.concat(F.lit("DUP-01:"), "ordinal").alias("id"), F.lit("material").alias("severity"), F.col("ordinal").cast("string").alias("ord"))
+        alike = rows.semantic_duplicates(own).select(F.concat(F.lit("DUP-02:"), "ordinal").alias("id"), F.lit("recommendation").alias("severity"), F.col("ordinal").cast("string").alias("ord"))
+        both = twice.unionByName(alike)
+        findings.append(both)
+        made["DUP-01"] = _check("DUP-01", both.select(F.lit("finding").alias("status")).unionByName(gaps.select(F.lit("needs_input").alias("status"))).unionByName(whole))
+        cost = rows.exclusion(own).select(F.when(F.col("excluded").isNull(), "passed").when(F.col("excluded") == "invalid_amount", "needs_input").otherwise("limited").alias("status"))
+        made["ANALYTICS-01"] = _check("ANALYTICS-01", cost)
+    elif "rows" in model:
+        fixed |= {n: "limited" for n in ("ARITH-01", "FIELD-01", "DUP-01", "ANALYTICS-01")}
+    if "formulas" in model:
+        if light:
+            fixed["FORMULA-01"] = "limited"
+        else:
+            states = rows.formulas(model["formulas"])
+            made["FORMULA-01"] = _check("FORMULA-01", states)
+            found("FORMULA-01", states, "formula_id")
+    if "estimates" in model:
+        links, sums = hierarchy.relations(model["estimates"]), hierarchy.totals(model["estimates"])
+        rings = hierarchy.cycles(model["estimates"].where(~blank(F.col("parent_id"))).select(F.col("estimate_id").alias("child"), F.col("parent_id").alias("parent")))
+        made["HIER-01"] = _check("HIER-01", links.select("status").unionByName(sums.select("status")).unionByName(rings.select(F.lit("finding").alias("status"))))
+        found("HIER-01:direction", links, "child_id")
+        found("HIER-01:total", sums, "parent_id")
+        findings.append(rings.select(F.concat(F.lit("HIER-01:cycle:"), F.col("entry").cast("string")).alias("id"), F.lit("material").alias("severity"), F.col("entry").cast("string").alias("ord")))
+    parts = {n: model[n] for n in rows.COMPONENTS if n in model}
+    if parts:
+        if light:
+            fixed["COMPONENT-01"] = "limited"
+        else:
+            states = rows.components(parts)
+            made["COMPONENT-01"] = _check("COMPONENT-01", states, rollup.INPUT_FIRST)
+            found("COMPONENT-01", states, "record_id")
+    if "kacs" in model:
+        made["KAC-01"] = _check("KAC-01", rows.quotes(model["kacs"]))
+    checks = spark.createDataFrame([(n, fixed.get(n, "not_applicable"), 0) for n in names if n not in made], "id string, status string, n long")
+    for c in made.values():
+        checks = checks.unionByName(c)
+    matrix = rollup.matrix(checks, str(context.get("work_type") or "")).where(~F.col("id").isin(*names)).select("id", "status", F.lit(0).cast("long").alias("n"))
+    checks = rollup.demote(checks.unionByName(matrix))
+    out = none
+    for f in findings:
+        out = out.unionByName(f)
+    return Audit(checks, out)

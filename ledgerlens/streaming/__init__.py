@@ -1 +1 @@
-
+"""Incremental intake of package files."""
