@@ -24,10 +24,23 @@ def reader(path: Column) -> Column:
 def scan(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, size_bytes, sha256, extension, reader, content) of all files below root, folders followed.
 
-    Count and size are checked from the listing alone; contents are read only after.
+    Count and size are checked from the listing alone; contents are read only after. Spark's reader passes
+    over empty files, so those, of at most `max_files`, are added from the listing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    n, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    if n > max_files or size > max_bytes:
-        raise ValueError("input_directory_limit_exceeded")
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    n = size = 0
+    empty = []
+    while listed.hasNext():
+        f = listed.next()
+        n, size = n + 1, size + f.getLen()
+        if n > max_files or size > max_bytes:
+            raise ValueError("input_directory_limit_exceeded")
+        if not f.getLen():
+            empty.append((f.getPath().toString(), 0, bytearray()))
+    files = spark.createDataFrame(empty, "path string, length long, content binary")
+    if size:
+        full = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        files = files.unionByName(full.select("path", "length", "content"))
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), extension(F.col("path")).alias("extension"), reader(F.col("path")).alias("reader"), "content")
