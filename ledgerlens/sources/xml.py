@@ -165,3 +165,16 @@ def document_type(schema_id: Column) -> Column:
     for part, kind in reversed(DOCUMENT_TYPES.items()):
         out = F.when(schema_id.contains(part), kind).otherwise(out)
     return out
+
+
+def mapped_paths(anchored: DataFrame, found: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(source_path, anchor, rule, field, value): like `mapped`, for values at paths below the anchor.
+
+    mapping (rule, path, field, ordinal, mode): a path is relative, `.` the anchor itself, `@x` its attribute.
+    Wanted paths are computed per anchor, then met with the values by equality.
+    """
+    at = F.when(F.col("path") == ".", F.col("xpath")).otherwise(F.concat_ws("/", "xpath", "path"))
+    wanted = anchored.join(F.broadcast(mapping), "rule").select("source_path", F.col("xpath").alias("anchor"), "rule", "field", "ordinal", "mode", at.alias("value_xpath"))
+    leaves = found.where("kind <> 'element' AND trim(raw_value) <> ''").select("source_path", F.col("xpath").alias("value_xpath"), "raw_value")
+    per = wanted.join(leaves, ["source_path", "value_xpath"]).groupBy("source_path", "anchor", "rule", "field").agg(F.min_by("raw_value", "ordinal").alias("value"), F.count("*").alias("n"), F.max("mode").alias("mode"))
+    return per.where("mode = 'first' OR n = 1").select("source_path", "anchor", "rule", "field", "value")
