@@ -48,3 +48,8 @@ def plain_xpath(xpath: Column) -> Column:
 def xpath_owner(xpath: Column) -> Column:
     """The element that a leaf or attribute belongs to."""
     return F.regexp_extract(xpath, r"^(.*)/[^/]+$", 1)
+
+
+def logical_id(source_path: Column, schema_id: Column, xpath: Column) -> Column:
+    """source:schema:xpath for a record of a known schema with an absolute path; else null."""
+    return F.when((schema_id != "") & xpath.startswith("/"), F.concat_ws(":", source_path, schema_id, xpath))

@@ -522,3 +522,34 @@ def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     paths = select(spark, sf_dir, "SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('A/É', page_id, '\\\\b') WHEN 2 THEN '../x' ELSE 'C:/x' END AS path FROM pages")
     return paths.select("page_id", run("path").alias("n")).select("page_id", "n.name", "n.key")
+
+
+_PAGE = "SELECT event_id, 200.0D + event_id % 3000 AS width, 100.0D + (event_id * 7) % 9000 AS height, event_id % 4 * 90 AS rotation, CASE WHEN event_id % 10 = 0 THEN 0 ELSE 1000000 * (event_id % 40) END AS pixels_left, event_id % 8 AS words, event_id % 60 AS characters, cast(event_id % 1000 AS double) AS edge FROM events"
+
+
+@query(f"""
+WITH p AS ({_PAGE.replace("0D", "0::DOUBLE")}), t AS (SELECT *, CASE WHEN rotation % 180 <> 0 THEN height ELSE width END AS w, CASE WHEN rotation % 180 <> 0 THEN width ELSE height END AS h FROM p),
+d AS (SELECT event_id, max(d.d) AS dpi FROM t, (SELECT unnest(range(72, 201)) AS d) d WHERE pixels_left > 0 AND ceil(w * d / 72.0) <= 10000 AND ceil(h * d / 72.0) <= 10000 AND ceil(w * d / 72.0)::BIGINT * ceil(h * d / 72.0)::BIGINT <= least(25000000, pixels_left) GROUP BY event_id)
+SELECT t.event_id, d.dpi::INT AS dpi, (words <= 4 OR characters <= 24) AND least(1.0, greatest(0.0, least(width, edge * 2) - edge) * greatest(0.0, least(height, 5000.0) - 0.0) / greatest(width * height, 1.0)) >= 0.25 AS recognise FROM t LEFT JOIN d USING (event_id)""")
+def render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.functions import pages
+
+    p = select(spark, sf_dir, _PAGE)
+    c = F.col
+    images = F.array(F.struct((c("edge") * 2).alias("x0"), c("edge").alias("x1"), F.lit(-1.0).alias("top"), F.lit(5000.0).alias("bottom")))
+    coverage = pages.image_coverage(c("width"), c("height"), images)
+    return p.select("event_id", pages.render_dpi(c("width"), c("height"), c("rotation"), c("pixels_left")).alias("dpi"), pages.needs_recognition(c("words"), c("characters"), coverage).alias("recognise"))
+
+
+@query("SELECT page_id, array_to_string([x FOR x IN list_transform(string_split_regex(html, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]'), lambda y: regexp_replace(y, '^[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+|[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+$', '', 'g')) IF x <> ''], chr(10)) AS text FROM pages")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.functions import pages
+
+    return select(spark, sf_dir, "SELECT page_id, html FROM pages").select("page_id", pages.page_text(F.col("html")).alias("text"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'f' || o_orderkey || '.xml:s.v1:/a/b[' || o_orderkey || ']' END AS logical_id FROM orders""")
+def logical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows_ = select(spark, sf_dir, "SELECT o_orderkey, concat('f', o_orderkey, '.xml') AS source_path, 's.v1' AS schema_id, CASE WHEN o_orderkey % 5 = 0 THEN 'a' ELSE concat('/a/b[', o_orderkey, ']') END AS xpath FROM orders")
+    return rows_.select("o_orderkey", coords.logical_id(F.col("source_path"), F.col("schema_id"), F.col("xpath")).alias("logical_id"))
