@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import coords, decimals, text
 from ledgerlens.operators import formulas, hierarchy, rollup, rows, tables
-from ledgerlens.plans.audit import audit, missing_passport
+from ledgerlens.plans.audit import audit, missing_passport, routes
 from ledgerlens.plans.views import configure
 
 ROW = "row_id string, estimate_id string, code string, name string, quantity string, unit string, unit_price string, `index` string, coefficient string, declared_total string, basis_formula string, basis_verified boolean, basis_locator string, reliability string, category string, source_fields_verified_complete boolean, source_path string, locator string, sheet string, cell_range string, ord int"
@@ -140,3 +140,20 @@ def test_audit_end_to_end(spark):
     assert light["ARITH-01"] == "limited" and light["HIER-01"] == "passed"
     blocked = audit(spark, model, context | {"stage": " "}).result()
     assert blocked["status"] == "needs_input" and blocked["questions"] == ["stage"] == missing_passport(context | {"stage": None}) and {c["status"] for c in blocked["checks"]} == {"needs_input"}
+
+
+def test_routes():
+    at = lambda c, ids=(): {n: (s, r) for n, s, r in routes(c, set(ids))}["ROUTE-PIR"]
+    assert at({"work_type": "x"}) == ("not_applicable", "") and at({"work_type": " ПИР "}) == ("needs_input", "route_inputs_not_available")
+    own = {"work_type": "pir", "special_routes": {"pir": {"source_id": "s"}}}
+    assert at(own) == ("limited", "currentness_not_verified") and at(own, ["s"]) == ("needs_input", "route_inputs_incomplete")
+    own["special_routes"]["pir"]["inputs_complete"] = True
+    assert at(own, ["s"]) == ("limited", "manual_route_review_required")
+
+
+def test_tax_and_contract(spark):
+    d = decimal.Decimal
+    vat = spark.createDataFrame([("v1", d(1000), d("0.2"), d("180"), [d(100)], True), ("v2", d(1000), d("0.2"), d("199"), [], True), ("v3", d(1), d(1), d(1), [], False), ("v4", d(1), d(1), None, [], True)], "vat_id string, base_before_exemptions decimal(12,2), rate decimal(3,2), declared_amount decimal(12,2), exempt_amounts array<decimal(18,2)>, source_fields_verified_complete boolean")
+    assert {r.vat_id: (r.status, r.difference) for r in rows.vat(vat).collect()} == {"v1": ("passed", 0), "v2": ("finding", -1), "v3": ("needs_input", None), "v4": ("needs_input", None)}
+    deal = spark.createDataFrame([("c1", d(900), d(50), d(960), d(1000)), ("c2", d(900), d(200), d(1100), d(1000))], "contract_id string, original decimal(12,2), changes decimal(12,2), revised decimal(12,2), project decimal(12,2)")
+    assert sorted((r.contract_id, r.finding, r.observed, r.expected) for r in rows.contracts(deal).collect()) == [("c1", "revised_total", 960, 950), ("c2", "project_exceeded", 1100, 1000)]
