@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,13 +38,14 @@ REMEMBERED = 500_000
 WORD = re.compile(r"[^\W_]+")
 
 
-def terms_of(piece: str) -> list[str]:
+@lru_cache(maxsize=REMEMBERED // 5)
+def terms_of(piece: str) -> tuple[str, ...]:
     """Words of a piece of text, and their beginnings of 4 and 5 letters."""
-    out = []
+    out: list[str] = []
     for w in WORD.findall(piece.lower()):
         out.append(w)
         out += [f"{w[:n]}*" for n in (4, 5) if len(w) > n]
-    return out
+    return tuple(out)
 
 
 def repeated(counts: dict[str, int]) -> dict[str, int]:
