@@ -49,6 +49,17 @@ def test_local_estimate_rules(spark):
     found = xml.values(spark.createDataFrame([("d.xml", bytearray(doc.encode()))], "path string, content binary")).withColumn("schema_id", F.lit("minstroy.local_estimate_rim.3_01"))
     rules, paths = xml_rules.tables(spark)
     got = xml.mapped_paths(xml.anchors(found, rules), found, paths).collect()
-    rows = {(r.anchor[-12:], r.field): r.value for r in got if r.rule.endswith(":estimate_row")}
+    rows = {(r.anchor[-12:], r.field): r.value for r in got if ":estimate_row:" in r.rule}
     assert rows == {("Item[1]/Cost", "name"): "Кладка", ("Item[1]/Cost", "code"): "A", ("Item[1]/Cost", "quantity"): "2", ("Item[1]/Cost", "declared_total"): "20", ("Item[2]/Cost", "name"): "Б", ("Item[2]/Cost", "quantity"): "3"}
-    assert {(r.field, r.value) for r in got if r.rule.endswith(":estimate")} == {("code", "01")}
+    assert {(r.field, r.value) for r in got if ":estimate:" in r.rule} == {("code", "01")}
+
+
+def test_unique_and_first_fields(spark):
+    doc = '<Document><Indexes><Index Caption="a" Pz="1.1"/><Index Caption="b" Pz="1.1" Oz="2"/></Indexes><Chapters><Chapter><Position Caption="p" Obosn="o" EdPr="5"><Total Total="10"/></Position></Chapter></Chapters></Document>'
+    schema = "grandsmeta.object_or_summary_estimate.2026_1_1"
+    found = xml.values(spark.createDataFrame([("d.xml", bytearray(doc.encode()))], "path string, content binary")).withColumn("schema_id", F.lit(schema))
+    rules, paths = xml_rules.tables(spark)
+    got = {(r.anchor.rpartition("/")[2], r.field): r.value for r in xml.mapped_paths(xml.anchors(found, rules), found, paths).collect()}
+    assert got["Index[1]", "value"] == "1.1" and ("Index[2]", "value") not in got and got["Index[2]", "name"] == "b"
+    assert got["Position", "declared_total"] == "10" and got["Position", "code"] == "o" and got["Total", "declared_total"] == "10"
+    assert len(xml_rules.RULES) == 13
