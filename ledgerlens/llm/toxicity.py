@@ -30,7 +30,7 @@ EXAMPLES = 15_000
 TERMS = 2_000
 NEIGHBOURS = 15
 BLOCK = 128
-#: A term must occur in so many examples, deviate by so much chi-square, and change the class's share so many times.
+#: A term must occur in so many examples, deviate by so much chi-square, and raise the share of label 1 so many times.
 LEAST_DOCS, LEAST_CHI2, LEAST_LIFT = 4, 25.0, 2.0
 REJECTED = 0.7
 REMEMBERED = 500_000
@@ -71,26 +71,33 @@ class Model:
     prior: float
     blank: float
     steps: tuple[np.ndarray, np.ndarray] | None = None
-    postings: list = field(default_factory=list)
+    blocks: list | None = None
     best: np.ndarray | None = None
     counted: frozenset = frozenset()
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
     memo: dict = field(default_factory=dict)
 
     def index(self) -> None:
-        """Postings by term and block, and the largest weight of each term in each block."""
-        blocks = max(1, -(-len(self.vectors) // BLOCK))
-        self.best = np.zeros((max(1, len(self.vocab)), blocks))
-        lists: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in self.vocab]
-        for e, vector in enumerate(self.vectors):
-            b = e // BLOCK
-            for t, w in vector.items():
-                at, weights = lists[t].setdefault(b, ([], []))
-                at.append(e % BLOCK)
-                weights.append(w)
-                self.best[t, b] = max(self.best[t, b], w)
+        """For each block of examples the rows of its terms, each term's row in it, and its largest weight."""
+        n, blocks = max(1, len(self.vocab)), max(1, -(-len(self.vectors) // BLOCK))
+        self.best = np.zeros((n, blocks), np.float32)
+        self.blocks = []
+        for b in range(blocks):
+            part = self.vectors[b * BLOCK : (b + 1) * BLOCK]
+            there = sorted({t for v in part for t in v})
+            row = np.full(n, -1, np.int32)
+            row[there] = np.arange(len(there))
+            weights = np.zeros((len(there), BLOCK), np.float32)
+            for e, v in enumerate(part):
+                for t, w in v.items():
+                    weights[row[t], e] = w
+            self.best[there, b] = weights.max(axis=1) if there else 0
+            self.blocks.append((row, weights))
         self.counted = frozenset(t.split("#")[0] for t in self.vocab)
-        self.postings = [{b: (np.array(a), np.array(w)) for b, (a, w) in x.items()} for x in lists]
+
+    def __getstate__(self) -> dict:
+        """Without what index() makes again: workers build it once."""
+        return self.__dict__ | {"blocks": None, "best": None, "known": {}, "memo": {}}
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
@@ -113,20 +120,23 @@ class Model:
         """The NEIGHBOURS examples of highest cosine over 0, (cosine, example), the earlier of equals first."""
         if not vector:
             return []
-        terms = sorted(vector)
-        bound = np.array([vector[t] for t in terms]) @ self.best[terms]
+        if self.blocks is None:
+            self.index()
+        terms = np.array(sorted(vector))
+        weights = np.array([vector[t] for t in terms.tolist()], np.float32)
+        bound = weights @ self.best[terms]
         top: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(top) == NEIGHBOURS and bound[b] < top[0][0] - 1e-12:
+            if bound[b] <= 0 or len(top) == NEIGHBOURS and bound[b] < top[0][0] - 1e-5:
                 break
-            got = np.zeros(BLOCK)
-            for t in terms:
-                if hit := self.postings[t].get(b):
-                    got[hit[0]] += vector[t] * hit[1]
-            for i in np.flatnonzero(got).tolist():
+            row, matrix = self.blocks[b]
+            rows = row[terms]
+            got = weights[rows >= 0] @ matrix[rows[rows >= 0]]
+            least = top[0][0] if len(top) == NEIGHBOURS else 0.0
+            for i in np.flatnonzero((got > 0) & (got >= least - 1e-6)).tolist():
                 e = b * BLOCK + i
                 if e != but:
-                    entry = (round(float(got[i]), 12), -e)
+                    entry = (round(float(got[i]), 6), -e)
                     if len(top) < NEIGHBOURS:
                         heapq.heappush(top, entry)
                     elif entry > top[0]:
@@ -200,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chi2 = gap * gap * n / (F.lit(float(positive)) * float(n - positive) * df * (n - df) + 1e-9)
     lift = (hit / df) / (prior or 1)
     stats = seen.select("_label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("_label").cast("double").alias("hit"))
-    stats = stats.where((df >= LEAST_DOCS) & (chi2 >= LEAST_CHI2) & ((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT)))
+    stats = stats.where((df >= LEAST_DOCS) & (chi2 >= LEAST_CHI2) & (lift >= LEAST_LIFT))
     best = stats.withColumn("chi2", chi2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect() if 0 < positive < n else []
     vocab = {r["term"]: i for i, r in enumerate(best)}
     idf = np.array([math.log((1 + n) / (1 + r["df"])) for r in best])
