@@ -14,7 +14,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One document of each group of texts whose five-word runs are similar by 0.8 or more."""
     return simhash.keep_one(docs)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,25 +16,39 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import attach, components, saved, small_batches, table
 
 SEED = 42
+#: A stage's near copies share this part of the distinct runs of so many words.
+STAGE_WORDS, SIMILAR = 5, 0.8
+#: One document in SAMPLED tells which runs are frequent; at most FREQUENT of them are put last. This decides speed only.
+SAMPLED, FREQUENT = 16, 50_000
 #: Buckets of more fingerprints than this are linked through shared one-bit variants, not by pairs.
 PAIRED = 32
 #: Hashes of one document that are unpacked to bits at once.
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The fingerprint of one text as a signed 64-bit number; 0 if it has no words."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _line(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """A 64-bit hash of each run of `words` words; a shorter text is one run, one without words has none."""
+    parts = _line(text)
     if not parts:
-        return 0
+        return np.empty(0, "<u8")
     line = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     k = min(words, len(parts))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[i:j], SEED) for i, j in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
-    values = np.array(hashes, dtype="<u8")
+    return np.array([digest(line[i:j], SEED) for i, j in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The fingerprint of one text as a signed 64-bit number; 0 if it has no words."""
+    values = shingles(text, words)
+    if not len(values):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(values), CHUNK):
         part = values[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -107,24 +124,123 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate group: that with the smallest doc_id, all columns kept.
+def frequent_runs(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that recur in a sample of rows (_id, _text, _th), sorted, and in how many of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.record_batch({"r": pa.array(np.unique(shingles(t, words)).view(np.int64))})
+
+    sample = rows.where(F.pmod("_th", F.lit(SAMPLED)) == 0).select("_text").distinct()
+    found = sample.mapInArrow(run, "r long").groupBy("r").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "r").limit(FREQUENT).collect()
+    runs, counts = np.array([r["r"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(runs)
+    return runs[order], counts[order]
+
+
+def prefixes(rows: DataFrame, words: int, similar: float) -> DataFrame:
+    """(_id, _th, c, size, first) per row of rows: its class of equal words, its number of distinct runs, the first of them.
+
+    Runs are in one order for all texts, frequent ones last. Two sets of similarity `similar` or more share
+    one of their first size - ceil(similar * size) + 1 runs in any such order, so none is missed.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(frequent_runs(rows, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, counts = sent.value
+        for b in batches:
+            classes, sizes, firsts = [], [], []
+            for t in b.column(1).to_pylist():
+                own = np.unique(shingles(t, words))
+                classes.append(xxhash.xxh64_intdigest(b" ".join(_line(t)), SEED) - (1 << 63))
+                sizes.append(len(own))
+                if len(runs):
+                    at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+                    own = own[np.argsort(np.where(runs[at] == own, counts[at], 0), kind="stable")]
+                firsts.append(own[: max(0, len(own) - math.ceil(similar * len(own) - 1e-9) + 1)].view(np.int64).tolist())
+            yield pa.record_batch({"_id": b.column(0), "_th": b.column(2), "c": pa.array(classes, pa.int64()), "size": pa.array(sizes, pa.int32()), "first": pa.array(firsts, pa.list_(pa.int64()))})
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.select("_id", "_text", "_th").mapInArrow(run, f"_id {kind}, _th long, c long, size int, first array<bigint>")
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """(_id, _th, group) per row of docs: groups of texts that links of similarity `similar` or more reach.
+
+    Similarity is that of the sets of runs of `words` words (Jaccard), computed for each candidate pair.
+    Candidates share so many of their first runs as that similarity takes. At first each text meets the least of those that share a run
+    with it; then only those meet that aren't in one group yet, so none is left out and copies of one text stay linear.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), F.xxhash64(text).alias("_th"))
+    own = saved(prefixes(rows, words, similar))
+    classes = own.groupBy("c").agg(F.min("_th").alias("_th"), F.first("size").alias("size"), F.first("first").alias("first"))
+    each = classes.select("c", "size", F.explode("first").alias("run"))
+    met = each.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("c", "size")).alias("least")).where("n > 1").select("run", "least")
+    shared = saved(each.join(met, "run"))
+
+    @F.pandas_udf("binary")
+    def runs_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles(t, words)).tobytes() for t in texts])
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both >= similar * (len(p) + len(q) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    least_of = classes.select("c", "_th")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(least_of, "c")
+        texts = rows.select("_th", "_text").join(wanted, "_th").dropDuplicates(["_th"])
+        sets = saved(texts.select("c", runs_of("_text").alias("runs")))
+        left, right = sets.select(F.col("c").alias("a"), F.col("runs").alias("p")), sets.select(F.col("c").alias("b"), F.col("runs").alias("q"))
+        return saved(pairs.join(left, "a").join(right, "b").where(alike("p", "q")).select("a", "b"))
+
+    # Of two similar texts the one whose first runs end sooner shares those of them that it shares at all with
+    # the other's first runs, and has ceil(similar * size) - 1 further ones.
+    further = F.ceil(similar * F.greatest("sa", "sb") - 1e-9) - 1
+    enough = (F.col("m") + further >= (F.col("sa") + F.col("sb")) * (similar / (1 + similar)) - 1e-6) & (F.least("sa", "sb") >= similar * F.greatest("sa", "sb") - 1e-9)
+    possible = lambda met: saved(met.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("sa").alias("sa"), F.first("sb").alias("sb")).where(enough).select("a", "b"))
+    stars = possible(shared.where("c <> least.c").select(F.col("least.c").alias("a"), F.col("c").alias("b"), F.col("least.size").alias("sa"), F.col("size").alias("sb")))
+    links = verified(stars)
+    joined = components(links).withColumnRenamed("node", "c")
+    rooted = shared.select("run", "c", "size").join(joined, "c", "left").select("run", "c", "size", F.coalesce("root", "c").alias("root"))
+    mixed = rooted.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("run")
+    apart = saved(rooted.join(mixed, "run"))
+    other = apart.select("run", *[F.col(x).alias(f"{x}2") for x in ("c", "size", "root")])
+    close = f"c < c2 AND root <> root2 AND size >= {similar} * size2 - 1e-9D AND size2 >= {similar} * size - 1e-9D"
+    pairs = possible(apart.join(other, "run").where(close).select(F.col("c").alias("a"), F.col("c2").alias("b"), F.col("size").alias("sa"), F.col("size2").alias("sb")))
+    links = links.unionByName(verified(pairs.join(stars, ["a", "b"], "left_anti")))
+    joined = saved(components(links).select(F.col("node").alias("c"), "root"))
+    # texts that have a copy in no other class keep their own; the joined classes are few against the rows
+    return own.select("_id", "_th", "c").join(joined, "c", "left").select("_id", "_th", F.coalesce("root", "c").alias("group"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """docs with one row of each near-duplicate group (similar_groups): that with the smallest doc_id, all columns kept.
 
     Of rows that repeat a kept doc_id, one stays. Rows without a doc_id go if their group has one; else one
-    row of each fingerprint stays.
+    row of each group stays.
     """
-    groups = saved(near_duplicates(docs, doc_id, text))
-    signed = F.conv("fingerprint", 16, -10).cast("long").alias("_fp")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    found = saved(similar_groups(docs, doc_id, text, words, similar))
+    least = saved(found.groupBy("group").agg(F.min("_id").alias("least"), F.min("_th").alias("least_th"), F.count("*").alias("copies")))
+    groups = attach(found, least, "group", "copies")
+    gone = groups.where("_id <> least").select(F.col("_id").alias(doc_id)).distinct()
     kept = docs.where(F.col(doc_id).isNotNull()).join(gone, doc_id, "left_anti").select(docs.columns)
-    twice = saved(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(doc_id)))
+    twice = saved(groups.where("_id = least").groupBy("_id").count().where("count > 1").select(F.col("_id").alias(doc_id)))
     if not twice.isEmpty():
         once = kept.join(twice, doc_id, "left_anti").select(docs.columns)
         kept = once.unionByName(kept.join(twice, doc_id, "left_semi").dropDuplicates([doc_id]).select(docs.columns))
-    nameless = saved(groups.where("doc_id IS NULL AND component_id IS NULL").select(signed).distinct())
+    nameless = saved(least.where("least IS NULL").select(F.col("least_th").alias("_th")))
     if not nameless.isEmpty():
-        unnamed = with_fingerprint(docs.where(F.col(doc_id).isNull()), text, "_fp")
-        kept = kept.unionByName(unnamed.join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"]).select(docs.columns))
+        unnamed = docs.where(F.col(doc_id).isNull()).withColumn("_th", F.xxhash64(text))
+        kept = kept.unionByName(unnamed.join(nameless, "_th", "left_semi").dropDuplicates(["_th"]).select(docs.columns))
     return kept
 
 

@@ -98,3 +98,29 @@ def test_attach_keeps_every_row_of_hot_keys(spark):
     small = big.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
     got = attach(big, small, "k", "n")
     assert got.count() == 1000 and got.where("low IS NULL").count() == 0
+
+
+def test_stage_drops_near_copies(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(40):
+        t = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(100, 400))]
+        rows.append((i, " ".join(t)))
+        for j, edits in ((1, 1), (2, len(t) // 60), (3, len(t) // 5)):
+            u = list(t)
+            for at in rnd.sample(range(len(u)), edits):
+                u[at] = "edit"
+            rows.append((100 * j + i, " ".join(u)))
+
+    def runs(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    sets = {d: runs(t) for d, t in rows}
+    roots = {}
+    for d in sorted(sets):  # groups by links of 0.8 or more
+        near = {roots[e] for e in roots if len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])}
+        roots = {e: min(near | {d}) if r in near else r for e, r in roots.items()} | {d: min(near | {d})}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert kept == set(roots.values()) and len(kept) == 80
