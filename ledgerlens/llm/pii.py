@@ -9,6 +9,7 @@ join the known ones. Only runs of tokens with digits can be discovered.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ PART = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+(?:\x20[^\s0-9]*+[0-9]\S*+)*+"
 #: Code points of context on each side.
 AROUND = 48
-ROUNDS, SUPPORT, CONFIDENCE, ACCEPTED = 3, 3, 0.8, 0.95
+SUPPORT, CONFIDENCE, ACCEPTED = 3, 0.8, 0.95
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
@@ -101,16 +102,17 @@ def instances(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return rows.select("doc_id", "th", "start", "end", F.when(F.col("kind") >= 0, F.col("kind")).alias("kind"), value.alias("value"), patterns(F.col("text"), F.col("start"), F.col("end")).alias("patterns"))
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, accepted: float = ACCEPTED) -> DataFrame:
+def bootstrap(found: DataFrame, rounds: int | None = None, support: int = SUPPORT, confidence: float = CONFIDENCE, accepted: float = ACCEPTED) -> DataFrame:
     """(value, kind) of discovered values of found (value, kind, patterns).
 
     Both sides of the graph are aggregated before they are joined, so a value or a pattern that a third of
-    all rows have is one value or pattern. The loop ends when a round discovers nothing.
+    all rows have is one value or pattern. The loop ends when a round discovers nothing, which comes as values
+    are finite, or after `rounds` rounds where that is given.
     """
     edges = saved(found.select("value", F.explode("patterns").alias("p")).distinct())
     known = saved(found.where("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind")))
     seeds = known
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         labelled = edges.join(known, "value", "left")
         each = labelled.groupBy("p").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(4)])
         most = F.greatest(*[F.col(f"k{k}") for k in range(4)])

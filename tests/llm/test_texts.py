@@ -47,6 +47,17 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert pii.find(df.limit(0)).count() == 0 and pii.redact(df).columns == df.columns
 
 
+def test_discovery_goes_on_until_a_round_finds_nothing(spark):
+    sizes, rows = [1024, 256, 64, 16, 4, 1], []
+    for layer, n in enumerate(sizes):  # each layer shares a context with the one before it and the one after it
+        for i in range(n):
+            contexts = [f"{kind} {c}" for c in (layer - 1, layer) if c >= 0 for kind in ("L", "LL", "LR", "RR")]
+            rows.append((f"v{layer}-{i}", None if layer else 0, contexts))
+    found = spark.createDataFrame(rows, "value string, kind int, patterns array<string>")
+    got = {r.value for r in pii.bootstrap(found).collect()}
+    assert got == {v for v, k, _ in rows if k is None}
+
+
 def test_redaction_of_overlaps(spark):
     df = spark.createDataFrame([(1, "x +1 415 555 2671 1111 y", 24, "k"), (2, None, 0, "k"), (3, "plain", 5, "k")], "doc_id long, text string, n_chars long, base string")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(df.drop("base")).collect()}
