@@ -1,158 +1,256 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of labelled rows is the set of examples (the bound is a parameter). Terms are words, word
-beginnings, and beginnings that recur; those that tell the classes apart in the sample make up the vector space. Each text is
-compared with every example that shares a term, blocks of examples in order of their best possible cosine,
-until no block can improve the k nearest. Their votes, weighted by cosine, are calibrated on the examples
-themselves, each without its own vote.
+A bounded sample of labelled rows is the set of examples (the bound is a parameter). The vector space has every
+term of the examples, of either label: words and word beginnings. A term weighs its idf times the share of its
+association with the label that is beyond chance, chi2 / (chi2 + SHRINK), whichever label it speaks for; so
+words that all texts share count little, and nothing is left out of a norm. The index lies in the shared folder:
+long lists by blocks of examples with the largest weight of each term in a block, short lists as they are, and
+whole vectors. Short lists are added up in full; the long lists of a block are read only if the block's largest
+weights let one of its examples reach the nearest found. Single precision only chooses, under a proven bound of
+its error; the cosines are then computed in double precision. The votes of the nearest, weighted by cosine, are
+calibrated on the examples themselves, each without its own vote.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
+import io
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import saved, small_batches, table
+from ledgerlens.llm.common import saved, scratch, small_batches, table
+from ledgerlens.llm.files import local, read_from, write_to
 
 #: Labelled rows that the fit uses at most: those whose id hashes lowest.
 EXAMPLES = 15_000
-TERMS = 2_000
 NEIGHBOURS = 15
-BLOCK = 128
-#: A term must occur in so many examples, deviate by so much chi-square, and raise the share of label 1 so many times.
-LEAST_DOCS, LEAST_CHI2, LEAST_LIFT = 4, 25.0, 2.0
+#: Examples of a block; texts that are scored together.
+BLOCK, TOGETHER = 128, 128
+#: Chi-square at which a term has half its idf.
+SHRINK = 25.0
+#: A list is long if so large a part of the examples is on it.
+LONG = 1 / 24
+#: Terms of least weight that hold this part of the examples' squared norms are looked up only for the chosen.
+TAIL = 5e-3
 REJECTED = 0.7
-REMEMBERED = 500_000
 
-WORD = re.compile(r"[^\W_]+")
+#: What separates words.
+APART = r"[^\pL\pM\pN]+"
 
 
-@lru_cache(maxsize=REMEMBERED // 5)
-def terms_of(piece: str) -> tuple[str, ...]:
-    """Words of a piece of text, and their beginnings of 4 and 5 letters."""
-    out: list[str] = []
-    for w in WORD.findall(piece.lower()):
-        out.append(w)
-        out += [f"{w[:n]}*" for n in (4, 5) if len(w) > n]
-    return tuple(out)
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Terms, and for each occurrence of one its text and its number among the terms, for a batch of texts.
+
+    Terms are words in lower case, and their beginnings of 4 and 5 letters with a star.
+    """
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), APART)
+    row = pc.list_parent_indices(lists).to_numpy()
+    flat = pc.list_flatten(lists).dictionary_encode()
+    words, at = flat.dictionary, flat.indices.to_numpy()
+    size = pc.utf8_length(words)
+    parts, rows, ats, first = [words], [row], [at], len(words)
+    for n in (4, 5):
+        made = pc.binary_join_element_wise(pc.utf8_slice_codeunits(pc.if_else(pc.greater(size, n), words, None), 0, n), "*", "").dictionary_encode()
+        own = made.indices.fill_null(-1).to_numpy()[at]
+        parts.append(made.dictionary)
+        rows.append(row[own >= 0])
+        ats.append(own[own >= 0] + first)
+        first += len(made.dictionary)
+    row, at = np.concatenate(rows), np.concatenate(ats)
+    full = pc.greater(pc.binary_length(pa.concat_arrays(parts)), 0).to_numpy(zero_copy_only=False)
+    kept = full[at] if len(at) else np.empty(0, bool)
+    return pa.concat_arrays(parts), row[kept].astype(np.int64), at[kept].astype(np.int64)
+
+
+@dataclass
+class Index:
+    """Arrays of a fitted model as they lie in the shared folder; files of this machine are mapped, not read."""
+
+    terms: pa.Array
+    weights: np.ndarray
+    place: np.ndarray  # row of each term among the long lists, -1 for a short list, -2 for the tail
+    starts: np.ndarray  # vectors: first entry of each distinct vector, in the order of the blocks
+    ids: np.ndarray
+    units: np.ndarray  # weight of each entry in its vector of norm 1
+    tails: np.ndarray  # norm of each vector's part in the tail
+    long: np.ndarray  # (blocks, long lists, BLOCK) weights
+    best: np.ndarray  # (long lists, blocks) largest weight
+    short_starts: np.ndarray  # short lists: first entry of each term
+    short_at: np.ndarray
+    short_weights: np.ndarray
+    member_starts: np.ndarray  # examples that share a vector
+    members: np.ndarray
+    labels: np.ndarray
+    scratchpad: np.ndarray | None = field(default=None, repr=False)
+
+    def save(self, to: str) -> None:
+        with write_to(f"{to}/terms.arrow") as f, pa.ipc.new_file(f, pa.schema([("t", pa.string())])) as made:
+            made.write_batch(pa.record_batch({"t": self.terms}))
+        for name in ARRAYS:
+            raw = io.BytesIO()
+            np.save(raw, getattr(self, name))
+            with write_to(f"{to}/{name}.npy") as f:
+                f.write(raw.getbuffer())
+
+    @staticmethod
+    def load(at: str) -> Index:
+        def one(name: str) -> np.ndarray:
+            uri = f"{at}/{name}.npy"
+            if path := local(uri):
+                return np.asarray(np.load(path, mmap_mode="r"))
+            with read_from(uri) as f:
+                return np.load(io.BytesIO(f.read()))
+
+        with read_from(f"{at}/terms.arrow") as f:
+            terms = pa.ipc.open_file(f.read()).read_all()["t"].combine_chunks()
+        return Index(terms, *map(one, ARRAYS))
+
+
+ARRAYS = [n for n in Index.__dataclass_fields__ if n not in ("terms", "scratchpad")]
+#: The index this worker has open, by its path.
+_OPEN: dict[str, Index] = {}
+
+
+def opened(at: str) -> Index:
+    if at not in _OPEN:
+        _OPEN.clear()
+        _OPEN[at] = Index.load(at)
+    return _OPEN[at]
+
+
+def vectors(index: Index, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, counts) of the index's terms in each text, by id."""
+    terms, row, at = terms_of(texts)
+    ids = pc.index_in(terms, value_set=index.terms).fill_null(-1).to_numpy().astype(np.int64)[at]
+    size = max(1, len(index.terms))
+    found, counts = np.unique((row * size + ids)[ids >= 0], return_counts=True)
+    cuts = np.searchsorted(found, np.arange(len(texts) + 1) * size)
+    return [(found[a:b] - i * size, counts[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from starts to ends of each pair, one after the other."""
+    sizes = ends - starts
+    total = int(sizes.sum())
+    return np.arange(total) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if total else np.empty(0, np.int64)
 
 
-def repeated(counts: dict[str, int]) -> dict[str, int]:
-    """counts, and a term of its own for each beginning that occurs twice or three times."""
-    out = dict(counts)
-    for t, n in counts.items():
-        if n > 1 and t[-1] == "*":
-            out[f"{t}#2"] = 1
-            if n > 2:
-                out[f"{t}#3"] = 1
+def _raw(index: Index, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return (1 + np.log(counts)) * index.weights[ids]
+
+
+def nearest(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[list[tuple[float, int]]]:
+    """For each query (ids, counts) the NEIGHBOURS examples of highest cosine over 0: (cosine, example), the earlier of equals first.
+
+    `but` names an example per query that is left out.
+    """
+    out: list[list[tuple[float, int]]] = []
+    for i in range(0, len(queries), TOGETHER):
+        out += _nearest(index, queries[i : i + TOGETHER], but[i : i + TOGETHER] if but else [-1] * len(queries[i : i + TOGETHER]))
+    return out
+
+
+def _nearest(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], but: list[int]) -> list[list[tuple[float, int]]]:
+    n, q, wanted = len(index.tails), len(queries), NEIGHBOURS + 1
+    blocks, lists = index.long.shape[0], index.long.shape[1]
+    if not n:
+        return [[] for _ in queries]
+    if index.scratchpad is None:
+        index.scratchpad = np.zeros(len(index.terms))
+    dense = np.zeros((q, lists), np.float32)
+    added = np.zeros((q, blocks * BLOCK), np.float32)
+    units, tails = [], np.zeros(q)
+    for i, (ids, counts) in enumerate(queries):
+        raw = _raw(index, ids, counts)
+        norm = math.sqrt(float(raw @ raw))
+        unit = raw / norm if norm else raw
+        units.append(unit)
+        place = index.place[ids]
+        dense[i, place[place >= 0]] = unit[place >= 0]
+        tails[i] = math.sqrt(float((unit[place == -2] ** 2).sum()))
+        short = ids[place == -1]
+        first, last = index.short_starts[short], index.short_starts[short + 1]
+        spans = list(zip(first.tolist(), last.tolist(), strict=True))
+        if spans:
+            weight = np.concatenate([index.short_weights[a:b] for a, b in spans])
+            weight *= np.repeat(unit[place == -1].astype(np.float32), last - first)
+            added[i] = np.bincount(np.concatenate([index.short_at[a:b] for a, b in spans]), weight, blocks * BLOCK)
+    # rounding of stored weights, of each product and of sums of nonnegative numbers up to 1, in single precision
+    error = (lists + 16) * 2.0**-23
+    bound = dense @ index.best + added.reshape(q, blocks, BLOCK).max(axis=2)
+    slack = tails[:, None] * index.tails[None, :] + error
+    score = np.full((q, blocks * BLOCK), -1.0, np.float32)
+    loose = slack.max(axis=1) + error if n else error
+    seen = np.zeros((q, blocks), bool)
+
+    def visit(b: int, rows: np.ndarray) -> None:
+        here = slice(b * BLOCK, (b + 1) * BLOCK)
+        score[rows, here] = dense[rows] @ index.long[b] + added[rows, here]
+        seen[rows, b] = True
+
+    first = np.argsort(-bound, axis=1, kind="stable")[:, :4]
+    for b in np.unique(first).tolist():
+        visit(b, np.flatnonzero((first == b).any(axis=1)))
+    some = score.reshape(q, blocks, BLOCK)[np.arange(q)[:, None], first].reshape(q, -1)
+    # a score that NEIGHBOURS examples other than the one left out have at least, whatever the tail adds
+    floor = np.partition(some, some.shape[1] - wanted, axis=1)[:, some.shape[1] - wanted].astype(float) - error
+    for b in np.argsort(-bound.max(axis=0), kind="stable").tolist():
+        rows = np.flatnonzero(~seen[:, b] & (bound[:, b] + loose >= floor) & (bound[:, b] + loose > error))
+        if len(rows):
+            visit(b, rows)
+    score = score[:, :n]
+    out = []
+    for i, (ids, _) in enumerate(queries):
+        high = score[i][score[i] >= max(floor[i], 0.0)]
+        floor[i] = max(0.0, np.partition(high, len(high) - wanted)[len(high) - wanted] - error) if len(high) >= wanted else 0.0
+        chosen = np.flatnonzero((score[i] >= 0) & (score[i] + slack[i] >= floor[i]) & (score[i] + slack[i] > error)) if len(ids) else np.empty(0, np.int64)
+        if tails[i]:  # a text that meets an example only in the tail may be near as well
+            chosen = chosen if floor[i] > 0 else np.arange(n)
+        pad = index.scratchpad
+        pad[ids] = units[i]
+        first_, last_ = index.starts[chosen], index.starts[chosen + 1]
+        at = _ranges(first_, last_)
+        got = pad[index.ids[at]] * index.units[at]
+        sums = np.add.reduceat(got, np.concatenate([[0], np.cumsum(last_ - first_)[:-1]])) if len(got) else np.zeros(len(chosen))
+        pad[ids] = 0
+        cosine = np.minimum(sums, 1.0)
+        top = chosen[np.lexsort((index.members[index.member_starts[chosen]], -np.round(cosine, 12)))[:wanted]]
+        value = dict(zip(chosen.tolist(), cosine.tolist(), strict=True))
+        lasts = np.minimum(index.member_starts[top + 1], index.member_starts[top] + wanted)
+        each = index.members[_ranges(index.member_starts[top], lasts)].tolist()
+        of = np.repeat(top, lasts - index.member_starts[top]).tolist()
+        found = [(value[c], e) for c, e in zip(of, each, strict=True) if e != but[i] and value[c] > 0]
+        out.append(sorted(found, key=lambda x: (-round(x[0], 12), x[1]))[:NEIGHBOURS])
     return out
 
 
 @dataclass
 class Model:
-    """Vocabulary, examples and calibration: all bounded by EXAMPLES and TERMS."""
+    """Where the index lies, the examples' ids and labels, and the calibration: all bounded by EXAMPLES."""
 
-    vocab: dict[str, int]
-    idf: np.ndarray
+    at: str
     ids: list
     labels: np.ndarray
-    vectors: list[dict[int, float]]
     prior: float
-    blank: float
     steps: tuple[np.ndarray, np.ndarray] | None = None
-    blocks: list | None = None
-    best: np.ndarray | None = None
-    counted: frozenset = frozenset()
-    known: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    memo: dict = field(default_factory=dict)
-
-    def index(self) -> None:
-        """For each block of examples the rows of its terms, each term's row in it, and its largest weight."""
-        n, blocks = max(1, len(self.vocab)), max(1, -(-len(self.vectors) // BLOCK))
-        self.best = np.zeros((n, blocks), np.float32)
-        self.blocks = []
-        for b in range(blocks):
-            part = self.vectors[b * BLOCK : (b + 1) * BLOCK]
-            there = sorted({t for v in part for t in v})
-            row = np.full(n, -1, np.int32)
-            row[there] = np.arange(len(there))
-            weights = np.zeros((len(there), BLOCK), np.float32)
-            for e, v in enumerate(part):
-                for t, w in v.items():
-                    weights[row[t], e] = w
-            self.best[there, b] = weights.max(axis=1) if there else 0
-            self.blocks.append((row, weights))
-        self.counted = frozenset(t.split("#")[0] for t in self.vocab)
-
-    def __getstate__(self) -> dict:
-        """Without what index() makes again: workers build it once."""
-        return self.__dict__ | {"blocks": None, "best": None, "known": {}, "memo": {}}
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        known, found = self.known, Counter()
-        for p in (text or "").split():
-            got = known.get(p)
-            if got is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                got = known[p] = tuple(t for t in terms_of(p) if t in self.counted)
-            if got:
-                found.update(got)
-        return {self.vocab[t]: n for t, n in repeated(found).items() if t in self.vocab}
-
-    def nearest(self, vector: dict[int, float], but: int = -1) -> list[tuple[float, int]]:
-        """The NEIGHBOURS examples of highest cosine over 0, (cosine, example), the earlier of equals first."""
-        if not vector:
-            return []
-        if self.blocks is None:
-            self.index()
-        terms = np.array(sorted(vector))
-        weights = np.array([vector[t] for t in terms.tolist()], np.float32)
-        bound = weights @ self.best[terms]
-        top: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(top) == NEIGHBOURS and bound[b] < top[0][0] - 1e-5:
-                break
-            row, matrix = self.blocks[b]
-            rows = row[terms]
-            got = weights[rows >= 0] @ matrix[rows[rows >= 0]]
-            least = top[0][0] if len(top) == NEIGHBOURS else 0.0
-            for i in np.flatnonzero((got > 0) & (got >= least - 1e-6)).tolist():
-                e = b * BLOCK + i
-                if e != but:
-                    entry = (round(float(got[i]), 6), -e)
-                    if len(top) < NEIGHBOURS:
-                        heapq.heappush(top, entry)
-                    elif entry > top[0]:
-                        heapq.heapreplace(top, entry)
-        return [(s, -e) for s, e in sorted(top, reverse=True)]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the nearest by cosine, the prior counting as one of cosine 0.1."""
         weight = sum(s for s, _ in near)
         return (sum(s for s, e in near if self.labels[e]) + 0.1 * self.prior) / (weight + 0.1)
 
-    def calibrate(self) -> None:
+    def calibrate(self, votes: list[tuple[float, int]]) -> None:
         """The nearest rising function from votes to labels, by pooling adjacent violators."""
-        pairs = sorted((self.vote(self.nearest(v, e)), int(self.labels[e])) for e, v in enumerate(self.vectors) if v)
         pools: list[list[float]] = []
-        for x, y in pairs:
+        for x, y in sorted(votes):
             pools.append([x, x, y, 1])
             while len(pools) > 1 and (pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3] or pools[-2][1] == pools[-1][0]):
                 last = pools.pop()
@@ -162,69 +260,150 @@ class Model:
             ys = np.array([y for p in pools for y in [(p[2] + self.prior) / (p[3] + 1)] * 2])
             self.steps = xs, np.maximum.accumulate(ys)
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        """Score from 0 to 1, and the nearest examples as evidence. A text without any term gets the share of such examples."""
-        counts = self.counts(text)
-        if not counts:
-            return self.blank, []
-        key = tuple(sorted(counts.items()))
-        got = self.memo.get(key)
-        if got is None:
-            if len(self.memo) > REMEMBERED // 10:
-                self.memo.clear()
-            near = self.nearest(self.vector(counts))
-            value = self.vote(near) if near else self.blank
-            if near and self.steps:
-                value = float(np.interp(value, *self.steps))
-            got = self.memo[key] = (min(1.0, max(0.0, value)), near)
-        return got
+    def score(self, near: list[tuple[float, int]]) -> float:
+        """From 0 to 1. A text near no example, an empty one too, gets the examples' share of label 1."""
+        if not near:
+            return self.prior
+        value = self.vote(near)
+        return min(1.0, max(0.0, float(np.interp(value, *self.steps)) if self.steps else value))
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Score and nearest examples of each text; equal texts are compared once."""
+        index = opened(self.at)
+        own = list(dict.fromkeys(texts))
+        near = dict(zip(own, nearest(index, vectors(index, pa.array(own, pa.string()))), strict=True))
+        return [(self.score(near[t]), near[t]) for t in texts]
 
 
 def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
+def _ordered(dense: np.ndarray, rounds: int = 4, centers: int = 64) -> np.ndarray:
+    """An order of the rows that puts like ones side by side: clusters by cosine, so that blocks have low bounds."""
+    at = dense[np.linspace(0, len(dense) - 1, min(centers, len(dense))).astype(int)]
+    for _ in range(rounds):
+        own = (dense @ at.T).argmax(axis=1)
+        at = np.stack([dense[own == c].sum(axis=0) if (own == c).any() else at[c] for c in range(len(at))])
+        at /= np.maximum(np.sqrt((at * at).sum(axis=1, keepdims=True)), 1e-12)
+    return np.argsort((dense @ at.T).argmax(axis=1), kind="stable")
+
+
+def build(terms: pa.Array, weights: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Index:
+    """The index of the examples' (ids, counts); examples of equal vectors share one."""
+    groups: dict[bytes, list[int]] = {}
+    for e, (ids, counts) in enumerate(entries):
+        groups.setdefault(hashlib.sha256(ids.tobytes() + counts.tobytes()).digest(), []).append(e)
+    groups = {k: v for k, v in groups.items() if len(entries[v[0]][0])}
+    kept = [entries[v[0]] for v in groups.values()]
+    members = list(groups.values())
+    n = len(kept)
+    sizes = np.array([len(ids) for ids, _ in kept], np.int64)
+    ids = np.concatenate([i for i, _ in kept]) if n else np.empty(0, np.int32)
+    counts = np.concatenate([c for _, c in kept]) if n else np.empty(0, np.uint16)
+    row = np.repeat(np.arange(n), sizes)
+    raw = (1 + np.log(counts)) * weights[ids]
+    norms = np.sqrt(np.bincount(row, raw * raw, n))
+    unit = raw / norms[row]
+    df = np.bincount(ids, minlength=len(terms))
+    energy = np.bincount(ids, unit * unit, len(terms))
+    light = np.argsort(weights, kind="stable")
+    tail = light[np.cumsum(energy[light]) <= TAIL * max(1, n)]
+    place = np.full(len(terms), -1, np.int32)
+    place[tail] = -2
+    often = np.flatnonzero((df > LONG * n) & (place == -1))
+    place[often] = np.arange(len(often))
+    lists = len(often)
+    at = place[ids]
+    dense = np.zeros((n, lists), np.float32)
+    dense[row[at >= 0], at[at >= 0]] = unit[at >= 0]
+    order = _ordered(dense) if n and lists else np.arange(n)
+    blocks = max(1, -(-n // BLOCK))
+    padded = np.zeros((blocks * BLOCK, lists), np.float32)
+    padded[:n] = dense[order]
+    long = np.ascontiguousarray(padded.reshape(blocks, BLOCK, lists).transpose(0, 2, 1))
+    new = np.empty(n, np.int64)
+    new[order] = np.arange(n)
+    short = np.flatnonzero(at == -1)
+    short = short[np.argsort(ids[short], kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    take = _ranges(starts[:-1][order], starts[1:][order])
+    tails = np.sqrt(np.bincount(row[at == -2], unit[at == -2] ** 2, n))
+    return Index(
+        terms=terms, weights=weights, place=place, starts=np.concatenate([[0], np.cumsum(sizes[order])]), ids=ids[take].astype(np.int32), units=unit[take], tails=tails[order],
+        long=long, best=long.max(axis=2).T.copy(), short_starts=np.concatenate([[0], np.cumsum(np.bincount(ids[short], minlength=len(terms)))]), short_at=new[row[short]].astype(np.int32), short_weights=unit[short].astype(np.float32),
+        member_starts=np.concatenate([[0], np.cumsum([len(members[i]) for i in order])]).astype(np.int64), members=np.array([e for i in order for e in members[i]], np.int64), labels=labels,
+    )
+
+
+def weighed(df: np.ndarray, hit: np.ndarray, n: int, positive: int) -> np.ndarray:
+    """The weight of terms that are in df of n examples, hit of them among the `positive` of label 1."""
+    gap = hit * n - df * positive
+    chi2 = gap * gap * n / np.maximum(float(positive) * (n - positive) * df * (n - df), 1e-9)
+    return np.log((1 + n) / (1 + df)) * chi2 / (chi2 + SHRINK)
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Model:
     """The model of at most `examples` labelled rows whose crc32(doc_id) mod 3 isn't 1.
 
     Rows without a label or an id, and ids without a document, teach nothing. Of ids labelled twice the
-    highest label counts; of documents that share an id, each is an example. Without examples every score is 0.
+    highest label counts; of documents that share an id, each different text is an example. Without examples every score is 0.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & learnable(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     chosen = saved(known.orderBy(F.xxhash64("_id"), "_id").limit(examples))  # bounded, so it is broadcast
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), F.xxhash64(text).alias("_th"))
+    keys = rows.select("_id", "_th").join(F.broadcast(chosen), "_id").distinct().orderBy(F.xxhash64("_id"), "_id", "_th").limit(examples)
+    found = keys.collect()
+    own = np.array([r["_label"] for r in found], np.int64)
+    n, positive = len(found), int(own.sum())
+    numbered = spark.createDataFrame([(r["_id"], r["_th"], i) for i, r in enumerate(found)], rows.select("_id", "_th").schema.add("_e", "long"))
+    seen = saved(rows.join(F.broadcast(numbered), ["_id", "_th"]).dropDuplicates(["_e"]).select("_e", "_text"))
+    shared = spark.sparkContext.broadcast(own)
+
+    def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, row, at_ = terms_of(b.column(1))
+            once = np.unique(at_ * len(b) + row)  # each term once a text
+            mark = shared.value[b.column(0).to_numpy()][once % max(1, len(b))]
+            df = np.bincount(once // max(1, len(b)), minlength=len(terms)).astype(np.int64)
+            hit = np.bincount(once // max(1, len(b)), mark, len(terms)).astype(np.int64)
+            there = pa.array(df > 0)
+            yield pa.record_batch({"t": terms.filter(there), "df": pa.array(df).filter(there), "hit": pa.array(hit).filter(there)})
+
+    stats = seen.mapInArrow(statistics, "t string, df long, hit long").groupBy("t").agg(F.sum("df").alias("df"), F.sum("hit").alias("hit"))
+    got = stats.toArrow().sort_by("t")  # all terms of the examples, so bounded by them
+    weights = weighed(got["df"].to_numpy().astype(float), got["hit"].to_numpy().astype(float), n, positive) if 0 < positive < n else np.zeros(len(got))
+    terms, weights = got["t"].combine_chunks().cast(pa.string()).filter(pa.array(weights > 0)), weights[weights > 0]
+    at = scratch(spark, "toxicity")
+    empty = build(terms, weights, [], own)
+    empty.save(f"{at}/terms")
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = opened(f"{at}/terms")
+        for b in batches:
+            made = vectors(index, b.column(1))
+            yield pa.record_batch({"e": b.column(0), "ids": pa.array([i.astype(np.int32) for i, _ in made], pa.list_(pa.int32())), "counts": pa.array([c.astype(np.int32) for _, c in made], pa.list_(pa.int32()))})
+
+    got = seen.mapInArrow(entries, "e long, ids array<int>, counts array<int>").toArrow().sort_by("e")
+    made = [(np.asarray(i.values.to_numpy()), np.asarray(c.values.to_numpy())) for i, c in zip(got["ids"], got["counts"], strict=True)]
+    del got
+    build(terms, weights, made, own).save(f"{at}/index")
+    del made
+    model = Model(f"{at}/index", [str(r["_id"]) for r in found], own, positive / n if n else 0.0)
+    sent = spark.sparkContext.broadcast(model)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = opened(sent.value.at)
         for b in batches:
-            made = [repeated(Counter(t for p in (x or "").split() for t in terms_of(p))) for x in b.column(1).to_pylist()]
-            yield pa.record_batch({"_id": b.column(0), "_label": b.column(2), "terms": pa.array([list(m) for m in made], pa.list_(pa.string())), "counts": pa.array([list(m.values()) for m in made], pa.list_(pa.int32()))})
-
-    kind = rows.schema["_id"].dataType.simpleString()
-    seen = saved(rows.select("_id", "_text", "_label").mapInArrow(count, f"_id {kind}, _label int, terms array<string>, counts array<int>"))
-    n, positive = seen.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
-    prior = positive / n if n else 0.0
-    df, hit = F.col("df"), F.col("hit")
-    gap = hit * n - df * positive
-    chi2 = gap * gap * n / (F.lit(float(positive)) * float(n - positive) * df * (n - df) + 1e-9)
-    lift = (hit / df) / (prior or 1)
-    stats = seen.select("_label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("_label").cast("double").alias("hit"))
-    stats = stats.where((df >= LEAST_DOCS) & (chi2 >= LEAST_CHI2) & (lift >= LEAST_LIFT))
-    best = stats.withColumn("chi2", chi2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect() if 0 < positive < n else []
-    vocab = {r["term"]: i for i, r in enumerate(best)}
-    idf = np.array([math.log((1 + n) / (1 + r["df"])) for r in best])
-    wanted = docs.sparkSession.createDataFrame([(t, i) for t, i in vocab.items()] or [("", -1)], "term string, at int")
-    numbered = seen.withColumn("row", F.monotonically_increasing_id())
-    pairs = numbered.select("row", "_id", "_label", F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-    pairs = pairs.select("row", "_id", "_label", F.col("x.terms").alias("term"), F.col("x.counts").alias("n")).join(F.broadcast(wanted), "term")
-    found = pairs.groupBy("row", "_id", "_label").agg(F.collect_list(F.struct("at", "n")).alias("counts")).orderBy("_id", "_label", F.xxhash64(F.array_sort("counts"))).collect()
-    model = Model(vocab, idf, [r["_id"] for r in found], np.array([r["_label"] for r in found], int), [], prior, 0.0)
-    model.vectors = [model.vector({c["at"]: c["n"] for c in r["counts"]}) for r in found]
-    blank = n - len(found)
-    model.blank = (positive - int(model.labels.sum()) + prior) / (blank + 1)
-    model.index()
-    model.calibrate()
+            e = b.column(0).to_pylist()
+            near = nearest(index, vectors(index, b.column(1)), e)
+            yield pa.record_batch({"e": b.column(0), "vote": pa.array([sent.value.vote(x) if x else None for x in near], pa.float64())})
+
+    told = seen.mapInArrow(votes, "e long, vote double").where("vote IS NOT NULL").collect()
+    model.calibrate([(r["vote"], int(own[r["e"]])) for r in told])
     return model
 
 
@@ -236,8 +415,8 @@ def scorer(spark: SparkSession, model: Model):
     @F.pandas_udf("score double, evidence array<struct<doc_id:string,cosine:double,label:int>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         own = sent.value
-        got = [own.score(t) for t in texts]
-        return pd.DataFrame({"score": [s for s, _ in got], "evidence": [[{"doc_id": str(own.ids[e]), "cosine": c, "label": int(own.labels[e])} for c, e in near[:3]] for _, near in got]})
+        got = own.scores(texts.tolist())
+        return pd.DataFrame({"score": [s for s, _ in got], "evidence": [[{"doc_id": own.ids[e], "cosine": c, "label": int(own.labels[e])} for c, e in near[:3]] for _, near in got]})
 
     return run
 

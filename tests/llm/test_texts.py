@@ -1,8 +1,11 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerlens.llm import passages, pii, toxicity
 
@@ -95,20 +98,98 @@ def test_toxicity(spark, tmp_path):
     assert toxicity.keep_civil(d, lab.limit(0)).count() == len(docs)
 
 
-def test_nearest_is_exact():
+def brute_scores(examples, queries):
+    """Scores by the docstring's words: all pairs, plain sums, isotonic regression by its max-min formula."""
+
+    def terms(t):
+        words = re.findall(r"[^\W_]+", (t or "").lower())
+        return Counter(words + [f"{w[:n]}*" for w in words for n in (4, 5) if len(w) > n])
+
+    n, positive = len(examples), sum(y for _, y in examples)
+    df, hit = Counter(), Counter()
+    for t, y in examples:
+        df.update(terms(t).keys())
+        hit.update(k for k in terms(t) if y)
+
+    def weight(t):
+        gap = hit[t] * n - df[t] * positive
+        chi2 = gap * gap * n / max(positive * (n - positive) * df[t] * (n - df[t]), 1e-9)
+        return math.log((1 + n) / (1 + df[t])) * chi2 / (chi2 + 25) if df[t] else 0.0
+
+    def vector(t):
+        raw = {k: (1 + math.log(c)) * weight(k) for k, c in terms(t).items() if weight(k) > 0}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        return {k: w / norm for k, w in raw.items()}
+
+    vectors, prior = [vector(t) for t, _ in examples], positive / n
+
+    def vote(v, but=None):
+        near = sorted((-round(sum(w * e.get(k, 0) for k, w in v.items()), 12), i) for i, e in enumerate(vectors) if i != but)[:15]
+        near = [(-s, i) for s, i in near if s < 0]
+        if near:
+            return (sum(s * examples[i][1] for s, i in near) + 0.1 * prior) / (sum(s for s, _ in near) + 0.1)
+
+    pairs = sorted((vote(v, i), examples[i][1]) for i, v in enumerate(vectors) if vote(v, i) is not None)
+    groups = [(x, [y for z, y in pairs if z == x]) for x in sorted({x for x, _ in pairs})]
+    mean = lambda i, j: sum(sum(y) for _, y in groups[i : j + 1]) / sum(len(y) for _, y in groups[i : j + 1])
+    fitted = [max(min(mean(i, j) for j in range(k, len(groups))) for i in range(k + 1)) for k in range(len(groups))]
+    steps = []
+    for value in dict.fromkeys(round(f, 9) for f in fitted):
+        pool = [g for g, f in zip(groups, fitted, strict=True) if round(f, 9) == value]
+        ones, size = sum(sum(y) for _, y in pool), sum(len(y) for _, y in pool)
+        steps += [(pool[0][0], (ones + prior) / (size + 1)), (pool[-1][0], (ones + prior) / (size + 1))]
+    xs, ys = [x for x, _ in steps], np.maximum.accumulate([y for _, y in steps])
+    votes = [vote(vector(q)) for q in queries]
+    return [prior if v is None else float(np.interp(v, xs, ys)) for v in votes]
+
+
+def test_scores_against_brute_force(spark):
+    docs, labels = corpus(240)
+    docs += [(5000 + i, docs[i][1], "x") for i in range(0, 60, 2)]  # copies share a vector
+    labels += [(5000 + i, 1, i % 3 == 0) for i in range(0, 60, 2)]
+    docs += [(6000, "zzz unknown words only", "x"), (6001, "vermin " * 30_000, "x"), (6002, None, "x"), (6003, " .,- ", "x")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _text string")
+    model = toxicity.fit(d, spark.createDataFrame([(i, q, int(t)) for i, q, t in labels], "doc_id long, quality int, toxic int"))
+    text, told = {i: t for i, t, _ in docs}, {i: int(t) for i, _, t in labels}
+    examples = [(text[int(i)], told[int(i)]) for i in model.ids]
+    assert [told[int(i)] for i in model.ids] == model.labels.tolist() and len(model.ids) > 150
+    queries = [t for _, t, _ in docs]
+    got = model.scores(queries)
+    want = brute_scores(examples, queries)
+    assert max(abs(s - w) for (s, _), w in zip(got, want, strict=True)) < 1e-8
+    assert len({round(w, 6) for w in want}) > 3 and got[-1][1] == [] and got[-1][0] == model.prior
+
+
+def test_nearest_is_exact_whatever_is_skipped(monkeypatch):
     rnd = random.Random(2)
-    vectors = []
-    for _ in range(700):
-        v = {t: rnd.random() for t in rnd.sample(range(40), rnd.randint(1, 6))}
-        norm = sum(w * w for w in v.values()) ** 0.5
-        vectors.append({t: w / norm for t, w in v.items()})
-    m = toxicity.Model({str(t): t for t in range(40)}, np.ones(40), list(range(700)), np.zeros(700, int), vectors, 0.1, 0.1)
-    m.index()
-    for q in vectors[:40]:
-        every = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9), e) for e, v in enumerate(vectors)))
-        got = m.nearest(q)
-        assert len(got) == min(toxicity.NEIGHBOURS, sum(s < 0 for s, _ in every))
-        assert all(abs(s + t) < 1e-5 for (s, _), (t, _) in zip(every, got, strict=False))
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    for tail, long in ((5e-3, 1 / 24), (0.2, 1 / 8), (0.0, 1.0)):
+        monkeypatch.setattr(toxicity, "TAIL", tail)
+        monkeypatch.setattr(toxicity, "LONG", long)
+        weights = np.array([rnd.random() ** 3 + 1e-6 for _ in range(300)])
+        entries = []
+        for i in range(600):
+            own = sorted(rnd.sample(range(60 * (i % 4), 60 * (i % 4) + 70), rnd.randint(0, 25)))
+            entries.append((np.array(own, np.int64), np.array([rnd.randint(1, 4) for _ in own], np.int64)))
+        entries += entries[:50]
+        index = toxicity.build(pa.array([f"t{i:03}" for i in range(300)]), weights, entries, np.zeros(650, int))
+        vectors = np.zeros((650, 300))
+        for e, (ids, counts) in enumerate(entries):
+            vectors[e, ids] = (1 + np.log(counts)) * weights[ids]
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+        cosine = vectors @ vectors.T
+        but = [e if e % 2 else -1 for e in range(650)]
+        for e, got in enumerate(toxicity.nearest(index, entries, but)):
+            want = sorted((-round(c, 12), i) for i, c in enumerate(np.minimum(cosine[e], 1).tolist()) if c > 0 and i != but[e])[: toxicity.NEIGHBOURS]
+            assert len(got) == len(want) and all(abs(c + w) < 1e-10 for (c, _), (w, _) in zip(got, want, strict=True))
+
+
+def test_toxicity_of_empty_tables(spark):
+    docs, labels = corpus(30)
+    d = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.keep_civil(d.limit(0), lab).count() == 0
+    assert toxicity.keep_civil(d.limit(0), lab.limit(0)).columns == d.columns
 
 
 def test_passages_against_brute_force(spark):
