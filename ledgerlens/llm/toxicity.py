@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import io
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -293,18 +294,19 @@ def build(terms: pa.Array, weights: np.ndarray, entries: list[tuple[np.ndarray,
     """The index of the examples' (ids, counts); examples of equal vectors share one."""
     groups: dict[bytes, list[int]] = {}
     for e, (ids, counts) in enumerate(entries):
-        groups.setdefault(hashlib.sha256(ids.tobytes() + counts.tobytes()).digest(), []).append(e)
-    groups = {k: v for k, v in groups.items() if len(entries[v[0]][0])}
-    kept = [entries[v[0]] for v in groups.values()]
+        if len(ids):
+            groups.setdefault(hashlib.sha256(ids.tobytes() + counts.tobytes()).digest(), []).append(e)
     members = list(groups.values())
+    kept = [entries[v[0]] for v in members]
     n = len(kept)
     sizes = np.array([len(ids) for ids, _ in kept], np.int64)
-    ids = np.concatenate([i for i, _ in kept]) if n else np.empty(0, np.int32)
-    counts = np.concatenate([c for _, c in kept]) if n else np.empty(0, np.uint16)
-    row = np.repeat(np.arange(n), sizes)
-    raw = (1 + np.log(counts)) * weights[ids]
-    norms = np.sqrt(np.bincount(row, raw * raw, n))
-    unit = raw / norms[row]
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    ids = np.concatenate([i for i, _ in kept], dtype=np.int32) if n else np.empty(0, np.int32)
+    unit = np.empty(len(ids))
+    for (i, c), first in zip(kept, starts.tolist(), strict=False):
+        raw = (1 + np.log(c)) * weights[i]
+        unit[first : first + len(i)] = raw / math.sqrt(float(raw @ raw))
+    del kept, entries
     df = np.bincount(ids, minlength=len(terms))
     energy = np.bincount(ids, unit * unit, len(terms))
     light = np.argsort(weights, kind="stable")
@@ -314,24 +316,28 @@ def build(terms: pa.Array, weights: np.ndarray, entries: list[tuple[np.ndarray,
     often = np.flatnonzero((df > LONG * n) & (place == -1))
     place[often] = np.arange(len(often))
     lists = len(often)
-    at = place[ids]
-    dense = np.zeros((n, lists), np.float32)
-    dense[row[at >= 0], at[at >= 0]] = unit[at >= 0]
+    dense, tails = np.zeros((n, lists), np.float32), np.zeros(n)
+    for v in range(n):
+        here = slice(starts[v], starts[v + 1])
+        at = place[ids[here]]
+        dense[v, at[at >= 0]] = unit[here][at >= 0]
+        tails[v] = math.sqrt(float((unit[here][at == -2] ** 2).sum()))
     order = _ordered(dense) if n and lists else np.arange(n)
     blocks = max(1, -(-n // BLOCK))
-    padded = np.zeros((blocks * BLOCK, lists), np.float32)
-    padded[:n] = dense[order]
-    long = np.ascontiguousarray(padded.reshape(blocks, BLOCK, lists).transpose(0, 2, 1))
-    new = np.empty(n, np.int64)
+    long = np.zeros((blocks, lists, BLOCK), np.float32)
+    for b in range(blocks):
+        some = order[b * BLOCK : (b + 1) * BLOCK]
+        long[b, :, : len(some)] = dense[some].T
+    del dense
+    new = np.empty(n, np.int32)
     new[order] = np.arange(n)
-    short = np.flatnonzero(at == -1)
+    short = np.flatnonzero(place[ids] == -1)
     short = short[np.argsort(ids[short], kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
     take = _ranges(starts[:-1][order], starts[1:][order])
-    tails = np.sqrt(np.bincount(row[at == -2], unit[at == -2] ** 2, n))
     return Index(
-        terms=terms, weights=weights, place=place, starts=np.concatenate([[0], np.cumsum(sizes[order])]), ids=ids[take].astype(np.int32), units=unit[take], tails=tails[order],
-        long=long, best=long.max(axis=2).T.copy(), short_starts=np.concatenate([[0], np.cumsum(np.bincount(ids[short], minlength=len(terms)))]), short_at=new[row[short]].astype(np.int32), short_weights=unit[short].astype(np.float32),
+        terms=terms, weights=weights, place=place, starts=np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64), ids=ids[take], units=unit[take], tails=tails[order],
+        long=long, best=long.max(axis=2).T.copy(), short_starts=np.concatenate([[0], np.cumsum(np.bincount(ids[short], minlength=len(terms)))]).astype(np.int64),
+        short_at=np.repeat(new, sizes)[short], short_weights=unit[short].astype(np.float32),
         member_starts=np.concatenate([[0], np.cumsum([len(members[i]) for i in order])]).astype(np.int64), members=np.array([e for i in order for e in members[i]], np.int64), labels=labels,
     )
 
@@ -387,12 +393,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             made = vectors(index, b.column(1))
             yield pa.record_batch({"e": b.column(0), "ids": pa.array([i.astype(np.int32) for i, _ in made], pa.list_(pa.int32())), "counts": pa.array([c.astype(np.int32) for _, c in made], pa.list_(pa.int32()))})
 
-    got = seen.mapInArrow(entries, "e long, ids array<int>, counts array<int>").toArrow().sort_by("e")
-    made = [(np.asarray(i.values.to_numpy()), np.asarray(c.values.to_numpy())) for i, c in zip(got["ids"], got["counts"], strict=True)]
-    del got
-    build(terms, weights, made, own).save(f"{at}/index")
-    del made
-    model = Model(f"{at}/index", [str(r["_id"]) for r in found], own, positive / n if n else 0.0)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = [(np.empty(0, np.int32), np.empty(0, np.int32))] * len(shared.value)
+        for b in batches:
+            for e, i, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                made[e] = (i.values.to_numpy().copy(), c.values.to_numpy().copy())
+        own_ = opened(f"{at}/terms")
+        to = f"{at}/{uuid.uuid4().hex}"  # a task that runs again writes another one
+        build(own_.terms, own_.weights, made, shared.value).save(to)
+        yield pa.record_batch({"at": pa.array([to])})
+
+    made = saved(seen.mapInArrow(entries, "e long, ids array<int>, counts array<int>"))
+    lies = made.coalesce(1).mapInArrow(make, "at string").collect()  # the examples' entries, so bounded by them
+    model = Model(lies[0]["at"] if lies else f"{at}/terms", [str(r["_id"]) for r in found], own, positive / n if n else 0.0)
     sent = spark.sparkContext.broadcast(model)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
