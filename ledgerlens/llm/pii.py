@@ -14,7 +14,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import lower_ascii, saved, table
+from ledgerlens.llm.common import free, lower_ascii, saved, table
 
 KINDS = ("email", "ip", "card", "phone")
 # Each finds what the plain pattern finds, leftmost and non-overlapping, but in linear time and without
@@ -24,12 +24,12 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # Only runs of 12 to 19 digits: others would be dropped. A run that is longer has no match within it.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-PART = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+PART = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])?"  # zeros alone are a part, too
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+(?:\x20[^\s0-9]*+[0-9]\S*+)*+"
-#: Code points of context on each side.
+#: Code points of context on each side; part of the patterns' definition.
 AROUND = 48
 SUPPORT, CONFIDENCE, ACCEPTED = 3, 0.8, 0.95
-SPAN = "struct<start:int,kind:int,end:int>"
+SPAN, ITEM = "struct<start:int,kind:int,end:int>", "struct<gap:string,hit:string>"
 
 
 def _digits(m: Column) -> Column:
@@ -47,19 +47,41 @@ def _valid(kind: int, m: Column) -> Column:
     return [F.lit(True), m.rlike(rf"^(?:{PART}\.){{3}}{PART}$"), n.between(12, 19) & _luhn(m), n.between(9, 15)][kind]
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def in_order(items: Column, kind: str, start: Column, step) -> Column:
+    """The spans that step(state, item) -> (state, span or null) keeps of items of that kind, from the left.
+
+    A fold that appends to one array copies it each time; here a block of items is folded into an array of its own,
+    as many blocks as a block has items, so n items cost n times the root of n at most.
+    """
+    size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    blocks = F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), ((F.size(items) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, size))).otherwise(F.array().cast(f"array<array<{kind}>>"))
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def one(a: Column, x: Column) -> Column:
+        return _bound(step(a["state"], x), lambda r: F.struct(r["state"].alias("state"), F.when(r["kept"].isNotNull(), F.array_append(a["out"], r["kept"])).otherwise(a["out"]).alias("out")))
+
+    def some(a: Column, block: Column) -> Column:
+        return _bound(F.aggregate(block, F.struct(a["state"].alias("state"), none.alias("out")), one), lambda r: F.struct(r["state"].alias("state"), F.array_append(a["out"], r["out"]).alias("out")))
+
+    return F.flatten(F.aggregate(blocks, F.struct(start.alias("state"), F.array().cast(f"array<array<{SPAN}>>").alias("out")), some)["out"])
+
+
 def matches(text: Column, pattern: str, kind: int, valid: bool = True) -> Column:
     """Spans (start, kind, end) in code points of the pattern's valid matches, in order."""
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
         good = x["hit"].isNotNull() & (_valid(kind, x["hit"]) if valid else F.lit(True))
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(good, F.array_append(a["out"], one)).otherwise(a["out"]).alias("out"))
+        return F.struct(end.alias("state"), F.when(good, F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).alias("kept"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    return _bound(both, lambda b: in_order(b, ITEM, F.lit(0), step))
 
 
 def base_spans(text: Column) -> Column:
@@ -75,10 +97,14 @@ def _words(text: Column) -> Column:
 
 
 def patterns(text: Column, start: Column, end: Column) -> Column:
-    """Lexical patterns around a span: the word before, two before, one on each side, two after."""
-    first = F.greatest(start - AROUND, F.lit(0))
-    before = _words(F.substring(text, first + 1, start - first))
-    after = _words(F.substring(text, end + 1, F.lit(AROUND)))
+    """Lexical patterns around a span: the word before, two before, one on each side, two after.
+
+    Words count that lie whole within AROUND code points. One more is read: unless it is white space, what touches it is cut off.
+    """
+    first = F.greatest(start - AROUND - 1, F.lit(0))
+    ahead, behind = F.substring(text, first + 1, start - first), F.substring(text, end + 1, F.lit(AROUND + 1))
+    before = _words(F.when(first > 0, F.regexp_replace(ahead, r"^\S+", "")).otherwise(ahead))
+    after = _words(F.when(F.length(behind) > AROUND, F.regexp_replace(behind, r"\S+$", "")).otherwise(behind))
     l1, l2 = F.try_element_at(before, F.lit(-1)), F.try_element_at(before, F.lit(-2))
     r1, r2 = F.try_element_at(after, F.lit(1)), F.try_element_at(after, F.lit(2))
     made = [F.concat(F.lit("L "), l1), F.concat(F.lit("LL "), l2, F.lit(" "), l1), F.concat(F.lit("LR "), l1, F.lit(" "), r1), F.concat(F.lit("RR "), r1, F.lit(" "), r2)]
@@ -138,13 +164,14 @@ def discovered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **pa
     return hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("more"))
 
 
-def _with_spans(rows: DataFrame, more: DataFrame | None) -> DataFrame:
-    """rows (doc_id, th, base, ...) with `spans`: base and discovered ones in order."""
+def _with_spans(rows: DataFrame, more: DataFrame | None, doc_id: str, th: str, base: str, spans: str) -> DataFrame:
+    """rows with `spans`: base and discovered ones in order; the names are those of rows' columns, and a new one."""
     if more is None:
-        return rows.withColumn("spans", F.col("base"))
-    more = more.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "more")
-    rows = rows.join(more, rows["doc_id"].eqNullSafe(more["_id"]) & (rows["th"] == more["_th"]), "left").drop("_id", "_th")
-    return rows.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))))).drop("more")
+        return rows.withColumn(spans, F.col(base))
+    own, key, found = free([*rows.columns, spans], "doc_id", "th", "more")
+    more = more.select(F.col("doc_id").alias(own), F.col("th").alias(key), F.col("more").alias(found))
+    rows = rows.join(more, F.col(doc_id).eqNullSafe(F.col(own)) & (F.col(th) == F.col(key)), "left").drop(own, key)
+    return rows.withColumn(spans, F.array_sort(F.concat(base, F.coalesce(F.col(found), F.array().cast(f"array<{SPAN}>"))))).drop(found)
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
@@ -155,7 +182,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params)
     """
     more = discovered(docs, doc_id, text, **params)
     rows = _rows(docs, doc_id, text).select("doc_id", "th", base_spans(F.col("text")).alias("base"))
-    return _with_spans(rows, more).select("doc_id", "base", "spans")
+    return _with_spans(rows, more, "doc_id", "th", "base", "spans").select("doc_id", "base", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -166,25 +193,30 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """docs with each span of `text` replaced by its kind in brackets; of overlapping spans the first names them.
 
-    Texts without spans, and null ones, are unchanged; n_chars, where docs has it, follows the text.
+    Texts without spans, and null ones, are unchanged; n_chars, where docs has it, follows the text. Other
+    columns stay as they are, whatever their names.
     """
     more = discovered(docs, doc_id, text, **params)
-    columns = docs.columns
+    th, base, spans, kept, new = free(docs.columns, "th", "base", "spans", "kept", "new")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select("*", F.xxhash64(t).alias("th"), base_spans(t).alias("base"))
-    rows = _with_spans(rows if doc_id == "doc_id" else rows.withColumn("doc_id", F.col(doc_id)), more)
+    rows = _with_spans(docs.select("*", F.xxhash64(t).alias(th), base_spans(t).alias(base)), more, doc_id, th, base, spans)
     name = lambda s: F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1))
 
     def step(a: Column, s: Column) -> Column:
-        gap = F.substring(t, a["at"] + 1, s["start"] - a["at"])
-        new = F.concat(a["out"], gap, F.lit("["), name(s), F.lit("]"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], new).otherwise(a["out"]).alias("out"))
-
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    changed = F.size("spans") > 0
-    out = rows.withColumn("_new", F.when(changed, F.concat(done["out"], F.substring(t, done["at"] + 1, F.length(t)))))
-    wanted = [F.when(changed, F.col("_new")).otherwise(F.col(text)).alias(c) if c == text else F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in columns]
-    return out.select(wanted)
+        apart = s["start"] >= a["end"]
+        longer = F.struct(a["start"].alias("start"), a["kind"].alias("kind"), F.greatest(a["end"], s["end"]).alias("end"))
+        return F.struct(F.when(apart, s).otherwise(longer).alias("state"), F.when(apart & (a["kind"] >= 0), a).alias("kept"))
+
+    # spans that overlap become one, which is kept once the next one starts beyond it; a last one ends them all
+    point = lambda at: F.struct(F.lit(at).alias("start"), F.lit(-1).alias("kind"), F.lit(at).alias("end"))
+    rows = rows.withColumn(kept, in_order(F.array_append(F.col(spans), point((1 << 31) - 1)), SPAN, point(0), step))
+    ahead = lambda i: F.coalesce(F.get(kept, i - 1)["end"], F.lit(0))
+    piece = lambda s, i: F.concat(F.substring(t, ahead(i) + 1, s["start"] - ahead(i)), F.lit("["), name(s), F.lit("]"))
+    whole = F.concat(F.array_join(F.transform(kept, piece), ""), F.substring(t, ahead(F.size(kept)) + 1, F.length(t)))
+    changed = F.size(spans) > 0
+    out = rows.withColumn(new, F.when(changed, whole))
+    lengths = {c: F.length(new).cast(k) for c, k in docs.dtypes if c == "n_chars"}
+    return out.select(*[F.when(changed, F.col(new)).otherwise(F.col(c)).alias(c) if c == text else F.when(changed, lengths[c]).otherwise(F.col(c)).alias(c) if c in lengths else F.col(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

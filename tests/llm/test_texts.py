@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import passages, pii, toxicity
 
@@ -27,7 +28,7 @@ def brute_spans(text):
 
 def test_base_spans_against_brute_force(spark, tmp_path):
     rnd = random.Random(4)
-    bits = ["a@b.co", "%d@e.f", "@", ".", "1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+", "10.0.0.256", "0010.1.1.1", "1.2.3.4.5.6.7.8", "é", "\U0001f600", " ", "-", "x", "7", "555", "\n", "(", "4242424242424242"]
+    bits = ["a@b.co", "%d@e.f", "@", ".", "1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+", "10.0.0.256", "10.0.0.1", "0.0.0.0", "000.255.0256.1", "0010.1.1.1", "1.2.3.4.5.6.7.8", "é", "\U0001f600", " ", "-", "x", "7", "555", "\n", "(", "4242424242424242"]
     texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14))) for _ in range(300)] + [None, "", "9" * 20000, "a" * 20000, "a." * 9000 + "@b.c", "1." * 9000, "+1" + "(" * 9000]
     df = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)] + [(None, "x@y.zz", "n"), (1, "dup@x.yy", "n"), (1, "dup@x.yy", "n")], "doc_id long, text string, spans string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
@@ -62,9 +63,82 @@ def test_discovery_goes_on_until_a_round_finds_nothing(spark):
 
 
 def test_redaction_of_overlaps(spark):
-    df = spark.createDataFrame([(1, "x +1 415 555 2671 1111 y", 24, "k"), (2, None, 0, "k"), (3, "plain", 5, "k")], "doc_id long, text string, n_chars long, base string")
-    got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(df.drop("base")).collect()}
-    assert got[2] == (None, 0) and got[3] == ("plain", 5) and "[" in got[1][0] and got[1][1] == len(got[1][0])
+    many = " ".join(f"a{i}@b.co 10.0.0.{i % 256}" for i in range(3000))
+    rows = [(1, "x +1 415 555 2671 1111 y", 24, "k"), (2, None, 0, "k"), (3, "plain", 5, "k"), (4, "a@b.cc10.0.0.1 z", 16, "k"), (5, many, len(many), "k"), (6, "", 0, "k"), (7, "9@8.7.6.5.4", 11, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, base string")
+    for n in ("th", "spans", "more", "_id", "_th", "_new", "kept", "kind", "TEXT2"):
+        df = df.withColumn(n, F.lit(n))
+    out = pii.redact(df.withColumnRenamed("doc_id", "id").withColumn("doc_id", F.lit("own")), doc_id="id")
+    got = {r.id: (r.text, r.n_chars) for r in out.collect()}
+    assert {(r.base, r.th, r.spans, r._new, r.doc_id) for r in out.collect()} == {("k", "th", "spans", "_new", "own")}
+
+    def redacted(text):  # overlapping spans as one, named by the first
+        merged = []
+        for part in filter(None, brute_spans(text).split(",")):
+            kind, a, b = part.split(":")
+            if merged and int(a) < merged[-1][2]:
+                merged[-1][2] = max(merged[-1][2], int(b))
+            else:
+                merged.append([kind, int(a), int(b)])
+        for kind, a, b in merged[::-1]:
+            text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
+        return text
+
+    assert got[2] == (None, 0) and all(got[i] == (redacted(t), len(redacted(t))) for i, t, *_ in rows if t is not None)
+    assert got[1][0].count("[") == 1 and got[5][0].count("[EMAIL]") == 3000
+
+
+def brute_discovered(texts, kinds):
+    """Values that bootstrapping finds, by the module's words, in plain loops."""
+    found = {}  # value -> (kind or None, patterns)
+    for text in texts:
+        base = [tuple(map(int, p.split(":")[1:])) + (p.split(":")[0],) for p in filter(None, brute_spans(text).split(","))]
+        free = [(m.start(), m.end(), None) for m in re.finditer(r"(?<!\S)[^\s0-9]*[0-9]\S*(?: [^\s0-9]*[0-9]\S*)*", text) if not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        for a, b, kind in base + free:
+            ahead, behind = text[max(0, a - 49) : a], text[b : b + 49]
+            before = (re.sub(r"^\S+", "", ahead) if a > 49 else ahead).lower().split()
+            after = (re.sub(r"\S+$", "", behind) if len(behind) > 48 else behind).lower().split()
+            pats = {f"L {before[-1]}"} if before else set()
+            pats |= {f"LL {before[-2]} {before[-1]}"} if len(before) > 1 else set()
+            pats |= {f"LR {before[-1]} {after[0]}"} if before and after else set()
+            pats |= {f"RR {after[0]} {after[1]}"} if len(after) > 1 else set()
+            value = text[a:b].lower()
+            old = found.get(value, (None, set()))
+            own = kinds.index(kind) if kind else None
+            found[value] = (own if old[0] is None else old[0] if own is None else min(own, old[0]), old[1] | pats)
+    known = {v: k for v, (k, _) in found.items() if k is not None}
+    seeds = set(known)
+    while True:
+        good = {}
+        for p in {p for _, ps in found.values() for p in ps}:
+            having = [v for v, (_, ps) in found.items() if p in ps]
+            hits = [sum(known.get(v) == k for v in having) for k in range(4)]
+            if max(hits) >= 3 and max(hits) >= 0.8 * len(having):
+                good[p] = (hits.index(max(hits)), max(hits) / (len(having) + 1))
+        new = {}
+        for v, (_, ps) in found.items():
+            if v not in known:
+                scores = [1 - math.prod(1 - good[p][1] for p in ps if p in good and good[p][0] == k) for k in range(4)]
+                if max(scores) >= 0.95:
+                    new[v] = max(range(4), key=lambda k: (round(scores[k], 9), -k))
+        if not new:
+            return {v: k for v, k in known.items() if v not in seeds}
+        known |= new
+
+
+def test_discovered_spans_against_brute_force(spark):
+    rnd = random.Random(5)
+    words = "write to mail box desk line call host node id ref no".split()
+    texts = []
+    for i in range(420):
+        unknown = rnd.choice([f"AB-{i}x {i % 9}", f"{i}", f"q{i}é7", "7" * 60])
+        known, left, right = [(f"u{i}@m{i}.co", ["write", "to"], ["please", "now"]), (f"10.1.{i % 250}.{i % 7}", ["host", "node"], ["is", "up"]), (unknown, rnd.sample(words, 2), rnd.sample(words, 2))][i % 3]
+        value = known if rnd.random() < 0.9 else unknown
+        texts.append(" ".join([rnd.choice(words) * rnd.randint(1, 12), *left, value, *right, rnd.choice(words) * rnd.randint(1, 12)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.value: r.kind for r in pii.bootstrap(pii.instances(df)).collect()}
+    want = brute_discovered(texts, list(pii.KINDS))
+    assert got == want and len(want) > 10
 
 
 def corpus(n=240):
@@ -154,9 +228,11 @@ def test_scores_against_brute_force(spark):
     examples = [(text[int(i)], told[int(i)]) for i in model.ids]
     assert [told[int(i)] for i in model.ids] == model.labels.tolist() and len(model.ids) > 150
     queries = [t for _, t, _ in docs]
-    got = model.scores(queries)
+    got = model.scores(pa.array(queries, pa.string()))
     want = brute_scores(examples, queries)
     assert max(abs(s - w) for (s, _), w in zip(got, want, strict=True)) < 1e-8
+    some = d.limit(5).select("text", toxicity.scorer(spark, model)("text").alias("s")).collect()
+    assert all(abs(r.s.score - dict(zip(queries, want, strict=True))[r.text]) < 1e-8 and len(r.s.evidence) == 3 for r in some)
     assert len({round(w, 6) for w in want}) > 3 and got[-1][1] == [] and got[-1][0] == model.prior
 
 
