@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ UNIT = 64  #: bytes that payloads are padded to, and bytes of a sample
 CHUNK = 256  #: samples of a chunk
 SYNC = 16  #: every so many samples, one is a sync sample
 RATE = 8000  #: 8-bit values a second
+DEPTH = 32  #: levels that boxes may nest
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts"}
 
 
@@ -82,10 +84,13 @@ def mux(payload: bytes) -> bytes:
     return b"".join((head, data, payload, moov))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, first, end) of the content of each box, nested ones too. Raises ValueError where a size doesn't fit."""
-    end = len(data) if end is None else end
-    while start < end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, first, end) of the content of each box in order, nested ones too. Raises ValueError where a size doesn't fit, or boxes nest deeper than DEPTH."""
+    todo: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while todo:
+        start, end, path = todo.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError(f"box cut off at {start}")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -100,24 +105,29 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             raise ValueError(f"box {kind!r} at {start} doesn't fit")
         here = (*path, kind)
         yield here, first, start + size
+        todo.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, first, start + size, here)
-        start += size
+            if len(here) == DEPTH:
+                raise ValueError(f"boxes nest too deep at {start}")
+            todo.append((first, start + size, here))
 
 
-def _rows(data: bytes, at: int, end: int, width: int, code: str = "I") -> list[tuple[int, ...]]:
+def _rows(data: bytes, at: int, end: int, width: int, code: str = "I") -> np.ndarray:
+    """A sample table's rows as 64-bit integers."""
     n = struct.unpack_from(">I", data, at + 4)[0]
     if at + 8 + n * width * struct.calcsize(code) > end:
         raise ValueError("a sample table doesn't fit its box")
-    flat = struct.unpack_from(f">{n * width}{code}", data, at + 8)
-    return list(zip(*[iter(flat)] * width, strict=True))
+    flat = np.frombuffer(data, f">u{struct.calcsize(code)}", n * width, at + 8)
+    if n and int(flat.max()) >= 1 << 62:
+        raise ValueError("a sample table holds impossible numbers")
+    return flat.astype(np.int64).reshape(n, width)
 
 
 def probe(data: bytes) -> list[dict]:
     """Tracks: codec, timescale, duration, samples, sync samples, byte ranges of keyframes and of all samples.
 
     Sizes, chunks and offsets come from the sample tables; no payload byte is read. A keyframe's range is
-    that of its sample; ranges that touch are joined.
+    that of its sample; ranges that touch are joined. Work and memory are bounded by the tables' bytes.
     """
     tracks: list[dict] = []
     for path, at, end in walk(data):
@@ -129,49 +139,64 @@ def probe(data: bytes) -> list[dict]:
             if kind == b"mdhd":
                 v = data[at]
                 t["timescale"], t["duration"] = struct.unpack_from(">IQ" if v else ">II", data, at + (20 if v else 12))
+                if t["duration"] >= 1 << 63:
+                    raise ValueError("a duration is impossible")
             elif kind == b"stsd":
                 t["codec"] = data[at + 12 : at + 16].decode("latin-1")
-            elif kind == b"stts":
-                t["stts"] = _rows(data, at, end, 2)
             elif kind == b"stss":
-                t["stss"] = [x for (x,) in _rows(data, at, end, 1)]
+                t["stss"] = _rows(data, at, end, 1)[:, 0]
             elif kind == b"stsc":
                 t["stsc"] = _rows(data, at, end, 3)
             elif kind in (b"stco", b"co64"):
-                t["offsets"] = [x for (x,) in _rows(data, at, end, 1, "I" if kind == b"stco" else "Q")]
+                t["offsets"] = _rows(data, at, end, 1, "I" if kind == b"stco" else "Q")[:, 0]
             elif kind == b"stsz":
                 fixed, n = struct.unpack_from(">II", data, at + 4)
-                t["sizes"] = [fixed] * n if fixed else [x for (x,) in _rows(data, at + 4, end, 1)]
+                t["fixed"], t["samples"] = fixed, n
+                if not fixed:
+                    t["sizes"] = _rows(data, at + 4, end, 1)[:, 0]
     return [_track(t, len(data)) for t in tracks]
 
 
 def _track(t: dict, length: int) -> dict:
-    sizes, offsets, runs = t.get("sizes", []), t.get("offsets", []), t.get("stsc", [])
-    spans: list[tuple[int, int]] = []
-    for i, (first, per, _) in enumerate(runs):
-        until = runs[i + 1][0] if i + 1 < len(runs) else len(offsets) + 1
-        for chunk in range(first, until):
-            at = offsets[chunk - 1]
-            for size in sizes[len(spans) : len(spans) + per]:
-                spans.append((at, at + size))
-                at += size
-    if len(spans) != len(sizes) or any(b > length for _, b in spans):
+    none = np.empty(0, np.int64)
+    fixed, n, offsets, runs = t.get("fixed", 0), t.get("samples", 0), t.get("offsets", none), t.get("stsc", none.reshape(0, 3))
+    first = runs[:, 0]
+    if len(first) and (first[0] != 1 or (np.diff(first) <= 0).any() or first[-1] > len(offsets)):
+        raise ValueError("runs of chunks don't rise")
+    per = np.repeat(runs[:, 1], np.diff(np.append(first, len(offsets) + 1))) if len(first) else none
+    until = np.cumsum(per)
+    if len(per) != len(offsets) or (int(until[-1]) if len(until) else 0) != n:
         raise ValueError("samples don't fit their chunks")
-    sync = t.get("stss", range(1, len(spans) + 1))
+    if fixed * n > length:
+        raise ValueError("samples are larger than the file")
+    ahead = None if fixed else np.concatenate([[0], np.cumsum(t.get("sizes", none))])  # bytes of all samples before one
+    before = (lambda i: i * fixed) if fixed else (lambda i: ahead[i])
+    base = before(until - per)
+    starts, ends = offsets, offsets + before(until) - base
+    if len(ends) and int(ends.max()) > length or (ahead is not None and int(ahead[-1]) > length):
+        raise ValueError("samples don't fit the file")
+    ranges = _joined(starts, ends)
+    sync = t.get("stss")
+    if sync is None:
+        keyframes = ranges
+    else:
+        if len(sync) and (int(sync.min()) < 1 or int(sync.max()) > n):
+            raise ValueError("a sync sample isn't there")
+        chunk = np.searchsorted(until, sync - 1, side="right")
+        at = offsets[chunk] + before(sync - 1) - base[chunk]
+        keyframes = _joined(at, at + before(sync) - before(sync - 1))
     return {
-        "codec": t.get("codec"), "timescale": t.get("timescale"), "duration": t.get("duration"), "samples": len(spans), "sync": len(sync),
-        "keyframes": _joined([spans[k - 1] for k in sync]), "ranges": _joined(spans),
+        "codec": t.get("codec"), "timescale": t.get("timescale"), "duration": t.get("duration"), "samples": n, "sync": n if sync is None else len(sync),
+        "keyframes": keyframes, "ranges": ranges,
     }
 
 
-def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in spans:
-        if out and out[-1][1] == a:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+def _joined(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Byte ranges in order, those that touch as one."""
+    if not len(starts):
+        return []
+    fresh = np.flatnonzero(np.append(True, starts[1:] != ends[:-1]))
+    return list(zip(starts[fresh].tolist(), ends[np.append(fresh[1:], len(ends)) - 1].tolist(), strict=True))
 
 
 RANGE = "array<struct<start:long,end:long>>"

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import struct
 import zipfile
 import zlib
 
@@ -33,6 +34,48 @@ def test_media_boxes():
         list(media.walk(data[:-5]))
 
 
+def _box(kind, body):
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def test_media_hostile_files(spark):
+    """No file ends a job: each has its error, and a good one beside them is read."""
+    good = media.mux(media.pad(b"q" * 64 * 300))
+    nested = b""
+    for _ in range(3000):
+        nested = _box(b"moov", nested)
+    stsz = lambda fixed, n: _box(b"stsz", struct.pack(">III", 0, fixed, n))
+    track = lambda *tables: _box(b"moov", _box(b"trak", _box(b"mdia", _box(b"minf", _box(b"stbl", b"".join(tables))))))
+    stsc = _box(b"stsc", struct.pack(">IIIII", 0, 1, 1, 4_000_000_000, 1))
+    at = good.index(b"stss") + 12
+    bad = [
+        nested, track(stsz(1, 4_000_000_000), stsc, _box(b"stco", struct.pack(">III", 0, 1, 0))), track(stsz(64, 4_294_967_295)), good[:-5], good[:at] + struct.pack(">I", 0) + good[at + 4 :], good[:at] + struct.pack(">I", 999) + good[at + 4 :],
+        track(stsz(0, 5)), track(_box(b"stsc", struct.pack(">IIIII", 0, 1, 0, 1, 1)), _box(b"stco", struct.pack(">III", 0, 1, 0)), stsz(1, 1)), track(_box(b"co64", struct.pack(">IIQ", 0, 1, (1 << 64) - 1))), b"\0" * 7,
+    ]
+    rows = [(i, 0, bytearray(x)) for i, x in enumerate([good, *bad])]
+    got = {r.doc_id: r for r in media.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[0].error is None and got[0].payload_sha256 == hashlib.sha256(b"q" * 64 * 300).hexdigest()
+    assert all(got[i].error and got[i].track is None for i in range(1, len(rows)))
+
+
+def test_media_of_samples_of_own_sizes():
+    sizes, per = [5, 0, 7, 300, 2, 9], [2, 1, 3]
+    body = bytes(range(256)) * 2
+    head, spans, chunks, i, at = _box(b"ftyp", b"isom"), [], [], 0, 100
+    for n in per:
+        chunks.append(at)
+        for s in sizes[i : i + n]:
+            spans.append((at, at + s))
+            at += s
+        at += 4  # chunks lie apart
+        i += n
+    stsc = _box(b"stsc", struct.pack(">II9I", 0, 3, 1, 2, 1, 2, 1, 1, 3, 3, 1))
+    tables = [stsc, _box(b"stsz", struct.pack(">III6I", 0, 0, 6, *sizes)), _box(b"stco", struct.pack(">II3I", 0, 3, *chunks)), _box(b"stss", struct.pack(">II3I", 0, 3, 1, 4, 6))]
+    data = head + _box(b"mdat", body) + _box(b"moov", _box(b"trak", _box(b"mdia", _box(b"minf", _box(b"stbl", b"".join(tables))))))
+    t = media.probe(data)[0]
+    assert t["keyframes"] == [spans[0], spans[3], spans[5]] and t["ranges"] == [(100, 105), (109, 116), (120, 431)] and t["samples"] == 6
+
+
 def test_warc_contract(spark, tmp_path):
     pages = [(5, "http://a", "same"), (3, "http://b", "same"), (9, "http://c c", ""), (1, None, None), (7, "u", "é" * 3000), (7, "u", "é" * 3000), (None, "n", "same"), (None, "n", "lonely"), *((100 + i, "hot", "hot") for i in range(60))]
     df = spark.createDataFrame([(p, u, h, "x") for p, u, h in pages], "page_id long, url string, html string, first string").repartition(3)
