@@ -22,16 +22,32 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def small_batches(spark: SparkSession) -> None:
+def free(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with so many underscores ahead that no column has it, in whatever case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of this machine only where none is set (tests)."""
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Only a session on one machine may do without that setting; its own folder is shared by all it has.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

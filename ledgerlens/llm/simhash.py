@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import attach, components, saved, small_batches, table
+from ledgerlens.llm.common import attach, components, free, saved, small_batches, table
 
 SEED = 42
 #: A stage's near copies share this part of the distinct runs of so many words.
@@ -46,7 +46,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The fingerprint of one text as a signed 64-bit number; 0 if it has no words."""
-    values = shingles(text, words)
+    return majority(shingles(text, words))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit number; 0 for none."""
     if not len(values):
         return 0
     ones = np.zeros(64, np.int64)
@@ -140,7 +144,8 @@ def frequent_runs(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(rows: DataFrame, words: int, similar: float) -> DataFrame:
-    """(_id, _th, c, size, first) per row of rows: its class of equal words, its number of distinct runs, the first of them.
+    """(_id, _th, c, fp, size, hot, first, often) per row of rows: its class of equal words, its fingerprint, its
+    numbers of distinct runs and of frequent ones, and its first runs, the frequent ones of them apart.
 
     Runs are in one order for all texts, frequent ones last. Two sets of similarity `similar` or more share
     one of their first size - ceil(similar * size) + 1 runs in any such order, so none is missed.
@@ -150,35 +155,51 @@ def prefixes(rows: DataFrame, words: int, similar: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, counts = sent.value
         for b in batches:
-            classes, sizes, firsts = [], [], []
+            out: dict[str, list] = {n: [] for n in ("c", "fp", "size", "hot", "first", "often")}
             for t in b.column(1).to_pylist():
-                own = np.unique(shingles(t, words))
-                classes.append(xxhash.xxh64_intdigest(b" ".join(_line(t)), SEED) - (1 << 63))
-                sizes.append(len(own))
+                every = shingles(t, words)
+                own = np.unique(every)
+                known = np.zeros(len(own), np.int64)
                 if len(runs):
                     at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
-                    own = own[np.argsort(np.where(runs[at] == own, counts[at], 0), kind="stable")]
-                firsts.append(own[: max(0, len(own) - math.ceil(similar * len(own) - 1e-9) + 1)].view(np.int64).tolist())
-            yield pa.record_batch({"_id": b.column(0), "_th": b.column(2), "c": pa.array(classes, pa.int64()), "size": pa.array(sizes, pa.int32()), "first": pa.array(firsts, pa.list_(pa.int64()))})
+                    known = np.where(runs[at] == own, counts[at], 0)
+                    own = own[np.argsort(known, kind="stable")]
+                hot = int((known > 0).sum())
+                first = own[: max(0, len(own) - math.ceil(similar * len(own) - 1e-9) + 1)].view(np.int64)
+                for n, x in zip(out, (xxhash.xxh64_intdigest(b" ".join(_line(t)), SEED) - (1 << 63), majority(every), len(own), hot, first[: len(own) - hot], first[len(own) - hot :]), strict=True):
+                    out[n].append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.record_batch({"_id": b.column(0), "_th": b.column(2)} | {n: pa.array(x, k) for (n, x), k in zip(out.items(), kinds, strict=True)})
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "_text", "_th").mapInArrow(run, f"_id {kind}, _th long, c long, size int, first array<bigint>")
+    return rows.select("_id", "_text", "_th").mapInArrow(run, f"_id {kind}, _th long, c long, fp long, size int, hot int, first array<bigint>, often array<bigint>")
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, similar: float = SIMILAR) -> DataFrame:
     """(_id, _th, group) per row of docs: groups of texts that links of similarity `similar` or more reach.
 
-    Similarity is that of the sets of runs of `words` words (Jaccard), computed for each candidate pair.
-    Candidates share so many of their first runs as that similarity takes. At first each text meets the least of those that share a run
-    with it; then only those meet that aren't in one group yet, so none is left out and copies of one text stay linear.
+    Similarity is that of the sets of runs of `words` words (Jaccard), computed for each candidate pair. The
+    first candidates are fingerprints that pigeonhole blocks put within two bits. Such fingerprints belong to few of the
+    pairs of that similarity, so two further rounds find the rest without fail:
+
+    - each text meets one text for each of its first runs: of those that share the run the one with the least
+      part of runs that aren't frequent, which in a group of copies is its pattern or nearest to it;
+    - then those meet that share a first run and aren't in one group yet; of a run's largest group the texts
+      meet only those outside it. Two texts that share frequent runs alone have at most the lesser of both
+      numbers of frequent runs in common, so edited copies that lie too far from their pattern don't meet.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), F.xxhash64(text).alias("_th"))
     own = saved(prefixes(rows, words, similar))
-    classes = own.groupBy("c").agg(F.min("_th").alias("_th"), F.first("size").alias("size"), F.first("first").alias("first"))
-    each = classes.select("c", "size", F.explode("first").alias("run"))
-    met = each.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("c", "size")).alias("least")).where("n > 1").select("run", "least")
+    classes = own.groupBy("c").agg(F.min("_th").alias("_th"), *[F.first(n).alias(n) for n in ("fp", "size", "hot", "first", "often")])
+    classes = classes.select("c", "_th", "fp", "first", "often", F.struct("c", "size", "hot", F.size("often").alias("kept")).alias("t"))
+    few = classes.select(F.explode("first").alias("run"), F.lit(False).alias("frequent"), "t")
+    many = classes.where(F.col("t.hot") >= similar * F.col("t.size") - 1e-9).select(F.explode("often").alias("run"), F.lit(True).alias("frequent"), "t")
+    each = few.unionByName(many)
+    rarity = (F.col("t.size") - F.col("t.hot")) / F.greatest(F.col("t.size"), F.lit(1))
+    met = each.groupBy("run").agg(F.count("*").alias("n"), F.min_by("t", F.struct(rarity, F.col("t.c"))).alias("u")).where("n > 1").select("run", "u")
     shared = saved(each.join(met, "run"))
+    part = similar / (1 + similar)
 
     @F.pandas_udf("binary")
     def runs_of(texts: pd.Series) -> pd.Series:
@@ -194,30 +215,44 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pd.Series(out, dtype=bool)
 
     least_of = classes.select("c", "_th")
+    once = rows.groupBy("_th").agg(F.first("_text").alias("_text"))  # copies meet before they are sent
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(least_of, "c")
-        texts = rows.select("_th", "_text").join(wanted, "_th").dropDuplicates(["_th"])
-        sets = saved(texts.select("c", runs_of("_text").alias("runs")))
+        sets = saved(once.join(wanted, "_th").select("c", runs_of("_text").alias("runs")))
         left, right = sets.select(F.col("c").alias("a"), F.col("runs").alias("p")), sets.select(F.col("c").alias("b"), F.col("runs").alias("q"))
         return saved(pairs.join(left, "a").join(right, "b").where(alike("p", "q")).select("a", "b"))
 
-    # Of two similar texts the one whose first runs end sooner shares those of them that it shares at all with
-    # the other's first runs, and has ceil(similar * size) - 1 further ones.
-    further = F.ceil(similar * F.greatest("sa", "sb") - 1e-9) - 1
-    enough = (F.col("m") + further >= (F.col("sa") + F.col("sb")) * (similar / (1 + similar)) - 1e-6) & (F.least("sa", "sb") >= similar * F.greatest("sa", "sb") - 1e-9)
-    possible = lambda met: saved(met.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("sa").alias("sa"), F.first("sb").alias("sb")).where(enough).select("a", "b"))
-    stars = possible(shared.where("c <> least.c").select(F.col("least.c").alias("a"), F.col("c").alias("b"), F.col("least.size").alias("sa"), F.col("size").alias("sb")))
-    links = verified(stars)
-    joined = components(links).withColumnRenamed("node", "c")
-    rooted = shared.select("run", "c", "size").join(joined, "c", "left").select("run", "c", "size", F.coalesce("root", "c").alias("root"))
-    mixed = rooted.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("run")
+    # Two texts that share frequent runs alone have min(hot) runs in common at most. Where that is too few, only
+    # other runs are counted, and any of the frequent first runs may be common beside them.
+    total = (F.col("t.size") + F.col("u.size")) * part
+    by_often = F.least("t.hot", "u.hot") >= total - 1e-6
+    fits = (F.least("t.size", "u.size") >= similar * F.greatest("t.size", "u.size") - 1e-9) & (~F.col("frequent") | by_often)
+
+    def possible(met: DataFrame) -> DataFrame:
+        # Of two similar texts the one whose first runs end sooner shares those of them that it shares at all with
+        # the other's first runs, and has ceil(similar * size) - 1 further ones.
+        first = F.col("t.c") < F.col("u.c")
+        pair = met.where(fits).groupBy(F.when(first, F.col("t")).otherwise(F.col("u")).alias("t"), F.when(first, F.col("u")).otherwise(F.col("t")).alias("u")).agg(F.count("*").alias("m"))
+        more = F.when(by_often, 0).otherwise(F.least("t.kept", "u.kept")) + F.ceil(similar * F.greatest("t.size", "u.size") - 1e-9) - 1
+        return saved(pair.where(F.col("m") + more >= total - 1e-6).select(F.col("t.c").alias("a"), F.col("u.c").alias("b")))
+
+    patterns = classes.groupBy("fp").agg(F.min("c").alias("least"))
+    near = links(patterns.select("fp")).join(patterns.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(patterns.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    same = classes.join(patterns, "fp").where("c <> least").select(F.col("c").alias("x"), F.col("least").alias("y"))
+    blocked = near.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    tried = saved(possible(shared.where("t.c <> u.c")).unionByName(blocked).distinct())
+    found = verified(tried)
+    joined = components(found).select(F.col("node").alias("c"), "root")
+    rooted = shared.select("run", "frequent", "t", F.col("t.c").alias("c")).join(joined, "c", "left").select("run", "frequent", "t", F.coalesce("root", "c").alias("root"))
+    sizes = rooted.groupBy("run", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("run").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("run", "main")
     apart = saved(rooted.join(mixed, "run"))
-    other = apart.select("run", *[F.col(x).alias(f"{x}2") for x in ("c", "size", "root")])
-    close = f"c < c2 AND root <> root2 AND size >= {similar} * size2 - 1e-9D AND size2 >= {similar} * size - 1e-9D"
-    pairs = possible(apart.join(other, "run").where(close).select(F.col("c").alias("a"), F.col("c2").alias("b"), F.col("size").alias("sa"), F.col("size2").alias("sb")))
-    links = links.unionByName(verified(pairs.join(stars, ["a", "b"], "left_anti")))
-    joined = saved(components(links).select(F.col("node").alias("c"), "root"))
+    outside = apart.where("root <> main")
+    other = apart.select("run", F.col("t").alias("u"), F.col("root").alias("root2"))
+    meet = outside.join(other, "run").where((F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("t.c") < F.col("u.c"))) & fits)
+    links_ = found.unionByName(verified(possible(meet).join(tried, ["a", "b"], "left_anti")))
+    joined = saved(components(links_).select(F.col("node").alias("c"), "root"))
     # texts that have a copy in no other class keep their own; the joined classes are few against the rows
     return own.select("_id", "_th", "c").join(joined, "c", "left").select("_id", "_th", F.coalesce("root", "c").alias("group"))
 
@@ -225,23 +260,30 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, similar: float = SIMILAR) -> DataFrame:
     """docs with one row of each near-duplicate group (similar_groups): that with the smallest doc_id, all columns kept.
 
-    Of rows that repeat a kept doc_id, one stays. Rows without a doc_id go if their group has one; else one
-    row of each group stays.
+    Of a group's rows that share that doc_id one text stays, the least by hash, and of rows that repeat both, one. A
+    doc_id may stay with several texts if they are in different groups. Rows without a doc_id go if their
+    group has one; else one row of each group stays.
     """
     found = saved(similar_groups(docs, doc_id, text, words, similar))
-    least = saved(found.groupBy("group").agg(F.min("_id").alias("least"), F.min("_th").alias("least_th"), F.count("*").alias("copies")))
+    rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"))
+    least = saved(found.groupBy("group").agg(F.min(rank).alias("least"), F.count("*").alias("copies")))
     groups = attach(found, least, "group", "copies")
-    gone = groups.where("_id <> least").select(F.col("_id").alias(doc_id)).distinct()
-    kept = docs.where(F.col(doc_id).isNotNull()).join(gone, doc_id, "left_anti").select(docs.columns)
-    twice = saved(groups.where("_id = least").groupBy("_id").count().where("count > 1").select(F.col("_id").alias(doc_id)))
-    if not twice.isEmpty():
-        once = kept.join(twice, doc_id, "left_anti").select(docs.columns)
-        kept = once.unionByName(kept.join(twice, doc_id, "left_semi").dropDuplicates([doc_id]).select(docs.columns))
-    nameless = saved(least.where("least IS NULL").select(F.col("least_th").alias("_th")))
-    if not nameless.isEmpty():
-        unnamed = docs.where(F.col(doc_id).isNull()).withColumn("_th", F.xxhash64(text))
-        kept = kept.unionByName(unnamed.join(nameless, "_th", "left_semi").dropDuplicates(["_th"]).select(docs.columns))
-    return kept
+    is_least = F.col("_id").eqNullSafe(F.col("least.id")) & (F.col("_th") == F.col("least.th"))
+    gone = groups.where(~is_least).select("_id", "_th").distinct()
+    id_, th, pick = free(docs.columns, "_id", "_th", "_pick")
+    held = docs.withColumn(th, F.xxhash64(text))
+
+    def keyed(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("_id").alias(id_), F.col("_th").alias(f"{th}_"))
+        return held.join(keys, held[doc_id].eqNullSafe(keys[id_]) & (held[th] == keys[f"{th}_"]), how)
+
+    kept = keyed(gone, "left_anti")
+    twice = saved(groups.where(is_least).groupBy("_id", "_th").count().where("count > 1").select("_id", "_th"))
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    order = F.xxhash64(*[F.col(c) for c, k in docs.dtypes if "map<" not in k])
+    several = keyed(twice, "left_semi").groupBy(F.col(doc_id).alias(id_), th).agg(F.min_by(F.struct(*docs.columns), order).alias(pick)).select(f"{pick}.*")
+    return keyed(gone.unionByName(twice), "left_anti").select(docs.columns).unionByName(several)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

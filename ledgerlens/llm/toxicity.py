@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +32,8 @@ from ledgerlens.llm.files import local, read_from, write_to
 #: Labelled rows that the fit uses at most: those whose id hashes lowest.
 EXAMPLES = 15_000
 NEIGHBOURS = 15
-#: Examples of a block; texts that are scored together.
-BLOCK, TOGETHER = 128, 128
+#: Examples of a block; texts that are scored together; texts of an Arrow batch, whose terms are looked up together.
+BLOCK, TOGETHER, SCORED = 128, 128, 2048
 #: Chi-square at which a term has half its idf.
 SHRINK = 25.0
 #: A list is long if so large a part of the examples is on it.
@@ -268,12 +267,11 @@ class Model:
         value = self.vote(near)
         return min(1.0, max(0.0, float(np.interp(value, *self.steps)) if self.steps else value))
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+    def scores(self, texts: pa.Array) -> list[tuple[float, list[tuple[float, int]]]]:
         """Score and nearest examples of each text; equal texts are compared once."""
-        index = opened(self.at)
-        own = list(dict.fromkeys(texts))
-        near = dict(zip(own, nearest(index, vectors(index, pa.array(own, pa.string()))), strict=True))
-        return [(self.score(near[t]), near[t]) for t in texts]
+        index, coded = opened(self.at), texts.fill_null("").dictionary_encode()
+        near = [(self.score(x), x) for x in nearest(index, vectors(index, coded.dictionary))]
+        return [near[i] for i in coded.indices.to_pylist()]
 
 
 def learnable(doc_id: Column) -> Column:
@@ -331,13 +329,14 @@ def build(terms: pa.Array, weights: np.ndarray, entries: list[tuple[np.ndarray,
     del dense
     new = np.empty(n, np.int32)
     new[order] = np.arange(n)
+    at = np.repeat(new, sizes)
     short = np.flatnonzero(place[ids] == -1)
-    short = short[np.argsort(ids[short], kind="stable")]
+    short = short[np.argsort(ids[short].astype(np.int64) * max(1, n) + at[short], kind="stable")]
     take = _ranges(starts[:-1][order], starts[1:][order])
     return Index(
         terms=terms, weights=weights, place=place, starts=np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64), ids=ids[take], units=unit[take], tails=tails[order],
         long=long, best=long.max(axis=2).T.copy(), short_starts=np.concatenate([[0], np.cumsum(np.bincount(ids[short], minlength=len(terms)))]).astype(np.int64),
-        short_at=np.repeat(new, sizes)[short], short_weights=unit[short].astype(np.float32),
+        short_at=at[short], short_weights=unit[short].astype(np.float32),
         member_starts=np.concatenate([[0], np.cumsum([len(members[i]) for i in order])]).astype(np.int64), members=np.array([e for i in order for e in members[i]], np.int64), labels=labels,
     )
 
@@ -356,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     highest label counts; of documents that share an id, each different text is an example. Without examples every score is 0.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, SCORED)
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & learnable(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     chosen = saved(known.orderBy(F.xxhash64("_id"), "_id").limit(examples))  # bounded, so it is broadcast
@@ -420,29 +419,33 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return model
 
 
-def scorer(spark: SparkSession, model: Model):
-    """A column function from texts to struct(score, evidence): the nearest examples with cosine and label."""
-    small_batches(spark)
+def scorer(spark: SparkSession, model: Model, evidence: bool = True):
+    """A column function from texts to struct(score, evidence): the nearest examples with cosine and label; or to the score alone."""
+    small_batches(spark, SCORED)
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("score double, evidence array<struct<doc_id:string,cosine:double,label:int>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([s for s, _ in sent.value.scores(texts)], pa.float64())
+
+    @F.arrow_udf("score double, evidence array<struct<doc_id:string,cosine:double,label:int>>")
+    def explained(texts: pa.Array) -> pa.Array:
         own = sent.value
-        got = own.scores(texts.tolist())
-        return pd.DataFrame({"score": [s for s, _ in got], "evidence": [[{"doc_id": own.ids[e], "cosine": c, "label": int(own.labels[e])} for c, e in near[:3]] for _, near in got]})
+        made = [{"score": s, "evidence": [{"doc_id": own.ids[e], "cosine": c, "label": int(own.labels[e])} for c, e in near[:3]]} for s, near in own.scores(texts)]
+        item = pa.struct([("doc_id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())])
+        return pa.array(made, pa.struct([("score", pa.float64()), ("evidence", pa.list_(item))]))
 
-    return run
+    return explained if evidence else score
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that score REJECTED or more."""
-    run = scorer(docs.sparkSession, fit(docs, labels, doc_id, text))
-    return docs.where(run(F.col(text))["score"] < REJECTED)
+    run = scorer(docs.sparkSession, fit(docs, labels, doc_id, text), evidence=False)
+    return docs.where(run(F.col(text).cast("string")) < REJECTED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    run = scorer(spark, fit(docs, table(spark, sf_dir, "labels")))
-    scored = docs.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), run(F.col("text")).alias("s"))
-    score = F.col("s.score")
-    return scored.select("doc_id", "held_out", score.alias("score"), (score >= REJECTED).cast("int").alias("predicted"))
+    run = scorer(spark, fit(docs, table(spark, sf_dir, "labels")), evidence=False)
+    scored = docs.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), run(F.col("text")).alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= REJECTED).cast("int").alias("predicted"))
