@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 A bounded sample of labelled rows is the set of examples (the bound is a parameter). The vector space has every
-term of the examples, of either label: words and word beginnings. A term weighs its idf times the share of its
+word of the examples, of either label. A term weighs its idf times the share of its
 association with the label that is beyond chance, chi2 / (chi2 + SHRINK), whichever label it speaks for; so
 words that all texts share count little, and nothing is left out of a norm. The index lies in the shared folder:
 long lists by blocks of examples with the largest weight of each term in a block, short lists as they are, and
@@ -47,27 +47,13 @@ APART = r"[^\pL\pM\pN]+"
 
 
 def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Terms, and for each occurrence of one its text and its number among the terms, for a batch of texts.
-
-    Terms are words in lower case, and their beginnings of 4 and 5 letters with a star.
-    """
+    """Terms, and for each occurrence of one its text and its number among the terms, for a batch of texts. Terms are words in lower case."""
     lists = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), APART)
     row = pc.list_parent_indices(lists).to_numpy()
     flat = pc.list_flatten(lists).dictionary_encode()
     words, at = flat.dictionary, flat.indices.to_numpy()
-    size = pc.utf8_length(words)
-    parts, rows, ats, first = [words], [row], [at], len(words)
-    for n in (4, 5):
-        made = pc.binary_join_element_wise(pc.utf8_slice_codeunits(pc.if_else(pc.greater(size, n), words, None), 0, n), "*", "").dictionary_encode()
-        own = made.indices.fill_null(-1).to_numpy()[at]
-        parts.append(made.dictionary)
-        rows.append(row[own >= 0])
-        ats.append(own[own >= 0] + first)
-        first += len(made.dictionary)
-    row, at = np.concatenate(rows), np.concatenate(ats)
-    full = pc.greater(pc.binary_length(pa.concat_arrays(parts)), 0).to_numpy(zero_copy_only=False)
-    kept = full[at] if len(at) else np.empty(0, bool)
-    return pa.concat_arrays(parts), row[kept].astype(np.int64), at[kept].astype(np.int64)
+    kept = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)[at] if len(at) else np.empty(0, bool)
+    return words, row[kept].astype(np.int64), at[kept].astype(np.int64)
 
 
 @dataclass

@@ -176,8 +176,7 @@ def brute_scores(examples, queries):
     """Scores by the docstring's words: all pairs, plain sums, isotonic regression by its max-min formula."""
 
     def terms(t):
-        words = re.findall(r"[^\W_]+", (t or "").lower())
-        return Counter(words + [f"{w[:n]}*" for w in words for n in (4, 5) if len(w) > n])
+        return Counter(re.findall(r"[^\W_]+", (t or "").lower()))
 
     n, positive = len(examples), sum(y for _, y in examples)
     df, hit = Counter(), Counter()
