@@ -26,7 +26,7 @@ from ledgerlens.llm.common import small_batches, table
 SPACE = regex.compile(r"[\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+")
 CONTROL = regex.compile(r"[\x1C-\x1F]")
 #: Distinct pieces whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -170,6 +170,22 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     return chosen.mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
+def decoder(path: str):
+    """A function from an array of ids to one of texts: the vocabulary's strings, in order."""
+    bpe = load(path)
+    names = pa.array([bpe.texts.get(i) for i in range(max(bpe.texts) + 1)], pa.string())
+
+    def run(coded: pa.Array) -> pa.Array:
+        raw = [x or b"" for x in coded.to_pylist()]
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        if len(ids) and int(ids.max()) >= len(names):
+            return pa.array([bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in raw], pa.string())
+        ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(ids))), " ")
+
+    return run
+
+
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     """coded (doc_id, ids) with `decoded`: the vocabulary's strings of the ids, in order."""
     path = path or default_path()
@@ -177,25 +193,32 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     kind = coded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        names = pa.array([bpe.texts.get(i) for i in range(max(bpe.texts) + 1)], pa.string())
+        texts = decoder(path)
         for b in batches:
-            raw = [x or b"" for x in b.column(1).to_pylist()]
-            ids = np.frombuffer(b"".join(raw), "<u4")
-            if len(ids) and int(ids.max()) >= len(names):
-                decoded = pa.array([bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in raw], pa.string())
-            else:
-                ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
-                decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(ids))), " ")
-            yield pa.record_batch({"doc_id": b.column(0), "ids": b.column(1), "decoded": decoded})
+            yield pa.record_batch({"doc_id": b.column(0), "ids": b.column(1), "decoded": texts(b.column(1))})
 
     return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 
 
+def both_ways(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """(doc_id, ids, decoded): what encode and decode make of each row's whole text, in one pass of one worker."""
+    path = path or default_path()
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, texts = encoder(path), decoder(path)
+        for b in batches:
+            ids = pa.array(list(map(own.encode, b.column(1).to_pylist())), pa.binary())
+            yield pa.record_batch({"doc_id": b.column(0), "ids": ids, "decoded": texts(ids)})
+
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    return chosen.mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+
+
 def digest(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, and its ids if asked for."""
-    both = decode(encode(docs, path=path), path)
-    return both.select(
+    return both_ways(docs, path=path).select(
         "doc_id",
         *(["ids"] if with_ids else []),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
