@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 #: Significant digits of the context in which products are rounded.
 DIGITS = 28
 NUMBER = r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?$"
-#: Numbers as documents write them: groups of three by space or no-break space, comma or dot.
+# Fixed value: numbers as documents write them: groups of three by space or no-break space, comma or dot.
 WRITTEN = r"^[+-]?(?:(?:[0-9]{1,3}(?:[  ][0-9]{3})+)|[0-9]+)(?:[.,][0-9]+)?$"
 
 

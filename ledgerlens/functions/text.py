@@ -45,6 +45,7 @@ SCAN_HEADERS = {
     "unit_price": ["price", "unit_price", "цена", "расценка"],
     "declared_total": ["total", "declared_total", "всего", "итого", "стоимость"],
 }
+# The names of kinds of estimates.
 ESTIMATE_TYPES = {
     "lsr": "LSR",
     "лср": "LSR",

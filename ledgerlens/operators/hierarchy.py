@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.evidence import precise, reliable, with_evidence
 from ledgerlens.functions.text import blank, estimate_type
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by a checkpoint in the shared folder that the session names."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+from ledgerlens.operators.ranges import cut
 
 
 def _typed(estimates: DataFrame) -> DataFrame:
@@ -72,27 +63,29 @@ def cycles(links: DataFrame) -> DataFrame:
     """(entry, length, least) of each cycle of links (child, parent), at most one parent per child.
 
     A walk that starts from the smallest id of those that lead to a cycle enters it at `entry`. Pointers are
-    doubled, so a chain of n links takes log n joins: after n steps every walk is on its cycle or has ended.
+    doubled, so a chain of n links takes log n joins, and each loop ends when a round changes nothing.
     """
     step = links.groupBy("child").agg(F.min("parent").alias("parent"))
     step = step.join(step.select(F.col("child").alias("parent")), "parent", "left_semi").select("child", "parent")
     far = cut(step.select(F.col("child").alias("x"), F.col("parent").alias("y")))
-    first = far
-    for _ in range(max(1, far.count()).bit_length()):
+    first, ends = far, -1
+    while (now := far.select("y").distinct().count()) != ends:  # once as many ends remain, all of them are on cycles
+        ends = now
         far = cut(far.join(far.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y")))
     on = cut(far.select(F.col("y").alias("x")).distinct())
     ring = on.join(first, "x")
-    # the smallest node of each ring and its length, by doubling with minima
-    low = cut(ring.select("x", "y", F.least("x", "y").alias("m")))
-    for _ in range(max(1, low.count()).bit_length()):
+    # the smallest node of each ring and its length, by doubling with minima, until no minimum falls
+    low = cut(ring.select("x", "y", F.least("x", "y").alias("m"), F.lit(True).alias("fell")))
+    while not low.where("fell").isEmpty():
         ahead = low.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("m").alias("m2"))
-        low = cut(low.join(ahead, "y").select("x", F.col("z").alias("y"), F.least("m", "m2").alias("m")))
+        low = cut(low.join(ahead, "y").select("x", F.col("z").alias("y"), F.least("m", "m2").alias("m"), (F.col("m2") < F.col("m")).alias("fell")))
     rings = low.select("x", F.col("m").alias("least"))
     # where walks from outside enter: jump until the target is on a ring
     marked = on.withColumn("on", F.lit(True))
-    walk = cut(first.join(far.select("x"), "x").join(marked, "x", "left").select("x", F.when(F.col("on"), F.col("x")).otherwise(F.col("y")).alias("y")))
-    for _ in range(max(1, walk.count()).bit_length()):
-        walk = cut(walk.join(walk.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y")))
+    walk = cut(first.join(far.select("x"), "x").join(marked, "x", "left").select("x", F.when(F.col("on"), F.col("x")).otherwise(F.col("y")).alias("y"), F.lit(True).alias("moved")))
+    while not walk.where("moved").isEmpty():
+        ahead = walk.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        walk = cut(walk.join(ahead, "y").select("x", F.col("z").alias("y"), (F.col("z") != F.col("y")).alias("moved")))
     entered = walk.join(rings.select(F.col("x").alias("y"), "least"), "y").groupBy("least").agg(F.min_by("y", "x").alias("entry"))
     sizes = rings.groupBy("least").agg(F.count("*").alias("length"))
     return entered.join(sizes, "least").select("entry", "length", "least")

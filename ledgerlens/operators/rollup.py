@@ -29,6 +29,7 @@ ANSWERS = {
     "OCH-01": ("ROUTE-OKN", False),
     "CONTRACT-01": ("ROUTE-CONTRACT", False),
 }
+# Work types of capital repair and of demolition.
 CAPITAL = ["capital_repair", "капремонт", "капитальный ремонт"]
 DEMOLITION = ["demolition", "снос"]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import decimals
 from ledgerlens.functions.evidence import precise, reliable, with_evidence
 from ledgerlens.functions.text import blank, collapsed, folded, semantic_name, trimmed
+from ledgerlens.operators.ranges import dealt
 
 # The products that a row total may be.
 OPERANDS = {
@@ -17,6 +18,7 @@ OPERANDS = {
     "quantity * unit_price * coefficient": ["quantity", "unit_price", "coefficient"],
     "quantity * unit_price * index * coefficient": ["quantity", "unit_price", "index", "coefficient"],
 }
+# The fields that a row, and a record of each component collection, must have.
 REQUIRED = ["name", "quantity", "unit", "unit_price", "declared_total"]
 COMPONENTS = {
     "resources": ["resource_id", "name", "quantity", "unit", "unit_price", "declared_total"],
@@ -97,8 +99,7 @@ def _numbered(groups: DataFrame) -> DataFrame:
 
     The numbers need a total order; ranks are taken within ranges of it, so no task gets all groups.
     """
-    parts = groups.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = groups.repartitionByRange(int(parts), "first").withColumn("part", F.spark_partition_id())
+    ranged = dealt(groups, "first")
     ranged = ranged.withColumn("rank", F.row_number().over(W.partitionBy("part").orderBy("first")))
     ahead = ranged.groupBy("part").agg(F.max("rank").alias("n"))
     before = ahead.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row per range
@@ -156,6 +157,7 @@ def quotes(kacs: DataFrame) -> DataFrame:
     named = either("name_characteristics", "description") | (has("name") & has("characteristics"))
     flags = [n for n in ("comparability", "comparability_basis", "comparison_basis") if n in kacs.columns]
     same = F.greatest(F.lit(False), *[F.coalesce(F.col(n), F.lit(False)) if dict(kacs.dtypes)[n] == "boolean" else has(n) for n in flags])
+    # fixed values: the names of the tests, and the fields that each of them accepts
     tests = [
         ("price", F.coalesce(price > 0, F.lit(False))), ("name_characteristics", named), ("unit", has("unit")),
         ("region_or_supply_terms", either("region", "region_or_price_zone", "supply_terms", "delivery_terms", "terms_of_supply")),

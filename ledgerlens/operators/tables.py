@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.grouped import by_group
+from ledgerlens.operators.ranges import dealt
 
 #: A new text line starts where the top is further than this from the first word of the line.
 LINE_STEP = 3.0
@@ -14,10 +15,20 @@ RELIABLE_CONFIDENCE, HEADER_CONFIDENCE = 60, 90
 
 
 def islands(rows: DataFrame, key: str = "sheet", number: str = "row") -> DataFrame:
-    """(key, first, last, n) of each run of consecutive numbers."""
-    ranked = rows.select(key, number).distinct().withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(number)))
-    runs = ranked.groupBy(key, (F.col(number) - F.col("_r")).alias("_g")).agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n"))
-    return runs.drop("_g")
+    """(key, first, last, n) of each run of consecutive numbers.
+
+    Runs are found within ranges of (key, number), so a key may have any number of rows. Only a range's first
+    and last run of a key can go on in the next range; those are few and joined per key.
+    """
+    ranged = dealt(rows.select(key, number).distinct(), key, number, part="_part")
+    ranked = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_part", key).orderBy(number)))
+    runs = ranked.groupBy("_part", key, (F.col(number) - F.col("_r")).alias("_g")).agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n"))
+    whole = W.partitionBy("_part", key)
+    runs = runs.withColumn("_edge", (F.col("first") == F.min("first").over(whole)) | (F.col("last") == F.max("last").over(whole)))
+    along = W.partitionBy(key).orderBy("first")
+    edges = runs.where("_edge").withColumn("_new", F.when(F.lag("last").over(along) + 1 == F.col("first"), 0).otherwise(1))
+    edges = edges.withColumn("_chain", F.sum("_new").over(along)).groupBy(key, "_chain").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return runs.where("NOT _edge").select(key, "first", "last", "n").unionByName(edges.drop("_chain"))
 
 
 def header_rows(cells: DataFrame, fields: list[str], least: int = 3) -> DataFrame:
@@ -112,10 +123,9 @@ def running_budget(rows: DataFrame, key: str, order: list[str], size: str, limit
     Rows are dealt into ranges of (key, order); sums run within a range and start from what the key has in
     earlier ranges, so a key may have any number of rows.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id())
-    here = dealt.withColumn("_sum", F.sum(size).over(W.partitionBy("_part", key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    sums = dealt.groupBy(key, "_part").agg(F.sum(size).alias("_s"))
+    ranged = dealt(rows, key, *order, part="_part")
+    here = ranged.withColumn("_sum", F.sum(size).over(W.partitionBy("_part", key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    sums = ranged.groupBy(key, "_part").agg(F.sum(size).alias("_s"))
     ahead = sums.withColumn("_ahead", F.sum("_s").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).drop("_s")
     used = F.col("_sum") + F.col("_ahead")
     return here.join(ahead, [key, "_part"]).withColumn("used", used).withColumn("accepted", F.col("used") <= limit).drop("_part", "_sum", "_ahead")
