@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import decimal
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +17,11 @@ from ledgerlens.operators.rows import OPERANDS
 
 #: Cells that one range may name.
 RANGE_CELLS = 100_000
-TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|(\$?[A-Za-z]{1,3}\$?[1-9]\d*)|([A-Za-z]+)(?=\s*\()|([-+*/(),:]))")
 UNSUPPORTED, CYCLE = "unsupported_formula", "formula_cycle"
+FUNCTIONS = ("SUM", "MIN", "MAX", "ROUND")
+#: How tightly signs bind; the unary minus is written `~` inside.
+BINDS = {"+": 1, "-": 1, "*": 2, "/": 2, "~": 3}
+DIGIT, LETTER = frozenset("0123456789"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 class Unsupported(ValueError):
@@ -27,16 +32,102 @@ class Cyclic(Unsupported):
     """The formula depends on itself."""
 
 
-def tokens(formula: str) -> list[tuple[str, str]]:
-    text = formula[1:] if formula.startswith("=") else formula
-    out, at, text = [], 0, text.rstrip()
+def _while(text: str, at: int, kind: frozenset[str]) -> int:
+    while at < len(text) and text[at] in kind:
+        at += 1
+    return at
+
+
+def scan(formula: str) -> list[tuple[str, str]]:
+    """(kind, text) of each part: number, cell, name (of a function) or sign."""
+    text, at, out = formula.removeprefix("=").upper(), 0, []
     while at < len(text):
-        m = TOKEN.match(text, at)
-        if not m:
-            raise Unsupported(text[at:])
-        kind = ("number", "cell", "name", "sign")[m.lastindex - 1]
-        out.append((kind, m[m.lastindex].replace("$", "").upper()))
-        at = m.end()
+        c = text[at]
+        if c.isspace():
+            at += 1
+        elif c in DIGIT or c == ".":
+            whole = _while(text, at, DIGIT)
+            end = _while(text, whole + 1, DIGIT) if text[whole : whole + 1] == "." else whole
+            if end - at == 1 and c == ".":
+                raise Unsupported(formula)
+            if text[end : end + 1] == "E":
+                first = end + 1 + (text[end + 1 : end + 2] in ("+", "-") and end + 1 < len(text))
+                end = power if (power := _while(text, first, DIGIT)) > first else end
+            out.append(("number", text[at:end]))
+            at = end
+        elif c in LETTER or c == "$":
+            letters = at + (c == "$")
+            end = _while(text, letters, LETTER)
+            digits = end + (text[end : end + 1] == "$")
+            last = _while(text, digits, DIGIT)
+            if 1 <= end - letters <= 3 and last > digits and text[digits] != "0":
+                out.append(("cell", text[letters:end] + text[digits:last]))
+            elif c != "$" and text[end:].lstrip().startswith("("):
+                out.append(("name", text[at:end]))
+                last = end
+            else:
+                raise Unsupported(formula)
+            at = last
+        elif c in "+-*/(),:":
+            out.append(("sign", c))
+            at += 1
+        else:
+            raise Unsupported(formula)
+    return out
+
+
+def compiled(formula: str) -> list[tuple]:
+    """The formula as steps on a stack: (push, number), (cell, ref), (range, refs' corners), (do, sign), (mark,), (call, name, ranged)."""
+    parts, out = scan(formula), []
+    held: list[list] = []  # signs, `(`, and functions as [name, commas, ranged]
+    wanted, i = True, 0
+
+    def settle(least: int) -> None:
+        while held and BINDS.get(held[-1][0], 0) >= least:
+            out.append(("do", held.pop()[0]))
+
+    while i < len(parts):
+        kind, text = parts[i]
+        i += 1
+        if wanted and kind == "number":
+            out.append(("push", text))
+            wanted = False
+        elif wanted and kind == "cell":
+            if parts[i : i + 1] == [("sign", ":")]:
+                if not held or held[-1][0] not in FUNCTIONS or len(parts) < i + 3 or parts[i + 1][0] != "cell" or parts[i + 2] not in (("sign", ","), ("sign", ")")):
+                    raise Unsupported(formula)
+                out.append(("range", text, parts[i + 1][1]))
+                held[-1][2] = True
+                i += 2
+            else:
+                out.append(("cell", text))
+            wanted = False
+        elif wanted and kind == "name":
+            if text not in FUNCTIONS:
+                raise Unsupported(text)
+            out.append(("mark",))
+            held.append([text, 0, False])
+            i += 1  # the bracket after a name is there, or it would be none
+        elif wanted and text in ("-", "+", "("):
+            if text != "+":
+                held.append(["~" if text == "-" else "("])
+        elif not wanted and text in BINDS:
+            settle(BINDS[text])
+            held.append([text])
+            wanted = True
+        elif not wanted and text in (",", ")"):
+            settle(1)
+            if not held or (text == "," and held[-1][0] == "("):
+                raise Unsupported(formula)
+            if text == ",":
+                wanted = True
+            elif (top := held.pop())[0] != "(":
+                out.append(("call", top[0], top[2]))
+        else:
+            raise Unsupported(formula)
+    settle(1)
+    if wanted or held:
+        raise Unsupported(formula)
     return out
 
 
@@ -58,115 +149,101 @@ def name_cell(row: int, col: int) -> str:
 
 
 class Evaluator:
-    """Evaluates a sheet's formulas with memory; `values` are numbers of plain cells."""
+    """Evaluates a sheet's formulas, each once; `values` are numbers of plain cells.
+
+    A formula runs until it needs another that has no result yet, and waits on a list meanwhile, so chains of
+    any length work.
+    """
 
     def __init__(self, values: dict[str, decimal.Decimal], formulas: dict[str, str]):
         self.values, self.formulas = values, formulas
         self.done: dict[str, decimal.Decimal | Unsupported] = {}
-        self.open: set[str] = set()
         self.ctx = decimal.Context(prec=DIGITS, rounding=decimal.ROUND_HALF_EVEN)
 
     def cell(self, ref: str) -> decimal.Decimal:
-        if ref in self.open:
-            raise Cyclic(ref)
-        if ref in self.formulas:
-            if ref not in self.done:
-                self.open.add(ref)
-                try:
-                    self.done[ref] = self.formula(self.formulas[ref])
-                except Unsupported as error:
-                    self.done[ref] = error
-                finally:
-                    self.open.discard(ref)
-            got = self.done[ref]
-            if isinstance(got, Unsupported):
-                raise got
-            return got
-        if ref not in self.values:
-            raise Unsupported(f"{ref} is blank or text")
-        return self.values[ref]
-
-    def formula(self, text: str) -> decimal.Decimal:
-        self_tokens = tokens(text)
-        value, at = self._sum(self_tokens, 0)
-        if at != len(self_tokens):
-            raise Unsupported(text)
-        return value
-
-    def _sum(self, t, at):
-        value, at = self._term(t, at)
-        while at < len(t) and t[at] in (("sign", "+"), ("sign", "-")):
-            right, nxt = self._term(t, at + 1)
-            value = self.ctx.add(value, right) if t[at][1] == "+" else self.ctx.subtract(value, right)
-            at = nxt
-        return value, at
-
-    def _term(self, t, at):
-        value, at = self._factor(t, at)
-        while at < len(t) and t[at] in (("sign", "*"), ("sign", "/")):
-            right, nxt = self._factor(t, at + 1)
-            if t[at][1] == "/" and right == 0:
-                raise Unsupported("division by zero")
-            value = self.ctx.multiply(value, right) if t[at][1] == "*" else self.ctx.divide(value, right)
-            at = nxt
-        return value, at
-
-    def _factor(self, t, at):
-        if at >= len(t):
-            raise Unsupported("ends early")
-        kind, text = t[at]
-        if kind == "sign" and text in "+-":
-            value, at = self._factor(t, at + 1)
-            return (self.ctx.minus(value) if text == "-" else value), at
-        if kind == "sign" and text == "(":
-            value, at = self._sum(t, at + 1)
-            return value, self._expect(t, at, ")")
-        if kind == "number":
-            return self.ctx.create_decimal(text), at + 1
-        if kind == "cell":
-            return self.cell(text), at + 1
-        if kind == "name":
-            return self._call(text, t, self._expect(t, at + 1, "("))
-        raise Unsupported(text)
-
-    def _expect(self, t, at, sign):
-        if at >= len(t) or t[at] != ("sign", sign):
-            raise Unsupported(f"{sign} is missing")
-        return at + 1
-
-    def _call(self, name, t, at):
-        if name not in ("SUM", "MIN", "MAX", "ROUND"):
-            raise Unsupported(name)
-        args: list[decimal.Decimal] = []
-        ranged = False
-        while True:
-            if at + 1 < len(t) and t[at][0] == "cell" and t[at + 1] == ("sign", ":"):
-                if at + 2 >= len(t) or t[at + 2][0] != "cell":
-                    raise Unsupported("range")
-                (r1, c1), (r2, c2) = split_cell(t[at][1]), split_cell(t[at + 2][1])
-                if r2 < r1 or c2 < c1 or (r2 - r1 + 1) * (c2 - c1 + 1) > RANGE_CELLS:
-                    raise Unsupported("range")
-                args += [self.cell(name_cell(r, c)) for r in range(r1, r2 + 1) for c in range(c1, c2 + 1)]
-                at, ranged = at + 3, True
+        waiting: list[tuple[str, Iterator[str]]] = []
+        running: set[str] = set()
+        if ref in self.formulas and ref not in self.done:
+            waiting.append((ref, self._run(ref)))
+            running.add(ref)
+        while waiting:
+            own, steps = waiting[-1]
+            need = next(steps, None)
+            if need is None:
+                waiting.pop()
+                running.discard(own)
+            elif need in running:
+                self.done[own] = Cyclic(need)
+                waiting.pop()
+                running.discard(own)
             else:
-                value, at = self._sum(t, at)
-                args.append(value)
-            if at < len(t) and t[at] == ("sign", ","):
-                at += 1
-                continue
-            at = self._expect(t, at, ")")
-            break
+                waiting.append((need, self._run(need)))
+                running.add(need)
+        return self._known(ref)
+
+    def _known(self, ref: str) -> decimal.Decimal:
+        got = self.done[ref] if ref in self.formulas else self.values.get(ref)
+        if isinstance(got, Unsupported):
+            raise got
+        if got is None:
+            raise Unsupported(f"{ref} is blank or text")
+        return got
+
+    def _run(self, ref: str) -> Iterator[str]:
+        """Yields formula cells without a result as they are needed, then keeps its own."""
+        try:
+            stack: list = []
+            for step in compiled(self.formulas[ref]):
+                if step[0] == "push":
+                    stack.append(self.ctx.create_decimal(step[1]))
+                elif step[0] == "mark":
+                    stack.append(None)
+                elif step[0] in ("cell", "range"):
+                    for cell in self._cells(step):
+                        if cell in self.formulas and cell not in self.done:
+                            yield cell
+                        stack.append(self._known(cell))
+                elif step[0] == "do":
+                    self._do(step[1], stack)
+                else:
+                    args = []
+                    while (top := stack.pop()) is not None:
+                        args.append(top)
+                    stack.append(self._call(step[1], args[::-1], step[2]))
+            self.done[ref] = stack[0]
+        except Unsupported as error:
+            self.done[ref] = error
+        except decimal.DecimalException:
+            self.done[ref] = Unsupported(ref)
+
+    def _cells(self, step: tuple) -> Iterator[str]:
+        if step[0] == "cell":
+            yield step[1]
+            return
+        (r1, c1), (r2, c2) = split_cell(step[1]), split_cell(step[2])
+        if r2 < r1 or c2 < c1 or (r2 - r1 + 1) * (c2 - c1 + 1) > RANGE_CELLS:
+            raise Unsupported("range")
+        yield from (name_cell(r, c) for r in range(r1, r2 + 1) for c in range(c1, c2 + 1))
+
+    def _do(self, sign: str, stack: list[decimal.Decimal]) -> None:
+        right = stack.pop()
+        if sign == "~":
+            stack.append(self.ctx.minus(right))
+            return
+        if sign == "/" and right == 0:
+            raise Unsupported("division by zero")
+        make = {"+": self.ctx.add, "-": self.ctx.subtract, "*": self.ctx.multiply, "/": self.ctx.divide}[sign]
+        stack.append(make(stack.pop(), right))
+
+    def _call(self, name: str, args: list[decimal.Decimal], ranged: bool) -> decimal.Decimal:
         if name == "ROUND":
             if len(args) != 2 or ranged or args[1] != args[1].to_integral_value() or abs(args[1]) > 15:
                 raise Unsupported("ROUND")
             step = decimal.Decimal(1).scaleb(-int(args[1]))
-            return args[0].quantize(step, decimal.ROUND_HALF_UP, context=decimal.Context(prec=60)), at
+            return args[0].quantize(step, decimal.ROUND_HALF_UP, context=decimal.Context(prec=60))
         if name == "SUM":
-            total = decimal.Decimal(0)
-            for a in args:
-                total = self.ctx.add(total, a)
-            return total, at
-        return (min(args) if name == "MIN" else max(args)), at
+            return reduce(self.ctx.add, args, decimal.Decimal(0))
+        return min(args) if name == "MIN" else max(args)
 
 
 def evaluate(cells: DataFrame) -> DataFrame:
@@ -194,7 +271,7 @@ def evaluate(cells: DataFrame) -> DataFrame:
                 out.append((sheet, ref, format(own.cell(ref), "f"), None))
             except Cyclic:
                 out.append((sheet, ref, None, CYCLE))
-            except (Unsupported, decimal.DecimalException, RecursionError):
+            except Unsupported:
                 out.append((sheet, ref, None, UNSUPPORTED))
         return out
 
