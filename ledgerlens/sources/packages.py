@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranges import cut
 from ledgerlens.operators.tables import running_budget
 
 ENTRIES, UNPACKED, MEMBER, RATIO, DEPTH = 2_000, 500 << 20, 100 << 20, 200, 3
@@ -19,10 +20,10 @@ SCHEMA = "path string, parent string, root string, depth int, size_bytes long, s
 
 
 def member_name(raw: str) -> str | None:
-    """The name with forward slashes; null for absolute names, drives, and empty or dot components."""
+    """The name with forward slashes, without empty and single-dot components; null for absolute names, drives and names that lead up."""
     name = raw.replace("\\", "/")
-    parts = name.rstrip("/").split("/")
-    if name.startswith("/") or (len(name) > 1 and name[1] == ":") or any(p in ("", ".", "..") for p in parts):
+    parts = [p for p in name.split("/") if p not in ("", ".")]
+    if name.startswith("/") or (name[:1].isascii() and name[:1].isalpha() and name[1:3] == ":/") or not parts or ".." in parts:
         return None
     return "/".join(parts)
 
@@ -97,10 +98,11 @@ def expand(files: DataFrame, budget: int = UNPACKED) -> DataFrame:
     level = files.where(F.lower("path").endswith(".zip")).select("path", F.col("path").alias("root"), F.lit(0).alias("depth"), "content")
     found = []
     for _ in range(DEPTH):
-        got = _opened(level)
+        got = cut(_opened(level))  # read by the next level, the budget and the result, but unpacked once
         found.append(got)
         level = got.where(F.lower("path").endswith(".zip") & F.col("code").isNull())
     out = reduce(DataFrame.unionByName, found)
+    # over all members of the tree: how many, their declared sizes, and what was unpacked
     deep = F.lower("path").endswith(".zip") & (F.col("depth") == DEPTH) & F.col("code").isNull()
     out = out.withColumns({"code": F.when(deep, "zip_nesting_limit").otherwise(F.col("code")), "status": F.when(deep, "not_inspected").otherwise(F.col("status"))})
     spent = running_budget(out.drop("content"), "root", ["path"], "size_bytes", budget).select("path", F.col("accepted"))

@@ -8,6 +8,7 @@ import json
 import os
 import re
 import zipfile
+from decimal import Decimal, InvalidOperation
 from xml.etree import ElementTree as ET
 
 from ledgerlens.sources.workbooks import MAIN, REL, preflight
@@ -119,7 +120,12 @@ def _equal(old: object, cell: ET.Element | None, shared: list[str]) -> bool:
         return isinstance(old, bool) and old == (raw == "1")
     if kind in ("str", "inlineStr"):
         return old == raw
-    return isinstance(old, (int, float)) and not isinstance(old, bool) and float(raw) == float(old)
+    if not isinstance(old, (int, float)) or isinstance(old, bool):
+        return False
+    try:
+        return Decimal(raw) == Decimal(str(old))
+    except InvalidOperation:
+        return False
 
 
 def corrected_workbook(content: bytes, spec: dict) -> tuple[bytes, dict]:

@@ -110,19 +110,27 @@ def values(files: DataFrame) -> DataFrame:
 def typed(local_name: Column, raw: Column) -> Column:
     """date, datetime, integer, decimal or text, from the lexical form; names of identifiers stay text."""
     identifier = F.lower(local_name).rlike("id|code|version|guid|uuid|cipher")
-    number = raw.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$") & (F.length(F.regexp_replace(raw, "[^0-9]", "")) <= 15)
+    number = raw.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$") & (F.length(F.regexp_replace(F.regexp_replace(raw, "[^0-9]", ""), "^0+", "")) <= 15)
     date = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & raw.try_cast("date").isNotNull()
     moment = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T") & raw.try_cast("timestamp").isNotNull()
     return F.when(date, "date").when(moment, "datetime").when(identifier | ~number, "text").when(raw.contains("."), "decimal").otherwise("integer")
 
 
+#: Rows of a caller's rules, mapping or registry up to which they are broadcast; more are joined by shuffle.
+BROADCAST_RULES = 100_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rows
+
+
 def anchors(found: DataFrame, rules: DataFrame) -> DataFrame:
     """Elements of found that a rule matches: rules (rule, schema_id, pattern) on found (schema_id, xpath, ...).
 
     The schema is joined by equality; the pattern, on the path without positions, is what remains.
     """
     own = found.where("kind = 'element'").withColumn("plain", plain_xpath(F.col("xpath")))
-    return own.join(F.broadcast(rules), "schema_id").where(F.expr("plain rlike concat('^(?:', pattern, ')$')")).drop("plain", "pattern")  # a few dozen rules
+    return own.join(_small(rules), "schema_id").where(F.expr("plain rlike concat('^(?:', pattern, ')$')")).drop("plain", "pattern")
 
 
 def direct_fields(anchored: DataFrame, found: DataFrame) -> DataFrame:
@@ -136,14 +144,14 @@ def mapped(fields: DataFrame, mapping: DataFrame) -> DataFrame:
 
     mapping (rule, local_name, field, ordinal, mode) has a few dozen rows.
     """
-    joined = fields.join(F.broadcast(mapping), ["rule", "local_name"]).where("raw_value IS NOT NULL AND trim(raw_value) <> ''")
+    joined = fields.join(_small(mapping), ["rule", "local_name"]).where("raw_value IS NOT NULL AND trim(raw_value) <> ''")
     per = joined.groupBy("source_path", "anchor", "field").agg(F.min_by("raw_value", "ordinal").alias("value"), F.count("*").alias("n"), F.max("mode").alias("mode"))
     return per.where("mode = 'first' OR n = 1").select("source_path", "anchor", "field", "value")
 
 
 def matching_schemas(roots: DataFrame, registry: DataFrame) -> DataFrame:
     """Roots (path, root, namespace, extension) with the schemas of registry (schema_id, root, namespace, extensions) that fit."""
-    return roots.join(F.broadcast(registry), (roots["root"] == registry["root"]) & roots["namespace"].eqNullSafe(registry["namespace"])).where(F.array_contains("extensions", F.col("extension"))).select("path", "schema_id")
+    return roots.join(_small(registry), (roots["root"] == registry["root"]) & roots["namespace"].eqNullSafe(registry["namespace"])).where(F.array_contains("extensions", F.col("extension"))).select("path", "schema_id")
 
 
 # Document types by part of the schema id; the first that fits counts.
@@ -174,7 +182,7 @@ def mapped_paths(anchored: DataFrame, found: DataFrame, mapping: DataFrame) -> D
     Wanted paths are computed per anchor, then met with the values by equality.
     """
     at = F.when(F.col("path") == ".", F.col("xpath")).otherwise(F.concat_ws("/", "xpath", "path"))
-    wanted = anchored.join(F.broadcast(mapping), "rule").select("source_path", F.col("xpath").alias("anchor"), "rule", "field", "ordinal", "mode", at.alias("value_xpath"))
+    wanted = anchored.join(_small(mapping), "rule").select("source_path", F.col("xpath").alias("anchor"), "rule", "field", "ordinal", "mode", at.alias("value_xpath"))
     leaves = found.where("kind <> 'element' AND trim(raw_value) <> ''").select("source_path", F.col("xpath").alias("value_xpath"), "raw_value")
     per = wanted.join(leaves, ["source_path", "value_xpath"]).groupBy("source_path", "anchor", "rule", "field").agg(F.min_by("raw_value", "ordinal").alias("value"), F.count("*").alias("n"), F.max("mode").alias("mode"))
     return per.where("mode = 'first' OR n = 1").select("source_path", "anchor", "rule", "field", "value")
