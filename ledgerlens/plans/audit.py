@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import blank
 from ledgerlens.operators import hierarchy, rollup, rows
+from ledgerlens.operators.ranges import cut
 from ledgerlens.plans.views import configure
 
 # What a run must know about its package.
@@ -35,8 +36,9 @@ class Audit:
     def result(self, limit: int = MAX_FINDINGS) -> dict:
         """The result document: some forty checks, `limit` findings at most, and how many were left out."""
         checks = [r.asDict() for r in self.checks.orderBy("id").collect()]
-        total = self.findings.count()
-        kept = [r.asDict() for r in rollup.top_findings(self.findings, limit).collect()]
+        found = cut(self.findings)  # counted and ranked, but computed once
+        total = found.count()
+        kept = [r.asDict() for r in rollup.top_findings(found, limit).collect()]
         statuses = {c["status"] for c in checks}
         overall = "needs_input" if self.questions else "finding" if "finding" in statuses else next((s for s in ("needs_input", "limited", "passed") if s in statuses), "not_applicable")
         return {"status": overall, "checks": checks, "findings": kept, "findings_total": total, "findings_omitted": total - len(kept), "questions": self.questions}
@@ -74,10 +76,11 @@ def _check(name: str, states: DataFrame, order: list[str] = rollup.USUAL) -> Dat
     return rollup.state(states, order=order).select(F.lit(name).alias("id"), "status", "n")
 
 
-def audit(spark: SparkSession, model: dict[str, DataFrame], context: dict, mode: str = "full", verified_ids: set[str] | None = None) -> Audit:
+def audit(spark: SparkSession, model: dict[str, DataFrame], context: dict, mode: str = "full", verified_ids: set[str] | None = None, inventory: tuple[int, int] | None = None) -> Audit:
     """Runs the controls over the collections that model has: rows, formulas, estimates, kacs, resources and so on.
 
-    Without a complete passport every control needs input and none runs. In light mode the row controls are
+    inventory is how many items there are and how many limitations their extraction had; without it, a model
+    that has any collection counts as one item. Without a complete passport every control needs input and none runs. In light mode the row controls are
     limited. A control that needs input demotes all that passed, coverage included.
     """
     configure(spark)
@@ -88,7 +91,8 @@ def audit(spark: SparkSession, model: dict[str, DataFrame], context: dict, mode:
         return Audit(checks, none, questions)
     made: dict[str, DataFrame] = {}
     findings: list[DataFrame] = []
-    fixed: dict[str, str] = {"INV-01": "passed" if model else "needs_input"}
+    items, limits = inventory if inventory is not None else (int(bool(model)), 0)
+    fixed: dict[str, str] = {"INV-01": "limited" if limits else "passed" if items else "needs_input"}
 
     def found(prefix: str, states: DataFrame, key: str, severity: str = "material") -> None:
         findings.append(states.where("status = 'finding'").select(F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string")).alias("id"), F.lit(severity).alias("severity"), F.col(key).cast("string").alias("ord")))

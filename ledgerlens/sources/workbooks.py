@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.formulas import name_cell, split_cell
 
-FILE_BYTES, PARTS, UNPACKED, MEMBER, RATIO, SHEETS, CELLS = 100 << 20, 10_000, 500 << 20, 100 << 20, 200, 512, 5_000_000
+FILE_BYTES, PARTS, UNPACKED, MEMBER, RATIO, SHEETS, CELLS, DECLARED = 100 << 20, 10_000, 500 << 20, 100 << 20, 200, 512, 5_000_000, 20_000_000
 SCHEMA = "path string, sheet string, ref string, row int, col int, kind string, value string, formula string, number_format string, hidden boolean, code string"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -46,11 +47,24 @@ def preflight(content: bytes) -> zipfile.ZipFile:
         raise Refused("ooxml_member_size_limit")
     if any(i.file_size > RATIO * max(1, i.compress_size) for i in infos):
         raise Refused("ooxml_compression_ratio_limit")
-    if sum(i.filename.startswith("xl/worksheets/") and i.filename.endswith(".xml") for i in infos) > SHEETS:
+    sheets = [i.filename for i in infos if i.filename.startswith("xl/worksheets/") and i.filename.endswith(".xml")]
+    if len(sheets) > SHEETS:
         raise Refused("excel_sheet_count_limit")
+    if sum(_declared(z, n) for n in sheets) > DECLARED:
+        raise Refused("excel_declared_cell_limit")
     return z
 
 
+def _declared(z: zipfile.ZipFile, name: str) -> int:
+    """Cells of the range that a sheet says it has; it comes before the cells."""
+    with z.open(name) as f:
+        found = re.search(rb'<(?:\w+:)?dimension\b[^>]*\bref="([A-Z]+)([0-9]+)(?::([A-Z]+)([0-9]+))?"', f.read(1 << 16))
+    if not found or not found[3]:
+        return 0
+    (r1, c1), (r2, c2) = (split_cell((found[i] + found[i + 1]).decode()) for i in (1, 3))
+    return max(0, r2 - r1 + 1) * max(0, c2 - c1 + 1)
+
+
 def _part(z: zipfile.ZipFile, name: str) -> ET.Element | None:
     return _safe(z.read(name)) if name in z.namelist() else None
 
@@ -182,3 +196,66 @@ def read(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     return files.select("path", F.col("content").alias("content")).mapInArrow(run, SCHEMA)
+
+
+STRUCTURE = "path string, kind string, sheet string, name string, ref string, value string"
+
+
+def structure(content: bytes) -> Iterator[dict]:
+    """What a workbook has beside cells: sheets and their state, tables, merged ranges, defined names, calculation mode, macros, external links."""
+    z = preflight(content)
+    try:
+        book, rels = _part(z, "xl/workbook.xml"), _part(z, "xl/_rels/workbook.xml.rels")
+        if book is None or rels is None:
+            raise Refused("unreadable_openxml_workbook")
+        targets = {r.get("Id"): r.get("Target", "") for r in rels}
+        names = z.namelist()
+        calc = book.find(f"{MAIN}calcPr")
+        yield {"kind": "calculation", "value": "auto" if calc is None else calc.get("calcMode", "auto")}
+        yield {"kind": "macros", "value": str(any(n.lower().endswith("vbaproject.bin") for n in names)).lower()}
+        yield {"kind": "external_links", "value": str(any(n.startswith("xl/externalLinks/") for n in names)).lower()}
+        order = [s.get("name") for s in book.iter(f"{MAIN}sheet")]
+        for d in book.iter(f"{MAIN}definedName"):
+            at = d.get("localSheetId")
+            yield {"kind": "defined_name", "name": d.get("name"), "value": d.text, "sheet": order[int(at)] if at and int(at) < len(order) else None}
+        for sheet in book.iter(f"{MAIN}sheet"):
+            target = targets.get(sheet.get(f"{REL}id"), "")
+            name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            yield {"kind": "sheet", "sheet": sheet.get("name"), "value": sheet.get("state", "visible")}
+            root = _part(z, name)
+            if root is None:
+                continue
+            for m in root.iter(f"{MAIN}mergeCell"):
+                yield {"kind": "merged", "sheet": sheet.get("name"), "ref": m.get("ref")}
+            folder, _, leaf = name.rpartition("/")
+            own = _part(z, f"{folder}/_rels/{leaf}.rels")
+            for r in own if own is not None else ():
+                if r.get("Type", "").endswith("/table"):
+                    part = r.get("Target", "")
+                    table = _part(z, part.lstrip("/") if part.startswith("/") else posixpath.normpath(f"{folder}/{part}"))
+                    if table is not None:
+                        yield {"kind": "table", "sheet": sheet.get("name"), "name": table.get("displayName") or table.get("name"), "ref": table.get("ref")}
+    except (ET.ParseError, KeyError, zipfile.BadZipFile, TypeError, AttributeError, ValueError) as error:
+        raise Refused("unreadable_openxml_workbook") from error
+
+
+def read_structure(files: DataFrame) -> DataFrame:
+    """Rows as STRUCTURE for files (path, content); a refused workbook has one row with its code as value."""
+    schema = pa.schema([(n, pa.string()) for n in (p.split()[0] for p in STRUCTURE.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    rows = [{"path": path, **r} for r in structure(content or b"")]
+                except Refused as error:
+                    rows = [{"path": path, "kind": "refused", "value": str(error)}]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select("path", "content").mapInArrow(run, STRUCTURE)
+
+
+def declared_tables(found: DataFrame) -> DataFrame:
+    """(path, sheet, name, first, last): the rows of the tables that workbooks name, of read_structure's rows."""
+    rows = F.regexp_extract_all("ref", F.lit("[A-Z]+([0-9]+)"), F.lit(1))
+    return found.where("kind = 'table'").select("path", "sheet", "name", F.get(rows, F.lit(0)).try_cast("int").alias("first"), F.element_at(rows, -1).try_cast("int").alias("last"))
