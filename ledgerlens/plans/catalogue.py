@@ -296,7 +296,12 @@ def archive_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("used").cast("long").alias("used"), "accepted")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT conv_id, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS i FROM conversations),
+r(conv_id, i, used, accepted) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM o
+  UNION ALL SELECT o.conv_id, o.i, CASE WHEN r.used + o.size <= 1500 THEN r.used + o.size ELSE r.used END, r.accepted + CASE WHEN r.used + o.size <= 1500 THEN 1 ELSE 0 END FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1)
+SELECT conv_id, arg_max(accepted, i) AS accepted, arg_max(used, i) AS used, max(i) AS n FROM r GROUP BY conv_id""")
 def page_budget_nonmonotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.page_budget(select(spark, sf_dir, "SELECT conv_id, turn, length(text) AS size FROM conversations"), "conv_id", "turn", "size", 1500)
 
@@ -402,13 +407,13 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id AS page, row_number() OVER (PARTITION BY conv_id ORDER BY block) AS line_no, count(*) AS n FROM (SELECT line AS conv_id, block FROM v_words) w GROUP BY conv_id, block""")
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY block, line) AS line_no, count(*) AS n FROM v_words GROUP BY page, block, line""")
 def text_lines_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = select(spark, sf_dir, 'SELECT line AS page, cast(top + (word_num % 3) * 0.9 AS double) AS top, cast(word_num AS double) AS x0, text FROM v_words')
+    words = select(spark, sf_dir, 'SELECT page, cast(top + (word_num % 3) * 0.9 AS double) AS top, cast(word_num AS double) AS x0, text FROM v_words')
     return tables.text_lines(words).select("page", "line_no", "n")
 
 
-_COLUMNS = "SELECT page_id AS page, 1 AS \"table\", f.field, f.center, 700 AS image_width FROM (SELECT page_id FROM pages WHERE page_id < 50) p CROSS JOIN (SELECT 'name' AS field, 50.0 AS center UNION ALL SELECT 'unit', 200.0 UNION ALL SELECT 'quantity', 320.0 UNION ALL SELECT 'unit_price', 480.0 UNION ALL SELECT 'declared_total', 650.0) f"
+_COLUMNS = "SELECT page_id AS page, 1 AS \"table\", f.field, f.center, 700 AS image_width FROM pages p CROSS JOIN (SELECT 'name' AS field, 50.0 AS center UNION ALL SELECT 'unit', 200.0 UNION ALL SELECT 'quantity', 320.0 UNION ALL SELECT 'unit_price', 480.0 UNION ALL SELECT 'declared_total', 650.0) f"
 _CENTERS = 'SELECT page, 1 AS "table", line, block, word_num, "left" + width / 2.0 AS center, conf FROM v_words'
 _HELD = "CASE WHEN center < 0 OR center > 700 THEN NULL WHEN center < 125 THEN 'name' WHEN center < 260 THEN 'unit' WHEN center < 400 THEN 'quantity' WHEN center < 565 THEN 'unit_price' ELSE 'declared_total' END"
 
@@ -441,12 +446,14 @@ def ocr_attestation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.attested(found, told, ["total"])
 
 
-@query("""
-SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 1 OR p_partkey % 10 = 2 THEN 'duplicate_target' WHEN p_partkey % 10 = 3 THEN 'target_not_found' WHEN p_partkey % 10 = 4 THEN 'stale' WHEN p_partkey % 10 = 5 THEN 'active_content' WHEN p_partkey % 10 = 6 THEN 'comment' ELSE 'replace' END AS outcome FROM part WHERE p_partkey >= 10 AND p_partkey < (SELECT max(p_partkey) FROM part) // 10 * 10""")
+_WANTED = "SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 2 THEN concat('A', p_partkey - 1) WHEN p_partkey % 10 = 3 THEN concat('X', p_partkey) ELSE concat('A', p_partkey) END AS target, CASE WHEN p_partkey % 10 = 6 THEN 'disputed' ELSE 'confirmed' END AS status, CASE WHEN p_partkey % 10 = 4 THEN 'old' ELSE p_brand END AS expected_old, CASE WHEN p_partkey % 10 = 5 THEN ' =1+1' ELSE 'new' END AS replacement FROM part"
+
+
+@query(f"""
+WITH w AS ({_WANTED}), c AS (SELECT concat('A', p_partkey) AS target, p_brand AS value FROM part), n AS (SELECT target, count(*) AS n FROM w GROUP BY target)
+SELECT id, CASE WHEN n.n > 1 THEN 'duplicate_target' WHEN c.target IS NULL THEN 'target_not_found' WHEN c.value <> expected_old THEN 'stale' WHEN replacement LIKE ' =%' THEN 'active_content' WHEN status = 'disputed' THEN 'comment' ELSE 'replace' END AS outcome FROM w JOIN n USING (target) LEFT JOIN c ON c.target = w.target""")
 def corrections_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = "WHERE p_partkey >= 10 AND p_partkey < (SELECT floor(max(p_partkey) / 10) * 10 FROM part)"
-    wanted = select(spark, sf_dir, f"SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 2 THEN concat('A', p_partkey - 1) WHEN p_partkey % 10 = 3 THEN 'X' || p_partkey ELSE concat('A', p_partkey) END AS target, CASE WHEN p_partkey % 10 = 6 THEN 'disputed' ELSE 'confirmed' END AS status, CASE WHEN p_partkey % 10 = 4 THEN 'old' ELSE p_brand END AS expected_old, CASE WHEN p_partkey % 10 = 5 THEN ' =1+1' ELSE 'new' END AS replacement FROM part {where}")
-    return tables.corrections(wanted, select(spark, sf_dir, "SELECT concat('A', p_partkey) AS target, p_brand AS value FROM part"))
+    return tables.corrections(select(spark, sf_dir, _WANTED), select(spark, sf_dir, "SELECT concat('A', p_partkey) AS target, p_brand AS value FROM part"))
 
 
 _XML = """SELECT o_orderkey, concat('<Order id="', o_orderkey, '"><Date>', date_format(o_orderdate, 'yyyy-MM-dd'), '</Date><Status>', o_orderstatus, '</Status><Items>', concat_ws('', collect_list(concat('<Item num="', l_linenumber, '"><Qty>', cast(l_quantity AS int), '</Qty><Price>', cast(l_extendedprice AS decimal(12,2)), '</Price></Item>'))), '</Items></Order>') AS content
@@ -488,7 +495,7 @@ def xml_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _xml(spark, sf_dir).withColumn("schema_id", F.lit("order.v1"))
     rules = spark.createDataFrame([("item", "order.v1", "/Order/Items/Item")], "rule string, schema_id string, pattern string")
     mapping = spark.createDataFrame([("item", "Qty", "quantity", 1, "first"), ("item", "Amount", "quantity", 2, "first"), ("item", "Price", "unit_price", 1, "unique")], "rule string, local_name string, field string, ordinal int, mode string")
-    got = xml.mapped(xml.direct_fields(xml.anchors(found, rules), found), mapping)
+    got = xml.mapped(xml.owned_fields(found, rules), mapping)
     return got.groupBy("source_path", "field").agg(F.sum(F.col("value").cast("decimal(12,2)")).cast("decimal(20,2)").alias("total"), F.count("*").alias("n"))
 
 
@@ -511,7 +518,13 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("event_id", xml.typed(F.col("name"), F.col("raw")).alias("type"))
 
 
-@query()
+_PATHS = "SELECT page_id, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN concat('A/É', page_id, chr(92), 'b') WHEN 2 THEN '../x' WHEN 3 THEN 'C:/x' WHEN 4 THEN 'C:x//y' WHEN 5 THEN './a/./b/' WHEN 6 THEN concat('/r', page_id) ELSE './' END AS path FROM pages"
+
+
+@query(f"""
+WITH p AS ({_PATHS}), s AS (SELECT page_id, replace(path, chr(92), '/') AS path FROM p), c AS (SELECT page_id, path, [x FOR x IN string_split(path, '/') IF x <> '' AND x <> '.'] AS parts FROM s),
+n AS (SELECT page_id, CASE WHEN path NOT LIKE '/%' AND NOT regexp_matches(path, '^[A-Za-z]:/') AND len(parts) > 0 AND NOT list_contains(parts, '..') THEN array_to_string(parts, '/') END AS name FROM c)
+SELECT page_id, name, lower(nfc_normalize(name)) AS "key" FROM n""")
 def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.sources.packages import collision_key, member_name
 
@@ -520,8 +533,7 @@ def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = [member_name(p) for p in paths]
         return pd.DataFrame({"name": names, "key": [None if n is None else collision_key(n) for n in names]})
 
-    paths = select(spark, sf_dir, "SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('A/É', page_id, '\\\\b') WHEN 2 THEN '../x' ELSE 'C:/x' END AS path FROM pages")
-    return paths.select("page_id", run("path").alias("n")).select("page_id", "n.name", "n.key")
+    return select(spark, sf_dir, _PATHS).select("page_id", run("path").alias("n")).select("page_id", "n.name", "n.key")
 
 
 _PAGE = "SELECT event_id, 200.0D + event_id % 3000 AS width, 100.0D + (event_id * 7) % 9000 AS height, event_id % 4 * 90 AS rotation, CASE WHEN event_id % 10 = 0 THEN 0 ELSE 1000000 * (event_id % 40) END AS pixels_left, event_id % 8 AS words, event_id % 60 AS characters, cast(event_id % 1000 AS double) AS edge FROM events"
@@ -553,3 +565,132 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'f' || o_orderkey || '.xml
 def logical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows_ = select(spark, sf_dir, "SELECT o_orderkey, concat('f', o_orderkey, '.xml') AS source_path, 's.v1' AS schema_id, CASE WHEN o_orderkey % 5 = 0 THEN 'a' ELSE concat('/a/b[', o_orderkey, ']') END AS xpath FROM orders")
     return rows_.select("o_orderkey", coords.logical_id(F.col("source_path"), F.col("schema_id"), F.col("xpath")).alias("logical_id"))
+
+
+_RECORDS = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' Estimate_Row ' WHEN 1 THEN 'row' WHEN 2 THEN 'KAC' WHEN 3 THEN 'total' WHEN 4 THEN 'nothing' END AS entity, p_name AS name, cast(p_size AS string) AS size, CASE WHEN p_partkey % 5 = 0 THEN 'partial' END AS reliability FROM part"
+
+
+@query(f"""
+WITH r AS ({_RECORDS}), w AS (SELECT *, CASE lower(trim(entity)) WHEN 'estimate_row' THEN 'rows' WHEN 'row' THEN 'rows' WHEN 'kac' THEN 'kacs' WHEN 'total' THEN 'totals' END AS collection FROM r)
+SELECT collection, p_partkey::VARCHAR AS id, CASE WHEN collection = 'rows' AND p_partkey % 4 = 0 THEN 'own' WHEN collection = 'rows' THEN size WHEN collection = 'totals' AND p_partkey % 4 = 0 THEN 'own' END AS total, coalesce(reliability, 'reliable') AS reliability FROM w WHERE collection IS NOT NULL
+UNION ALL SELECT 'indices', p_partkey || ':index', size, coalesce(reliability, 'reliable') FROM w WHERE collection = 'rows' AND p_partkey % 3 = 0""")
+def canonical_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.functions.evidence import FIELDS
+    from ledgerlens.sources import canonical
+
+    made = select(spark, sf_dir, _RECORDS)
+    key = F.col("p_partkey").cast("string")
+    fields = F.map_concat(
+        F.create_map(F.lit("row_id"), key, F.lit("kac_id"), key, F.lit("total_id"), key, F.lit("amount"), F.col("size")), F.when(F.col("p_partkey") % 4 == 0, F.create_map(F.lit("declared_total"), F.lit("own"))).otherwise(F.create_map().cast("map<string,string>")),
+        F.when(F.col("p_partkey") % 3 == 0, F.create_map(F.lit("index"), F.col("size"))).otherwise(F.create_map().cast("map<string,string>")),
+    )
+    place = canonical.evidence({}, F.lit("s"), key)
+    model = canonical.routed(made.select("entity", fields.alias("fields"), "reliability", *[place[n].alias(n) for n in FIELDS]))
+    parts = [("rows", "row_id", "declared_total"), ("kacs", "kac_id", None), ("totals", "total_id", "declared_total"), ("indices", "index_id", "value")]
+    out = [model[n].select(F.lit(n).alias("collection"), F.col(i).alias("id"), (F.col(t) if t else F.lit(None)).cast("string").alias("total"), "reliability") for n, i, t in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+_LINES = "SELECT l_orderkey AS k, l_linenumber AS n, cast(cast(min(l_quantity) AS int) AS string) AS quantity, min(p_name) AS name FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey, l_linenumber"
+
+
+@query(f"""
+WITH l AS ({_LINES}), r AS (SELECT *, n - row_number() OVER (PARTITION BY k ORDER BY n) AS gap FROM l), b AS (SELECT k, min(n) AS blank FROM r WHERE gap = 0 AND k % 4 = 1 AND n % 5 = 3 GROUP BY k)
+SELECT r.k::VARCHAR AS sheet, r.n::BIGINT AS line, name, quantity, CASE WHEN n % 2 = 0 THEN 'quantity * unit_price' END AS basis FROM r LEFT JOIN b USING (k) WHERE gap = 0 AND (blank IS NULL OR n < blank)""")
+def sheet_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import canonical
+
+    heads = [("Наименование", 2), ("Кол-во", 9), ("Количество", 3), ("Unit price", 4), ("Сумма:", 5)]
+    lines = select(spark, sf_dir, _LINES)
+    blank = (F.col("k") % 4 == 1) & (F.col("n") % 5 == 3)
+    cell = lambda c, value, formula=None: F.struct((F.col("n") + 1).cast("int").alias("row"), F.lit(c).alias("col"), value.cast("string").alias("value"), (formula if formula is not None else F.lit(None)).cast("string").alias("formula"))
+    amount = F.when(F.col("n") % 2 == 0, F.concat(F.lit("=C"), F.col("n") + 1, F.lit("*$D$"), F.col("n") + 1))
+    full = F.array(cell(2, F.when(~blank, F.col("name"))), cell(3, F.when(~blank, F.col("quantity"))), cell(4, F.when(~blank, F.lit("7"))), cell(5, F.when(~blank, F.lit("1")), F.when(~blank, amount)), cell(8, F.lit("note")))
+    body = lines.select(F.col("k").cast("string").alias("sheet"), F.explode(full).alias("c")).select("sheet", "c.*").where("value IS NOT NULL OR formula IS NOT NULL")
+    top = lines.select(F.col("k").cast("string").alias("sheet")).distinct().select("sheet", F.explode(F.array(*[F.struct(F.lit(1).alias("row"), F.lit(c).alias("col"), F.lit(h).alias("value"), F.lit(None).cast("string").alias("formula")) for h, c in heads])).alias("c")).select("sheet", "c.*")
+    cells = top.unionByName(body).select(F.lit("b.xlsx").alias("path"), "sheet", F.concat(coords.column_letters(F.col("col").cast("long")), "row").alias("ref"), "row", "col", F.lit("text").alias("kind"), "value", "formula")
+    got = canonical.sheet_rows(cells)
+    return got.select("sheet", (F.col("row") - 1).cast("long").alias("line"), F.col("fields")["name"].alias("name"), F.col("fields")["quantity"].alias("quantity"), F.col("basis.formula").alias("basis"))
+
+
+_SCAN = "SELECT s_suppkey AS k, s_name AS name, cast(s_nationkey AS string) AS land, s_suppkey % 7 = 0 AS spoilt, s_suppkey % 5 = 0 AS unsure, s_suppkey % 11 = 0 AS twice FROM supplier"
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recognised page for each supplier: a header line, and a row that may be spoilt, or unsure."""
+    made = select(spark, sf_dir, _SCAN)
+    line = lambda n, i, x, conf, word: F.concat_ws("\t", F.lit(f"5\t1\t1\t1\t{n}\t{i}\t{x}\t{n * 20}\t40\t10"), conf, word)
+    sure, at = F.lit("97.5"), [10, 90, 170, 250, 330]
+    heads = [line(1, i, x, sure, F.lit(h)) for i, (x, h) in enumerate(zip(at, ["Name", "Unit", "Quantity", "Price", "Total"], strict=True))]
+    row = [line(2, 0, 10, sure, F.replace("name", F.lit(" "), F.lit("_"))), line(2, 1, 90, F.when(F.col("unsure"), "61").otherwise("95"), F.lit("pcs")), line(2, 2, 170, sure, F.when(F.col("spoilt"), "n/a").otherwise(F.col("land"))), line(2, 3, 250, sure, F.lit("1,5")), line(2, 4, 330, sure, F.lit("10 000"))]
+    more = [line(3, i, 600 if i % 2 else 20, F.lit("99") if i % 3 else F.lit("12"), F.lit("fill")) for i in range(16)]
+    again = F.when(F.col("twice"), line(1, 9, 360, sure, F.lit("Price")))
+    text_ = F.concat_ws("\n", F.lit("header"), *heads, again, *row, *more)
+    return made.select(F.concat(F.lit("p"), "k").alias("source_path"), F.lit(1).alias("page"), text_.alias("tsv"), F.lit(400).alias("image_width"), F.lit(100).alias("image_height"), F.lit(0).alias("rotation"))
+
+
+@query(f"""
+WITH s AS ({_SCAN}) SELECT 'p' || k AS source_path, r.reason, (CASE r.reason WHEN 'reliable' THEN 10 + 5 + CASE WHEN twice THEN 1 ELSE 0 END WHEN 'invalid_bbox' THEN 8 ELSE 3 END)::BIGINT AS n FROM s, (VALUES ('reliable'), ('invalid_bbox'), ('low_confidence')) r(reason)""")
+def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import recognition
+
+    found = recognition.words(_scanned(spark, sf_dir))
+    return found.groupBy("source_path", F.coalesce("reason", F.lit("reliable")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH s AS ({_SCAN}) SELECT 'p' || k AS source_path, 'page:1:ocr-table:1:row:1' AS candidate_id, replace(name, ' ', '_') AS name, land AS quantity, CASE WHEN k % 3 = 0 THEN 'geometry' END AS fault FROM s WHERE NOT spoilt AND NOT unsure AND NOT twice""")
+def recognised_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import recognition
+
+    found = recognition.candidates(recognition.words(_scanned(spark, sf_dir)))
+    moved = F.when(F.substring("source_path", 2, 20).cast("long") % 3 == 0, F.array(*map(F.lit, [5, 40, 370, 50]))).otherwise(F.col("bbox"))
+    return recognition.validated(found.withColumn("bbox", moved)).select("source_path", "candidate_id", F.col("fields")["name"].alias("name"), F.col("fields")["quantity"].alias("quantity"), "fault")
+
+
+@query("""
+SELECT event_id, 's' || event_id AS source_path, CASE event_id % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'xpath:/a/b;line:' || event_id WHEN 2 THEN 'page:' || event_id ELSE 'unresolved-evidence' END AS locator FROM events""")
+def limitation_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import canonical
+
+    notes = select(spark, sf_dir, "SELECT event_id, concat('s', event_id) AS source_path, CASE event_id % 4 WHEN 0 THEN 'own' WHEN 1 THEN '' END AS locator, CASE WHEN event_id % 4 = 1 THEN '/a/b' END AS xpath, event_id AS line, CASE WHEN event_id % 4 = 2 THEN event_id END AS page FROM events")
+    return canonical.located(notes).select("event_id", "source_path", "locator")
+
+
+@query("""
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'f' || page_id || '.xml' WHEN 1 THEN 'sub/a.zip!/' || page_id || '/x.xml' ELSE page_id || '.pdf' END AS shown FROM pages""")
+def display_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import canonical
+
+    paths = select(spark, sf_dir, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('file:/root/in/f', page_id, '.xml') WHEN 1 THEN concat('/root/in/sub/a.zip!/', page_id, '/x.xml') ELSE concat('hdfs://h/other/', page_id, '.pdf') END AS path FROM pages")
+    return paths.select("page_id", canonical.displayed(F.col("path"), "/root/in/").alias("shown"))
+
+
+@query("""
+SELECT o_orderkey AS k, 't' || o_orderkey || ':S:' || i AS row_id, CASE WHEN i = 1 THEN o_orderstatus ELSE o_orderpriority END AS name, (o_orderkey % 100 + i)::VARCHAR AS total FROM orders, (VALUES (1), (2)) v(i) WHERE o_orderkey % 3 <> 2""")
+def generic_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import canonical
+
+    made = select(spark, sf_dir, "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+    k = F.col("o_orderkey")
+    heads = F.when(k % 3 == 2, F.array(F.lit("name"), F.lit("remark"))).otherwise(F.array(F.lit(" Наименование "), F.lit("ИТОГО")))
+    body = [F.array(F.col("o_orderstatus"), (k % 100 + 1).cast("string")), F.array(F.col("o_orderpriority"), (k % 100 + 2).cast("string"))]
+    rows_ = F.when(k % 3 == 0, F.array(*body)).otherwise(F.array(heads, *body))
+    tables_ = made.select(F.concat(F.lit("t"), k).alias("source_path"), F.lit("S").alias("sheet"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("range"), F.lit(None).cast("string").alias("estimate_id"), F.when(k % 3 == 0, heads).alias("headers"), rows_.alias("rows"))
+    got = canonical.table_records(tables_)
+    return got.select(F.substring("source_path", 2, 30).cast("long").alias("k"), F.col("fields")["row_id"].alias("row_id"), F.col("fields")["name"].alias("name"), F.col("fields")["declared_total"].alias("total"))
+
+
+@query("""
+SELECT c_custkey AS k, 'c:page:' || (c_custkey % 9 + 1) || ':table:' || c_custkey || ':row:' || i AS row_id, c_mktsegment AS name, (c_custkey + i)::VARCHAR AS quantity FROM customer, (VALUES (1), (2)) v(i) WHERE c_custkey % 5 <> 0 AND NOT (i = 2 AND c_custkey % 3 = 0)""")
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.sources import canonical
+
+    made = select(spark, sf_dir, "SELECT c_custkey, c_mktsegment FROM customer")
+    k = F.col("c_custkey")
+    lines = [[F.when(k % 5 == 0, "remark").otherwise("Наименование"), F.lit("Количество"), F.lit("Всего")], *[[F.col("c_mktsegment"), (k + i).cast("string"), F.lit("1")] for i in (1, 2)]]
+    flat = (k % 3 == 0).cast("int")
+    cells = [F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), x.alias("text"), F.lit(c * 10.0).alias("x0"), F.lit(r * 10.0).alias("top"), (F.lit(c * 10.0) + F.when((flat == 1) & F.lit(r == 2 and c == 1), 0.0).otherwise(9.0)).alias("x1"), F.lit(r * 10.0 + 9).alias("bottom")) for r, line in enumerate(lines) for c, x in enumerate(line)]
+    rows_ = made.select(F.lit("c").alias("source_path"), (k % 9 + 1).cast("int").alias("page"), k.alias("table"), F.explode(F.array(*cells)).alias("x")).select("source_path", "page", "table", "x.*")
+    got = canonical.page_table_rows(rows_)
+    return got.select(F.regexp_extract(F.col("fields")["row_id"], "table:([0-9]+)", 1).cast("long").alias("k"), F.col("fields")["row_id"].alias("row_id"), F.col("fields")["name"].alias("name"), F.col("fields")["quantity"].alias("quantity"))

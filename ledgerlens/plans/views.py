@@ -50,9 +50,9 @@ SELECT p_partkey AS kac_id, CASE WHEN p_partkey % 7 = 0 THEN '0' WHEN p_partkey
   'q.pdf' AS source_path, 'page:1' AS locator, CASE WHEN p_partkey % 29 = 0 THEN -1 ELSE 1 END AS page
 FROM part""",
     "v_words": """
-SELECT conv_id % 50 AS page, turn AS block, 1 AS par, conv_id AS line, w.i AS word_num, w.word AS text, w.i * 60 - CASE WHEN (conv_id + w.i) % 31 = 0 THEN 100 ELSE 0 END AS "left", turn * 20 AS top, 50 AS width, 12 AS height,
-  (conv_id * 7 + turn * 3 + w.i * 13) % 100 AS conf, 700 AS image_width, 4000 AS image_height
-FROM (SELECT conv_id, turn, split(regexp_replace(text, '[^A-Za-z]+', ' '@G), ' ') AS ws FROM conversations) c, @UNNEST(ws) w WHERE w.i <= 12 AND w.word <> ''""",
+SELECT conv_id AS page, turn AS block, 1 AS par, conv_id * 1000 + w.rank AS line, w.i AS word_num, w.word AS text, ((w.i - 1) % 12 + 1) * 60 - CASE WHEN (conv_id + w.i) % 31 = 0 THEN 100 ELSE 0 END AS "left", turn * 100000 + w.rank * 20 AS top, 50 AS width, 12 AS height,
+  (conv_id * 7 + turn * 3 + w.i * 13) % 100 AS conf, 740 AS image_width, 10000000 AS image_height
+FROM (SELECT conv_id, turn, split(regexp_replace(text, '[^A-Za-z]+', ' '@G), ' ') AS ws FROM conversations) c, @UNNEST(ws) w WHERE w.word <> ''""",
 }
 
 
@@ -68,12 +68,12 @@ def _expand(sql: str) -> str:
 
 
 def _spark(sql: str) -> str:
-    sql = re.sub(r"@UNNEST\((\w+)\) w", r"LATERAL (SELECT pos + 1 AS i, col AS word FROM posexplode(\1)) w", sql).replace("@G", "")
+    sql = re.sub(r"@UNNEST\((\w+)\) w", r"LATERAL (SELECT pos + 1 AS i, cast(floor(pos / 12) AS bigint) AS rank, col AS word FROM posexplode(\1)) w", sql).replace("@G", "")
     return re.sub(r'"(\w+)"', r"`\1`", sql)
 
 
 def _duck(sql: str) -> str:
-    return re.sub(r"@UNNEST\((\w+)\) w", r"LATERAL (SELECT unnest(range(1, len(\1) + 1)) AS i, unnest(\1) AS word) w", sql).replace("@G", ", 'g'")
+    return re.sub(r"@UNNEST\((\w+)\) w", r"LATERAL (SELECT unnest(range(1, len(\1) + 1)) AS i, unnest(range(0, len(\1))) // 12 AS rank, unnest(\1) AS word) w", sql).replace("@G", ", 'g'")
 
 
 def configure(spark: SparkSession) -> None:

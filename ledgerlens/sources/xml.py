@@ -139,6 +139,13 @@ def direct_fields(anchored: DataFrame, found: DataFrame) -> DataFrame:
     return anchored.select("source_path", F.col("xpath").alias("anchor"), "rule").join(leaves, ["source_path", "anchor"])
 
 
+def owned_fields(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """What direct_fields gives for the anchors of the rules, in one pass: a value's owner is an anchor if its path fits a rule."""
+    leaves = found.where("kind <> 'element' AND code IS NULL").withColumn("plain", plain_xpath(F.col("owner")))
+    fit = leaves.join(_small(rules), "schema_id").where(F.expr("plain rlike concat('^(?:', pattern, ')$')"))
+    return fit.select("source_path", F.col("owner").alias("anchor"), "rule", "kind", "local_name", F.col("xpath").alias("value_xpath"), "raw_value")
+
+
 def mapped(fields: DataFrame, mapping: DataFrame) -> DataFrame:
     """(source_path, anchor, field, value): of several candidates, mode `first` takes the least ordinal that isn't blank, `unique` only a single one.
 
