@@ -121,7 +121,7 @@ def load(path: str) -> Bpe:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker: what it remembers serves its later tasks."""
+    """One encoder per worker; the vocabulary serves its later tasks."""
     return Encoder(path)
 
 
@@ -164,6 +164,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
         for b in batches:
             ids = list(map(own.encode, b.column(1).to_pylist()))
             yield pa.record_batch({"doc_id": b.column(0), "ids": pa.array(ids, pa.binary())})
+        own.known.clear()
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
@@ -210,6 +211,7 @@ def both_ways(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
         for b in batches:
             ids = pa.array(list(map(own.encode, b.column(1).to_pylist())), pa.binary())
             yield pa.record_batch({"doc_id": b.column(0), "ids": ids, "decoded": texts(ids)})
+        own.known.clear()  # the worker goes on to other work
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()

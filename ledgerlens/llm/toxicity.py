@@ -33,7 +33,7 @@ from ledgerlens.llm.files import local, read_from, write_to
 EXAMPLES = 15_000
 NEIGHBOURS = 15
 #: Examples of a block; texts that are scored together; texts of an Arrow batch, whose terms are looked up together.
-BLOCK, TOGETHER, SCORED = 128, 128, 2048
+BLOCK, TOGETHER, SCORED = 128, 128, 1024
 #: Chi-square at which a term has half its idf.
 SHRINK = 25.0
 #: A list is long if so large a part of the examples is on it.
