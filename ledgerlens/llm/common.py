@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Workers live on from stage to stage. By default the C library raises the size from which freed blocks go back to the
+# system with each larger block, and keeps what has been freed in between; fixed, a worker holds what it uses.
+try:
+    _C = ctypes.CDLL("libc.so.6")
+    _C.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    _C.mallopt(-1, 1 << 18)  # M_TRIM_THRESHOLD
+except (OSError, AttributeError):  # another C library
+    pass
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that one Arrow batch carries to Python; bounds a worker's memory on long texts.
 BATCH_ROWS = 512

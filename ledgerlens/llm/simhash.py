@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import attach, components, free, saved, small_batches, table
@@ -191,11 +192,12 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), F.xxhash64(text).alias("_th"))
     own = saved(prefixes(rows, words, similar))
-    classes = own.groupBy("c").agg(F.min("_th").alias("_th"), *[F.first(n).alias(n) for n in ("fp", "size", "hot", "first", "often")])
-    classes = classes.select("c", "_th", "fp", "first", "often", F.struct("c", "size", "hot", F.size("often").alias("kept")).alias("t"))
-    few = classes.select(F.explode("first").alias("run"), F.lit(False).alias("frequent"), "t")
-    many = classes.where(F.col("t.hot") >= similar * F.col("t.size") - 1e-9).select(F.explode("often").alias("run"), F.lit(True).alias("frequent"), "t")
-    each = few.unionByName(many)
+    classes = saved(own.groupBy("c").agg(F.min("_th").alias("_th"), *[F.first(n).alias(n) for n in ("fp", "size", "hot", "first", "often")]))
+    told = classes.select("c", F.struct("c", "size", "hot", F.size("often").alias("kept")).alias("t"))
+    # A run that isn't frequent has few rows, so one exchange of them counts and keeps those that recur.
+    few = classes.select(F.explode("first").alias("run"), "c").withColumn("n", F.count("*").over(W.partitionBy("run"))).where("n > 1").select("run", F.lit(False).alias("frequent"), "c")
+    many = classes.where(F.col("hot") >= similar * F.col("size") - 1e-9).select(F.explode("often").alias("run"), F.lit(True).alias("frequent"), "c")
+    each = saved(few.unionByName(many).join(told, "c").select("run", "frequent", "t"))
     rarity = (F.col("t.size") - F.col("t.hot")) / F.greatest(F.col("t.size"), F.lit(1))
     met = each.groupBy("run").agg(F.count("*").alias("n"), F.min_by("t", F.struct(rarity, F.col("t.c"))).alias("u")).where("n > 1").select("run", "u")
     shared = saved(each.join(met, "run"))
@@ -237,7 +239,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         more = F.when(by_often, 0).otherwise(F.least("t.kept", "u.kept")) + F.ceil(similar * F.greatest("t.size", "u.size") - 1e-9) - 1
         return saved(pair.where(F.col("m") + more >= total - 1e-6).select(F.col("t.c").alias("a"), F.col("u.c").alias("b")))
 
-    patterns = classes.groupBy("fp").agg(F.min("c").alias("least"))
+    patterns = saved(classes.groupBy("fp").agg(F.min("c").alias("least")))
     near = links(patterns.select("fp")).join(patterns.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(patterns.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     same = classes.join(patterns, "fp").where("c <> least").select(F.col("c").alias("x"), F.col("least").alias("y"))
     blocked = near.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

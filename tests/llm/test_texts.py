@@ -284,12 +284,95 @@ def test_passages_against_brute_force(spark):
     rows = [(i, " ".join(t), 1) for i, t in docs.items()] + [(50, " ".join(docs[0]).upper(), 1), (51, None, 1), (52, "", 1), (None, " ".join(p), 1), (53, "few words", 1), (8, " ".join(docs[8]), 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, class_id int")
     got = {r.doc_id: r for r in passages.classes(df).collect()}
-    same = {0: 0, 50: 0, 1: 1, 4: 1, 9: 1, 6: 1, 2: 2, 7: 2}
+    same = {0: 0, 50: 0, 1: 1, 4: 1, 9: 1, 6: 1, 2: 2, 7: 2, 8: 8}
     for i in [*docs, 50, 51, 52, 53]:
         assert got[i].class_id == same.get(i, i), i
         assert (got[i].n_links > 0) == (i in same), i
-    assert got[1].passages == "20-90" and got[6].passages == "80-150" and got[2].passages == "0-60" and got[None].class_id is None
+    assert got[1].passages == "20-90" and got[6].passages == "80-150" and got[2].passages == "0-60" and got[None].class_id == 1
+    assert [got[i].n_links for i in (0, 1, 2, 3)] == [1, 4, 1, 0]
     assert passages.classes(df.limit(0)).count() == 0
+    named = passages.classes(df.select(F.concat(F.lit("n"), "doc_id").alias("id"), F.col("text").alias("body"), F.lit(1).alias("d"), F.lit(2).alias("doc_id")), "id", "body")
+    assert {r.class_id for r in named.collect() if r.doc_id in ("n1", "n4", "n6")} == {"n1"}
+
+
+def brute_classes(texts, least=50):
+    """Classes of texts that share `least` words in a row, by every run of so many words."""
+    root = {d: d for d in texts}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    first = {}
+    for d, words in texts.items():
+        for i in range(len(words) - least + 1):
+            a, b = find(first.setdefault(tuple(words[i : i + least]), d)), find(d)
+            root[max(a, b)] = min(a, b)
+    return {d: find(d) for d in texts}
+
+
+def similarity(a, b):
+    p, q = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(p & q) / len(p | q)
+
+
+def test_passages_of_frequent_lines(spark):
+    """Lines that many documents have, hot passages and copies: what two documents share of 50 words or more is found."""
+    rnd = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    lines = [[rnd.choice(vocabulary) for _ in range(rnd.choice([12, 20, 30]))] for _ in range(60)]
+    hot = [[rnd.choice(vocabulary) for _ in range(70)] for _ in range(2)]
+    texts = {}
+    for i in range(500):
+        words = [w for _ in range(rnd.randint(3, 9)) for w in rnd.choice(lines)]
+        for p in range(2):
+            if rnd.random() < 0.1:
+                at = rnd.randrange(len(words))
+                words[at:at] = hot[p]
+        texts[i] = words
+    for i in range(0, 80, 2):
+        at = rnd.randrange(len(texts[i]))
+        run = [w for _ in range(5) for w in rnd.choice(lines)][:60]
+        texts[i][at:at] = run
+        texts[i + 1][:0] = run
+    fuzzy = {}
+    for i in range(40):  # a passage of 120 words with two changed words
+        run = [rnd.choice(vocabulary) for _ in range(120)]
+        other = list(run)
+        for at in rnd.sample(range(20, 100), 2):
+            other[at] = "changed"
+        texts[1000 + 2 * i], texts[1001 + 2 * i] = [rnd.choice(vocabulary) for _ in range(30)] + run, other + [rnd.choice(vocabulary) for _ in range(40)]
+        fuzzy[1000 + 2 * i] = 1001 + 2 * i
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in passages.classes(df).collect()}
+    want = brute_classes(texts)
+    linked = [d for d in texts if want[d] != d or d in {want[e] for e in texts if e != d}]
+    missed = [d for d in linked if got[d].class_id != got[want[d]].class_id]
+    assert len(linked) > 150 and len(missed) <= 0.02 * len(linked)
+    assert sum(got[a].class_id == got[b].class_id for a, b in fuzzy.items()) >= 0.95 * len(fuzzy)
+    for d, r in got.items():  # all that is found is a passage
+        assert (r.n_links > 0) == bool(r.passages) and all(int(b) - int(a) >= 50 for a, b in (p.split("-") for p in r.passages.split(",") if p))
+    sizes = Counter(r.class_id for r in got.values())
+    assert all(r.n_links == sizes[r.class_id] - 1 for r in got.values())
+    by_text = {" ".join(w): w for w in texts.values()}
+    texts_df = df.select(F.xxhash64("text").alias("d"), "text").dropDuplicates(["d"])
+    own = {r.d: by_text[r.text] for r in texts_df.collect()}
+    for r in passages.repeats(texts_df).collect():
+        a, b = own[r.a][r.a_from : r.a_to], own[r.b][r.b_from : r.b_to]
+        assert min(len(a), len(b)) >= 50 and similarity(a, b) >= 0.75 and r.similarity >= 0.8
+
+
+def test_passages_longer_than_what_is_read_at_first(spark):
+    rnd = random.Random(3)
+    run = [f"w{rnd.randrange(10**6)}" for _ in range(9000)]
+    docs = [(1, " ".join(run)), (2, " ".join(["own", "start"] + run[:4000] + [f"new{i}" for i in range(300)] + run[4100:])), (3, " ".join(run[3000:3080]))]
+    got = {r.doc_id: r for r in passages.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].passages == "0-9000" and got[2].class_id == got[3].class_id == 1
+    a = np.array([hash(w) & 0xFFFFFFFF for w in run[:3000]], "<u4")
+    b = np.concatenate([a[:500], np.arange(2000, dtype="<u4"), a[700:]])
+    columns = passages._between(a, b)
+    assert sum(c[0] for c in columns) == len(a) and sum(c[1] for c in columns) == len(b) and sum(c[2] for c in columns) == 2800
 
 
 def test_chains_by_fenwick_tree():
