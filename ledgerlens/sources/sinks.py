@@ -6,11 +6,13 @@ import hashlib
 import io
 import json
 import os
+import posixpath
 import re
 import zipfile
 from decimal import Decimal, InvalidOperation
 from xml.etree import ElementTree as ET
 
+from ledgerlens.operators.formulas import split_cell
 from ledgerlens.sources.workbooks import MAIN, REL, preflight
 
 RESULT_BYTES, CORRECTIONS = 2_000_000, 1_000
@@ -128,10 +130,69 @@ def _equal(old: object, cell: ET.Element | None, shared: list[str]) -> bool:
         return False
 
 
+_RELS = "http://schemas.openxmlformats.org/package/2006/relationships"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_TYPES = "http://schemas.openxmlformats.org/package/2006/content-types"
+#: Elements of a sheet that come after its drawings.
+_LATER = {"legacyDrawingHF", "picture", "oleObjects", "controls", "webPublishItems", "tableParts", "extLst"}
+_SHAPE = '<v:shape id="{id}" type="#_x0000_t202" style="position:absolute;visibility:hidden" fillcolor="#ffffe1"><v:textbox/><x:ClientData ObjectType="Note"><x:Anchor>{col},0,{row},0,{right},0,{low},0</x:Anchor><x:Row>{row}</x:Row><x:Column>{col}</x:Column></x:ClientData></v:shape>'
+_VML = '<xml xmlns:v="urn:schemas-microsoft-com:vml" xmlns:o="urn:schemas-microsoft-com:office:office" xmlns:x="urn:schemas-microsoft-com:office:excel"><v:shapetype id="_x0000_t202" coordsize="21600,21600" path="m,l,21600r21600,l21600,xe"/>'
+
+
+def _commented(z: zipfile.ZipFile, part: str, root: ET.Element, notes: list[tuple[str, str]], number: int) -> dict[str, bytes]:
+    """New parts of the workbook for notes (cell, text) on a sheet; the sheet's own root gets the drawing that shows them.
+
+    A sheet that has comments already keeps them: the notes come after.
+    """
+    folder, _, leaf = part.rpartition("/")
+    rels_name = f"{folder}/_rels/{leaf}.rels"
+    rels = ET.fromstring(z.read(rels_name)) if rels_name in z.namelist() else ET.Element(f"{{{_RELS}}}Relationships")
+    where = lambda t: t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"{folder}/{t}")
+    has = {r.get("Type", "").rpartition("/")[2]: where(r.get("Target", "")) for r in rels}
+    comments_name, vml_name = has.get("comments", f"xl/comments_notes{number}.xml"), has.get("vmlDrawing", f"xl/drawings/vmlDrawing_notes{number}.vml")
+    comments = ET.fromstring(z.read(comments_name)) if "comments" in has else ET.Element(f"{MAIN}comments")
+    authors = comments.find(f"{MAIN}authors")
+    if authors is None:
+        authors = ET.SubElement(comments, f"{MAIN}authors")
+    ET.SubElement(authors, f"{MAIN}author").text = "ledgerlens"
+    listed = comments.find(f"{MAIN}commentList")
+    if listed is None:
+        listed = ET.SubElement(comments, f"{MAIN}commentList")
+    shapes = []
+    for i, (cell, text) in enumerate(notes):
+        note = ET.SubElement(listed, f"{MAIN}comment", {"ref": cell, "authorId": str(len(authors) - 1)})
+        ET.SubElement(ET.SubElement(ET.SubElement(note, f"{MAIN}text"), f"{MAIN}r"), f"{MAIN}t").text = text
+        row, col = split_cell(cell)
+        shapes.append(_SHAPE.format(id=f"note{number}_{i}", row=row - 1, col=col - 1, right=col + 2, low=row + 3))
+    old = z.read(vml_name).decode("utf-8") if "vmlDrawing" in has else f"{_VML}</xml>"
+    cut = old.rindex("</xml>")
+    for kind, name in (("comments", comments_name), ("vmlDrawing", vml_name)):
+        if kind not in has:
+            ET.SubElement(rels, f"{{{_RELS}}}Relationship", {"Id": f"rIdNotes{kind}", "Type": f"{_OFFICE}/{kind}", "Target": f"/{name}"})
+    if "vmlDrawing" not in has:
+        at = next((i for i, e in enumerate(root) if e.tag.removeprefix(MAIN) in _LATER), len(root))
+        root.insert(at, ET.Element(f"{MAIN}legacyDrawing", {f"{REL}id": "rIdNotesvmlDrawing"}))
+    write = lambda e: ET.tostring(e, encoding="UTF-8", xml_declaration=True)
+    return {rels_name: write(rels), comments_name: write(comments), vml_name: (old[:cut] + "".join(shapes) + old[cut:]).encode()}
+
+
+def _typed(z: zipfile.ZipFile, names: list[str]) -> bytes:
+    """[Content_Types].xml with the types of new parts."""
+    name = "[Content_Types].xml"
+    types = ET.fromstring(z.read(name)) if name in z.namelist() else ET.Element(f"{{{_TYPES}}}Types")
+    known = {e.get("Extension", "").lower() for e in types} | {e.get("PartName") for e in types}
+    if "vml" not in known:
+        types.insert(0, ET.Element(f"{{{_TYPES}}}Default", {"Extension": "vml", "ContentType": "application/vnd.openxmlformats-officedocument.vmlDrawing"}))
+    for n in names:
+        if n.endswith(".xml") and "/comments" in n and f"/{n}" not in known:
+            ET.SubElement(types, f"{{{_TYPES}}}Override", {"PartName": f"/{n}", "ContentType": "application/vnd.openxmlformats-officedocument.spreadsheetml.comments+xml"})
+    return ET.tostring(types, encoding="UTF-8", xml_declaration=True)
+
+
 def corrected_workbook(content: bytes, spec: dict) -> tuple[bytes, dict]:
     """A copy with confirmed replacements, and its change log. Any stale value, missing sheet or formula cell rejects all.
 
-    Only the sheets' cells are patched; every other part is copied as it is. Disputed corrections are logged.
+    Only the sheets' cells are patched; every other part is copied as it is. Disputed corrections become comments on their cells.
     """
     if hashlib.sha256(content).hexdigest() != spec["source_sha256"]:
         raise Rejected("the source has changed")
@@ -141,6 +202,7 @@ def corrected_workbook(content: bytes, spec: dict) -> tuple[bytes, dict]:
     parts = {s.get("name"): (t.lstrip("/") if (t := targets.get(s.get(f"{REL}id"), "")).startswith("/") else f"xl/{t}") for s in book.iter(f"{MAIN}sheet")}
     shared = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
     roots: dict[str, ET.Element] = {}
+    notes: dict[str, list[tuple[str, str]]] = {}
     log = []
     for c in spec["corrections"]:
         t = c["target"]
@@ -163,11 +225,18 @@ def corrected_workbook(content: bytes, spec: dict) -> tuple[bytes, dict]:
                 if isinstance(new, bool):
                     cell.set("t", "b")
                 ET.SubElement(cell, f"{MAIN}v").text = str(int(new)) if isinstance(new, bool) else repr(new)
+        else:
+            notes.setdefault(part, []).append((t["cell"].upper(), f"{c['id']}: {c['reason']} -> {c['replacement']}"))
         log.append({"id": c["id"], "action": "replaced" if c["status"] == "confirmed" else "commented", "target": t, "old_value": c["expected_old"], "new_value": c["replacement"], "reason": c["reason"]})
+    made: dict[str, bytes] = {}
+    for number, (part, own) in enumerate(notes.items(), 1):
+        made |= _commented(z, part, roots[part], own, number)
+    if made:
+        made["[Content_Types].xml"] = _typed(z, list(made))
+    made |= {n: ET.tostring(r, encoding="UTF-8", xml_declaration=True) for n, r in roots.items()}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as w:
-        for info in z.infolist():
-            data = ET.tostring(roots[info.filename], encoding="UTF-8", xml_declaration=True) if info.filename in roots else z.read(info.filename)
-            w.writestr(zipfile.ZipInfo(info.filename, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
+        for name in dict.fromkeys([*z.namelist(), *made]):
+            w.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), made[name] if name in made else z.read(name), zipfile.ZIP_DEFLATED)
     data = out.getvalue()
     return data, {"source_sha256_before": spec["source_sha256"], "output_sha256": hashlib.sha256(data).hexdigest(), "changes": log}

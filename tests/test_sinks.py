@@ -1,5 +1,8 @@
 import hashlib
+import io
 import json
+import zipfile
+from xml.etree import ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +22,13 @@ def test_corrected_copy():
     got = {(c["sheet"], c["ref"]): c["value"] for c in workbooks.cells(data)}
     assert (got["Смета", "C1"], got["Смета", "A1"], got["Off", "A1"], got["Смета", "B1"]) == ("3", "брус", "100", "два слова")
     assert [c["action"] for c in log["changes"]] == ["replaced", "replaced", "commented"]
+    z = zipfile.ZipFile(io.BytesIO(data))
+    comment = ET.fromstring(z.read("xl/comments_notes1.xml"))
+    assert [(c.get("ref"), "".join(c.itertext())) for c in comment.iter(f"{workbooks.MAIN}comment")] == [("A1", "c2: r -> 1")]
+    assert "<x:Row>0</x:Row>" in z.read("xl/drawings/vmlDrawing_notes1.vml").decode() and b"comments+xml" in z.read("[Content_Types].xml") and b"legacyDrawing" in z.read("xl/worksheets/sheet2.xml")
+    again, _ = sinks.corrected_workbook(data, request(data, {"target": {"sheet": "Off", "cell": "A1"}, "expected_old": 100.0, "replacement": 2, "status": "disputed"}))
+    kept = ET.fromstring(zipfile.ZipFile(io.BytesIO(again)).read("xl/comments_notes1.xml"))
+    assert len(list(kept.iter(f"{workbooks.MAIN}comment"))) == 2
     for bad in ({"target": {"sheet": "Смета", "cell": "C1"}, "expected_old": 9, "replacement": 1}, {"target": {"sheet": "None", "cell": "C1"}, "expected_old": 9, "replacement": 1}, {"target": {"sheet": "Смета", "cell": "A2"}, "expected_old": 4, "replacement": 1}):
         with pytest.raises(sinks.Rejected):
             sinks.corrected_workbook(content, request(content, bad))
