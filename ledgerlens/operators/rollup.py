@@ -84,6 +84,17 @@ def full_rows(rows: DataFrame, attested: DataFrame, dimensions: list[str]) -> Da
     return rows.join(attested, "row_id", "left").select("row_id", status.alias("status"), F.array_join(parts, ",").alias("lacking"))
 
 
+def unknown_rows(rows: DataFrame, attested: DataFrame) -> DataFrame:
+    """(row_id) of attestations of rows that aren't there: they cover nothing, and are reported."""
+    return attested.select("row_id").distinct().join(rows.select("row_id"), "row_id", "left_anti")
+
+
+def coverage(states: DataFrame) -> DataFrame:
+    """One row of counts of states (row_id, status): extracted rows, and how many different ids are checkable, checked, and open."""
+    ids = states.groupBy("row_id").agg(F.count("*").alias("n"), F.bool_or(F.col("status").isin("passed", "finding")).alias("c"), F.bool_or(F.col("status") == "needs_input").alias("o"))
+    return ids.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("extracted"), F.count("*").alias("checkable"), F.count_if("c").alias("checked"), F.count_if("o").alias("open"))
+
+
 def top_findings(findings: DataFrame, k: int = 1000) -> DataFrame:
     """The k findings of highest severity, then by id and order; each task sends k at most."""
     return findings.orderBy(ranked_severity(F.col("severity")), "id", "ord").limit(k)
@@ -116,6 +127,21 @@ def cited(findings: DataFrame, sources: DataFrame) -> DataFrame:
     return findings.join(bad, "id", "left_anti")
 
 
+def uncited(findings: DataFrame, sources: DataFrame) -> DataFrame:
+    """(code, finding_id, check_id, source_ids) of limitations: findings (id, check_id, source_ids) that `cited` leaves out, with the sources that failed."""
+    each = findings.select("id", "check_id", F.explode("source_ids").alias("source_id"))
+    bad = each.join(verified_sources(sources).select("source_id").distinct(), "source_id", "left_anti")
+    return bad.groupBy(F.lit("finding_source_not_verified").alias("code"), F.col("id").alias("finding_id"), "check_id").agg(F.array_sort(F.collect_set("source_id")).alias("source_ids"))
+
+
+def downgraded(checks: DataFrame, findings: DataFrame, sources: DataFrame) -> DataFrame:
+    """checks (id, status) with a finding as limited where every finding (id, check_id, source_ids) of it fell out for its sources."""
+    lost = uncited(findings, sources).select(F.col("finding_id").alias("id"), F.lit(True).alias("lost")).distinct()
+    left = findings.join(lost, "id", "left").groupBy(F.col("check_id").alias("id")).agg(F.bool_and(F.coalesce("lost", F.lit(False))).alias("all_lost"))
+    status = F.when(F.coalesce("all_lost", F.lit(False)) & (F.col("status") == "finding"), "limited").otherwise(F.col("status"))
+    return checks.join(left, "id", "left").withColumn("status", status).drop("all_lost")
+
+
 def verified_sources(sources: DataFrame) -> DataFrame:
     """Sources that are current, with an edition and a pinpoint, and an http address unless internal."""
     has = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))

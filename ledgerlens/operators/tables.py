@@ -79,8 +79,13 @@ def text_lines(words: DataFrame, step: float = LINE_STEP) -> DataFrame:
 
 
 def column_bounds(headers: DataFrame) -> DataFrame:
-    """headers (page, table, field, center, image_width) with lo and hi: midpoints between centers, 0 and the width."""
+    """headers (page, table, field, center, image_width) with lo and hi: midpoints between centers, 0 and the width.
+
+    A table two of whose headers have one center has no columns.
+    """
     w = W.partitionBy("page", "table").orderBy("center")
+    level = W.partitionBy("page", "table", "center")
+    headers = headers.withColumn("_same", F.count("*").over(level)).withColumn("_same", F.max("_same").over(W.partitionBy("page", "table"))).where("_same = 1").drop("_same")
     lo = F.coalesce((F.lag("center").over(w) + F.col("center")) / 2, F.lit(0.0))
     hi = F.coalesce((F.lead("center").over(w) + F.col("center")) / 2, F.col("image_width").cast("double"))
     return headers.withColumns({"lo": lo, "hi": hi, "is_last": F.lead("center").over(w).isNull()})
@@ -117,32 +122,47 @@ def attested(candidates: DataFrame, attestations: DataFrame, values: list[str])
     return own.join(told, key, "left").select(*key, outcome.alias("outcome"))
 
 
-def running_budget(rows: DataFrame, key: str, order: list[str], size: str, limit: int) -> DataFrame:
-    """rows with `used` (their key's sum so far, in order) and `accepted` (within the limit).
+def running_budget(rows: DataFrame, key: str, order: list[str], size: str, limit: int, entries: int | None = None) -> DataFrame:
+    """rows with `used` (their key's sum so far, in order) and `accepted` (within the limit, and among the first `entries` if given).
 
     Rows are dealt into ranges of (key, order); sums run within a range and start from what the key has in
     earlier ranges, so a key may have any number of rows.
     """
     ranged = dealt(rows, key, *order, part="_part")
     here = ranged.withColumn("_sum", F.sum(size).over(W.partitionBy("_part", key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    sums = ranged.groupBy(key, "_part").agg(F.sum(size).alias("_s"))
-    ahead = sums.withColumn("_ahead", F.sum("_s").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).drop("_s")
-    used = F.col("_sum") + F.col("_ahead")
-    return here.join(ahead, [key, "_part"]).withColumn("used", used).withColumn("accepted", F.col("used") <= limit).drop("_part", "_sum", "_ahead")
+    here = here.withColumn("_no", F.row_number().over(W.partitionBy("_part", key).orderBy(*order)))
+    sums = ranged.groupBy(key, "_part").agg(F.sum(size).alias("_s"), F.count("*").alias("_n"))
+    so_far = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)
+    ahead = sums.withColumns({"_ahead": F.sum("_s").over(so_far) - F.col("_s"), "_before": F.sum("_n").over(so_far) - F.col("_n")}).drop("_s", "_n")
+    fits = (F.col("used") <= limit) & (F.lit(True) if entries is None else F.col("_no") + F.col("_before") <= entries)
+    return here.join(ahead, [key, "_part"]).withColumn("used", F.col("_sum") + F.col("_ahead")).withColumn("accepted", fits).drop("_part", "_sum", "_ahead", "_no", "_before")
 
 
 def page_budget(pages: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
-    """(key, accepted, used, n): pages in order that fit what is left; a page that doesn't fit uses nothing.
+    """(key, accepted, used, n): pages in order that fit what is left; a page that doesn't fit uses nothing."""
+    got = page_budgets(pages, key, order, {size: limit})
+    return got.select(key, "accepted", F.col("used")[size].alias("used"), "n")
+
+
+def page_budgets(pages: DataFrame, key: str, order: str, limits: dict[str, int]) -> DataFrame:
+    """(key, accepted, used, n, pages): pages in order that fit what is left of every budget, such as words, characters, cells, recognised pages or pixels.
 
-    The budget isn't a running sum, so each document's sizes (2,000 pages at most) are folded in order.
+    A page that doesn't fit one of them uses nothing of any. The budget isn't a running sum, so each document's
+    sizes (2,000 pages at most) are folded in order. `used` is by budget, `pages` lists the accepted ones.
     """
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct(order, size))), lambda s: s[size].cast("long"))
-    fold = F.aggregate(
-        "sizes",
-        F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n")),
-        lambda a, x: F.when(a["used"] + x <= limit, F.struct((a["used"] + x).alias("used"), (a["n"] + 1).alias("n"))).otherwise(a),
-    )
-    return pages.groupBy(key).agg(sizes.alias("sizes")).select(key, fold["n"].alias("accepted"), fold["used"].alias("used"), F.size("sizes").cast("long").alias("n"))
+    names = list(limits)
+    rows = F.array_sort(F.collect_list(F.struct(order, *[F.col(n).cast("long").alias(n) for n in names])))
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in names], F.array().cast(f"array<{pages.schema[order].dataType.simpleString()}>").alias("_kept"))
+
+    def step(a, x):
+        fits = F.lit(True)
+        for n in names:
+            fits = fits & (a[n] + x[n] <= limits[n])
+        return F.when(fits, F.struct(*[(a[n] + x[n]).alias(n) for n in names], F.array_append(a["_kept"], x[order]).alias("_kept"))).otherwise(a)
+
+    done = pages.groupBy(key).agg(rows.alias("_rows")).select(key, F.size("_rows").cast("long").alias("n"), F.aggregate("_rows", zero, step).alias("_done"))
+    used = F.create_map(*[x for n in names for x in (F.lit(n), F.col("_done")[n])])
+    return done.select(key, F.size("_done._kept").cast("long").alias("accepted"), used.alias("used"), "n", F.col("_done._kept").alias("pages"))
 
 
 def corrections(requests: DataFrame, cells: DataFrame) -> DataFrame:

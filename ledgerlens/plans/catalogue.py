@@ -256,9 +256,7 @@ def full_row_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH a AS ({_ARITH}) SELECT count(*) AS extracted, count(DISTINCT row_id) AS checkable, count(DISTINCT CASE WHEN status IN ('passed', 'finding') THEN row_id END) AS checked, count(DISTINCT CASE WHEN status = 'needs_input' THEN row_id END) AS open FROM a""")
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = arith_rows(spark, sf_dir).select("row_id", "status")
-    ids = states.groupBy("row_id").agg(F.count("*").alias("n"), F.bool_or(F.col("status").isin("passed", "finding")).alias("c"), F.bool_or(F.col("status") == "needs_input").alias("o"))
-    return ids.agg(F.sum("n").alias("extracted"), F.count("*").alias("checkable"), F.count_if("c").alias("checked"), F.count_if("o").alias("open"))
+    return rollup.coverage(arith_rows(spark, sf_dir).select("row_id", "status"))
 
 
 @query("SELECT id, severity, ord FROM v_findings ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'material' THEN 1 ELSE 2 END, id, ord LIMIT 1000")
@@ -694,3 +692,39 @@ def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows_ = made.select(F.lit("c").alias("source_path"), (k % 9 + 1).cast("int").alias("page"), k.alias("table"), F.explode(F.array(*cells)).alias("x")).select("source_path", "page", "table", "x.*")
     got = canonical.page_table_rows(rows_)
     return got.select(F.regexp_extract(F.col("fields")["row_id"], "table:([0-9]+)", 1).cast("long").alias("k"), F.col("fields")["row_id"].alias("row_id"), F.col("fields")["name"].alias("name"), F.col("fields")["quantity"].alias("quantity"))
+
+
+_TOLD = "SELECT o_orderkey AS id, concat('check-', o_orderkey % 40) AS check_id, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS n FROM orders"
+
+
+@query(f"""
+WITH f AS ({_TOLD}), e AS (SELECT id, check_id, (id + i) % 90 AS s FROM f, (VALUES (0), (1)) v(i) WHERE i < n), b AS (SELECT DISTINCT id, check_id FROM e WHERE s % 4 = 0 OR s % 5 = 0),
+l AS (SELECT check_id, count(*) = count(b.id) AS lost FROM f LEFT JOIN b USING (id, check_id) GROUP BY check_id)
+SELECT check_id AS id, CASE WHEN lost THEN 'limited' ELSE 'finding' END AS status FROM l""")
+def source_downgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = select(spark, sf_dir, _TOLD)
+    name = lambda i: F.concat(F.lit("S"), (F.col("id") + i) % 90)
+    told = made.select("id", "check_id", F.when(F.col("n") == 2, F.array(name(0), name(1))).otherwise(F.array(name(0))).alias("source_ids"))
+    k = F.col("id")
+    sources = spark.range(90).select(F.concat(F.lit("S"), k).alias("source_id"), (k % 4 != 0).alias("current_verified"), F.when(k % 5 == 0, " ").otherwise("2026").alias("edition"), F.lit("p. 1").alias("pinpoint"), F.lit("https://example.org/x").alias("official_url"), F.lit("official").alias("class"))
+    checks = told.select(F.col("check_id").alias("id")).distinct().withColumn("status", F.lit("finding"))
+    return rollup.downgraded(checks, told, sources)
+
+
+@query("""
+SELECT row_id FROM (SELECT DISTINCT o_orderkey + 3 AS row_id FROM orders) a WHERE row_id NOT IN (SELECT o_orderkey FROM orders)""")
+def unknown_attestations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.unknown_rows(select(spark, sf_dir, "SELECT o_orderkey AS row_id FROM orders"), select(spark, sf_dir, "SELECT o_orderkey + 3 AS row_id FROM orders"))
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS size, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS asked, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS i FROM conversations),
+r(conv_id, i, size, asked, pages) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, '' FROM o
+  UNION ALL SELECT o.conv_id, o.i, r.size + CASE WHEN fits THEN o.size ELSE 0 END, r.asked + CASE WHEN fits THEN o.asked ELSE 0 END, r.pages || CASE WHEN fits THEN ',' || o.turn ELSE '' END
+  FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1, LATERAL (SELECT r.size + o.size <= 2500 AND r.asked + o.asked <= 2 AS fits) f)
+SELECT conv_id, arg_max(size, i) AS size, arg_max(asked, i) AS asked, ltrim(arg_max(pages, i), ',') AS pages FROM r GROUP BY conv_id""")
+def page_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = select(spark, sf_dir, "SELECT conv_id, turn, length(text) AS size, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS asked FROM conversations")
+    got = tables.page_budgets(pages, "conv_id", "turn", {"size": 2500, "asked": 2})
+    return got.select("conv_id", F.col("used")["size"].alias("size"), F.col("used")["asked"].alias("asked"), F.array_join("pages", ",").alias("pages"))

@@ -93,7 +93,7 @@ def expand(files: DataFrame, budget: int = UNPACKED) -> DataFrame:
     """Members of the ZIP files of files (path, content), to DEPTH levels; rows as SCHEMA.
 
     Archives deeper than that are kept and say so. Once the members of a root archive, in order of path, use
-    up the budget, the rest is rejected.
+    up the budget of bytes or the number of entries, the rest is rejected.
     """
     level = files.where(F.lower("path").endswith(".zip")).select("path", F.col("path").alias("root"), F.lit(0).alias("depth"), "content")
     found = []
@@ -102,10 +102,9 @@ def expand(files: DataFrame, budget: int = UNPACKED) -> DataFrame:
         found.append(got)
         level = got.where(F.lower("path").endswith(".zip") & F.col("code").isNull())
     out = reduce(DataFrame.unionByName, found)
-    # over all members of the tree: how many, their declared sizes, and what was unpacked
     deep = F.lower("path").endswith(".zip") & (F.col("depth") == DEPTH) & F.col("code").isNull()
     out = out.withColumns({"code": F.when(deep, "zip_nesting_limit").otherwise(F.col("code")), "status": F.when(deep, "not_inspected").otherwise(F.col("status"))})
-    spent = running_budget(out.drop("content"), "root", ["path"], "size_bytes", budget).select("path", F.col("accepted"))
+    spent = running_budget(out.drop("content"), "root", ["path"], "size_bytes", budget, ENTRIES).select("path", F.col("accepted"))
     over = ~F.col("accepted") & F.col("code").isNull()
     out = out.join(spent, "path")
     return out.withColumns({"code": F.when(over, "zip_global_limit_exceeded").otherwise(F.col("code")), "status": F.when(over, "rejected").otherwise(F.col("status")), "content": F.when(over, F.lit(None)).otherwise(F.col("content"))}).drop("accepted")
