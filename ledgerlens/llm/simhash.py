@@ -23,8 +23,8 @@ STAGE_WORDS, SIMILAR = 5, 0.8
 SAMPLED, FREQUENT = 16, 50_000
 #: Buckets of more fingerprints than this are linked through shared one-bit variants, not by pairs.
 PAIRED = 32
-#: Hashes of one document that are unpacked to bits at once.
-CHUNK = 1 << 15
+#: Hashes of one document that are unpacked to bits at once, and hashes of documents that a worker sends at once.
+CHUNK, SENT = 1 << 15, 1 << 19
 
 
 def _line(text: str | None) -> list[bytes]:
@@ -203,27 +203,26 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = saved(each.join(met, "run"))
     part = similar / (1 + similar)
 
-    @F.pandas_udf("binary")
-    def runs_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingles(t, words)).tobytes() for t in texts])
-
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both >= similar * (len(p) + len(q) - both) - 1e-9)
-        return pd.Series(out, dtype=bool)
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, size = [], 0
+            for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.append((c, np.unique(shingles(t, words)).view(np.int64)))
+                size += len(held[-1][1])
+                if size > SENT:
+                    yield pa.record_batch({"c": pa.array([c for c, _ in held], pa.int64()), "runs": pa.array([r for _, r in held], pa.list_(pa.int64()))})
+                    held, size = [], 0
+            yield pa.record_batch({"c": pa.array([c for c, _ in held], pa.int64()), "runs": pa.array([r for _, r in held], pa.list_(pa.int64()))})
 
     least_of = classes.select("c", "_th")
     once = rows.groupBy("_th").agg(F.first("_text").alias("_text"))  # copies meet before they are sent
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(least_of, "c")
-        sets = saved(once.join(wanted, "_th").select("c", runs_of("_text").alias("runs")))
+        sets = saved(once.join(wanted, "_th").select("c", "_text").mapInArrow(runs_of, "c long, runs array<bigint>"))
         left, right = sets.select(F.col("c").alias("a"), F.col("runs").alias("p")), sets.select(F.col("c").alias("b"), F.col("runs").alias("q"))
-        return saved(pairs.join(left, "a").join(right, "b").where(alike("p", "q")).select("a", "b"))
+        both = F.size(F.array_intersect("p", "q"))  # in the JVM: sets of long texts don't pile up in batches
+        return saved(pairs.join(left, "a").join(right, "b").where(both >= similar * (F.size("p") + F.size("q") - both) - 1e-9).select("a", "b"))
 
     # Two texts that share frequent runs alone have min(hot) runs in common at most. Where that is too few, only
     # other runs are counted, and any of the frequent first runs may be common beside them.
