@@ -13,13 +13,13 @@ from ledgerlens.operators.ranges import cut
 from ledgerlens.plans import context as told
 from ledgerlens.plans import contract
 from ledgerlens.plans.audit import audit, missing_passport
-from ledgerlens.sources import canonical, inventory, packages, workbooks, xml, xml_rules
+from ledgerlens.sources import canonical, inventory, packages, workbooks, xls, xml, xml_rules
 
 # The checks of a result without a passport, how many entries of each list are published, and the codes of what is not read.
 BLOCKED = ["INV-01", "HIER-01", "ARITH-01", "FORMULA-01", "DUP-01", "FIELD-01", "COMPONENT-01", "KAC-01", "VAT-01", "ANALYTICS-01", "ROUTE-PIR", "ROUTE-SURVEY", "ROUTE-OKN", "ROUTE-DEMOLITION", "ROUTE-CONTRACT", "FULL-ROW-01"]
 KEPT = {"findings": 1_000, "limitations": 999, "input_inventory": 2_000, "estimate_hierarchy": 2_000, "gaps": 500}
 ENTITIES = ["documents", "estimates", "rows", "resources", "accruals", "kacs", "totals", "formulas"]
-UNREAD = ("xls", "pdf", inventory.UNSUPPORTED)
+UNREAD = ("pdf", inventory.UNSUPPORTED)
 
 
 def question(missing: list[str]) -> dict:
@@ -48,9 +48,10 @@ def extract(spark: SparkSession, files: DataFrame, registry: DataFrame | None =
     inner = members.where("code IS NULL AND content IS NOT NULL").select("path", "size_bytes", F.sha2("content", 256).alias("sha256"), inventory.extension(F.col("path")).alias("extension"), inventory.reader(F.col("path")).alias("reader"), "content")
     every = files.unionByName(inner)
     books = every.where("reader = 'ooxml'").select("path", "content")
-    cells = cut(workbooks.read(books))
+    cells = cut(workbooks.read(books).unionByName(xls.read(every.where("reader = 'xls'").select("path", "content"))))
     parts = cut(workbooks.read_structure(books))
     refused = cells.where("kind = 'refused'").select("path", "code")
+    partial = cells.where("kind <> 'refused' AND code IS NOT NULL").select("path", "code").distinct()
     good = cells.where("kind <> 'refused'")
     tables = workbooks.declared_tables(parts)
     records = canonical.sheet_records(good, tables)
@@ -73,8 +74,8 @@ def extract(spark: SparkSession, files: DataFrame, registry: DataFrame | None =
     unknown = roots.join(known.select(F.col("source_path").alias("path")), "path", "left_anti").select("path", F.lit("xml_schema_unknown").alias("code"))
     unread = every.where(F.col("reader").isin(*UNREAD)).select("path", F.lit(inventory.UNSUPPORTED).alias("code"))
     outer = members.where("code IS NOT NULL").select("path", "code")
-    faults = refused.unionByName(broken).unionByName(unknown).unionByName(unread).unionByName(outer)
-    state = F.when(F.col("code").isNull(), "reliable").when(F.col("code").isin(inventory.UNSUPPORTED, "xml_schema_unknown"), "not_inspected").when(F.col("code").like("zip%") | F.col("code").like("%limit%") | F.col("code").like("%forbidden"), "rejected").otherwise("failed")
+    faults = refused.unionByName(partial).unionByName(broken).unionByName(unknown).unionByName(unread).unionByName(outer)
+    state = F.when(F.col("code").isNull(), "reliable").when(F.col("code").isin(inventory.UNSUPPORTED, "xml_schema_unknown"), "not_inspected").when(F.col("code").like("legacy%"), "partial").when(F.col("code").like("zip%") | F.col("code").like("%limit%") | F.col("code").like("%forbidden"), "rejected").otherwise("failed")
     items = every.select("path", "size_bytes", "sha256", "extension", inventory.media_type(F.col("extension")).alias("media_type")).join(faults.groupBy("path").agg(F.min("code").alias("code")), "path", "left").select("path", "size_bytes", "sha256", "extension", "media_type", state.alias("extraction_status"))
     notes = faults.select("code", F.col("path").alias("source_path"), F.col("path").alias("locator"))
     return items, records, notes, gaps

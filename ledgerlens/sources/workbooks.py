@@ -85,11 +85,16 @@ def _formats(z: zipfile.ZipFile) -> list[tuple[str, bool]]:
     for xf in root.findall(f"{MAIN}cellXfs/{MAIN}xf"):
         n = int(xf.get("numFmtId", 0))
         code = own.get(n, "General" if n == 0 else f"builtin:{n}")
-        plain = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code)
-        out.append((code, n in DATES or (n in own and bool(re.search(r"[ymdhs]", plain, re.IGNORECASE)) and "0" not in plain)))
+        out.append((code, n in DATES or (n in own and date_format(code))))
     return out
 
 
+def date_format(code: str) -> bool:
+    """Whether a number format of the workbook's own shows dates or times: letters of them beside quoted text, and no digits."""
+    plain = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code)
+    return bool(re.search(r"[ymdhs]", plain, re.IGNORECASE)) and "0" not in plain
+
+
 def moved(formula: str, rows: int, cols: int) -> str:
     """A shared formula as it reads in a cell that many rows and columns away; absolute parts stay."""
 

@@ -64,13 +64,14 @@ def test_inspection_of_a_folder(spark, tmp_path):
     (tmp_path / "in" / "sub" / "a.xlsx").write_bytes(workbook(rows))
     (tmp_path / "in" / "p.zip").write_bytes(packed(("inner/b.xlsx", workbook({1: HEAD, 2: [9, "zip", "m", 1, 7, ("D2*E2", 7)]})), ("d.xml", "<Construction><Name>n</Name></Construction>"), ("u.xml", "<other/>")))
     (tmp_path / "in" / "old.xls").write_bytes(b"old")
+    (tmp_path / "in" / "q.pdf").write_bytes(b"%PDF")
     (tmp_path / "in" / "empty.txt").write_bytes(b"")
     root = str(tmp_path / "in")
     registry = spark.createDataFrame([("minstroy.local_estimate_rim.3_01", "Construction", None, ["xml"])], "schema_id string, root string, namespace string, extensions array<string>")
     out = package.inspect(spark, root, "full", "check", CONTEXT, registry=registry)
     contract.validate(out)
     assert str(tmp_path) not in json.dumps(out)
-    assert {i["path"]: i["extraction_status"] for i in out["input_inventory"]} == {"sub/a.xlsx": "reliable", "p.zip": "reliable", "old.xls": "not_inspected", "empty.txt": "not_inspected", "p.zip!/inner/b.xlsx": "reliable", "p.zip!/d.xml": "reliable", "p.zip!/u.xml": "not_inspected"}
+    assert {i["path"]: i["extraction_status"] for i in out["input_inventory"]} == {"sub/a.xlsx": "reliable", "p.zip": "reliable", "old.xls": "failed", "empty.txt": "not_inspected", "q.pdf": "not_inspected", "p.zip!/inner/b.xlsx": "reliable", "p.zip!/d.xml": "reliable", "p.zip!/u.xml": "not_inspected"}
     checks = {c["id"]: c["status"] for c in out["checks"]}
     assert checks["ARITH-01"] == "finding" and checks["FORMULA-01"] == "finding" and checks["INV-01"] == "limited" and checks["FULL-ROW-01"] == "needs_input"
     assert [f["id"] for f in out["findings"] if f["id"].startswith("ARITH")] == ["ARITH-01:sub/a.xlsx:LSR:3"]
