@@ -76,6 +76,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*saved_ones: DataFrame) -> None:
+    """Deletes the checkpoints of frames from saved(). All that was derived from them must be saved or written already."""
+    for df in saved_ones:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            delete(df.sparkSession, file.get())
+
+
 def attach(big: DataFrame, small: DataFrame, key: str, copies: str, heavy: int = 100) -> DataFrame:
     """big left-joined to small, which has one row per key and, in `copies`, the number of rows in big of that key.
 
@@ -114,7 +128,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = saved(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        before, now = now, saved(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        forget(before)
     else:
         raise RuntimeError("components did not settle")
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

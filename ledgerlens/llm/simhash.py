@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import attach, components, free, saved, small_batches, table
+from ledgerlens.llm.common import attach, components, forget, free, saved, small_batches, table
 
 SEED = 42
 #: A stage's near copies share this part of the distinct runs of so many words.
@@ -201,6 +201,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rarity = (F.col("t.size") - F.col("t.hot")) / F.greatest(F.col("t.size"), F.lit(1))
     met = each.groupBy("run").agg(F.count("*").alias("n"), F.min_by("t", F.struct(rarity, F.col("t.c"))).alias("u")).where("n > 1").select("run", "u")
     shared = saved(each.join(met, "run"))
+    forget(each)
     part = similar / (1 + similar)
 
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,9 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sets = saved(once.join(wanted, "_th").select("c", "_text").mapInArrow(runs_of, "c long, runs array<bigint>"))
         left, right = sets.select(F.col("c").alias("a"), F.col("runs").alias("p")), sets.select(F.col("c").alias("b"), F.col("runs").alias("q"))
         both = F.size(F.array_intersect("p", "q"))  # in the JVM: sets of long texts don't pile up in batches
-        return saved(pairs.join(left, "a").join(right, "b").where(both >= similar * (F.size("p") + F.size("q") - both) - 1e-9).select("a", "b"))
+        out = saved(pairs.join(left, "a").join(right, "b").where(both >= similar * (F.size("p") + F.size("q") - both) - 1e-9).select("a", "b"))
+        forget(sets)
+        return out
 
     # Two texts that share frequent runs alone have min(hot) runs in common at most. Where that is too few, only
     # other runs are counted, and any of the frequent first runs may be common beside them.
@@ -254,6 +257,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     meet = outside.join(other, "run").where((F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("t.c") < F.col("u.c"))) & fits)
     links_ = found.unionByName(verified(possible(meet).join(tried, ["a", "b"], "left_anti")))
     joined = saved(components(links_).select(F.col("node").alias("c"), "root"))
+    forget(shared, apart, classes, patterns, tried)
     # texts that have a copy in no other class keep their own; the joined classes are few against the rows
     return own.select("_id", "_th", "c").join(joined, "c", "left").select("_id", "_th", F.coalesce("root", "c").alias("group"))
 
