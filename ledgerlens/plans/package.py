@@ -77,6 +77,7 @@ def extract(spark: SparkSession, files: DataFrame, registry: DataFrame | None =
     faults = refused.unionByName(partial).unionByName(broken).unionByName(unknown).unionByName(unread).unionByName(outer)
     state = F.when(F.col("code").isNull(), "reliable").when(F.col("code").isin(inventory.UNSUPPORTED, "xml_schema_unknown"), "not_inspected").when(F.col("code").like("legacy%"), "partial").when(F.col("code").like("zip%") | F.col("code").like("%limit%") | F.col("code").like("%forbidden"), "rejected").otherwise("failed")
     items = every.select("path", "size_bytes", "sha256", "extension", inventory.media_type(F.col("extension")).alias("media_type")).join(faults.groupBy("path").agg(F.min("code").alias("code")), "path", "left").select("path", "size_bytes", "sha256", "extension", "media_type", state.alias("extraction_status"))
+    items = items.join(canonical.details(cells, parts), "path", "left")
     notes = faults.select("code", F.col("path").alias("source_path"), F.col("path").alias("locator"))
     return items, records, notes, gaps
 

@@ -151,6 +151,22 @@ def unclassified(cells: DataFrame, rows: DataFrame) -> DataFrame:
     return left.select(F.col("path").alias("source_path"), "sheet", F.concat("sheet", F.lit("!used-range")).alias("locator"), F.lit("header_not_recognized").alias("reason"))
 
 
+def details(cells: DataFrame, parts: DataFrame) -> DataFrame:
+    """(path, details) of workbooks: scalars and counts of what they hold, none of their contents. parts as workbooks.read_structure gives them."""
+    said = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value"))).alias(kind)
+    many = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
+    held = parts.where("kind <> 'refused'").groupBy("path").agg(
+        many("sheet", "sheet_count"), F.count_if((F.col("kind") == "sheet") & (F.col("value") != "visible")).alias("hidden_sheet_count"), many("merged", "merged_range_count"), many("defined_name", "defined_name_count"), many("table", "table_count"),
+        said("calculation"), said("macros"), said("external_links"),
+    )
+    formula = F.col("formula").isNotNull()
+    counts = cells.where("kind <> 'refused'").groupBy("path").agg(F.count("*").alias("cell_count"), F.count_if(formula).alias("formula_count"), F.count_if(formula & F.col("value").isNull()).alias("missing_cached_formula_value_count"))
+    both = held.join(counts, "path", "full")
+    names = [c for c in both.columns if c != "path"]
+    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).cast("string").alias("v")) for n in names]), lambda e: e["v"].isNotNull())
+    return both.select("path", F.map_from_entries(pairs).alias("details"))
+
+
 def page_table_rows(cells: DataFrame) -> DataFrame:
     """Records of table rows on pages: cells (source_path, page, table, row, col, text, x0, top, x1, bottom), row 0 the headers.
 

@@ -72,6 +72,8 @@ def test_inspection_of_a_folder(spark, tmp_path):
     contract.validate(out)
     assert str(tmp_path) not in json.dumps(out)
     assert {i["path"]: i["extraction_status"] for i in out["input_inventory"]} == {"sub/a.xlsx": "reliable", "p.zip": "reliable", "old.xls": "failed", "empty.txt": "not_inspected", "q.pdf": "not_inspected", "p.zip!/inner/b.xlsx": "reliable", "p.zip!/d.xml": "reliable", "p.zip!/u.xml": "not_inspected"}
+    details = {i["path"]: i["details"] for i in out["input_inventory"]}
+    assert details["sub/a.xlsx"] == {"sheet_count": "1", "hidden_sheet_count": "0", "merged_range_count": "0", "defined_name_count": "0", "table_count": "0", "calculation": "auto", "macros": "false", "external_links": "false", "cell_count": "24", "formula_count": "2", "missing_cached_formula_value_count": "0"} and details["old.xls"] is None
     checks = {c["id"]: c["status"] for c in out["checks"]}
     assert checks["ARITH-01"] == "finding" and checks["FORMULA-01"] == "finding" and checks["INV-01"] == "limited" and checks["FULL-ROW-01"] == "needs_input"
     assert [f["id"] for f in out["findings"] if f["id"].startswith("ARITH")] == ["ARITH-01:sub/a.xlsx:LSR:3"]
