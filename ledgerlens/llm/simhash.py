@@ -93,7 +93,7 @@ def links(prints: DataFrame, distance: int = 2, blocks: int = 4, paired: int = P
     65 fingerprints, and the rows grow in proportion to the bucket.
     """
     if distance != 2:
-        paired = 1 << 62  # the exact way for large buckets holds for two bits
+        raise ValueError("the exact way for large buckets holds for two bits")
     chosen = masks(distance, blocks)
     rows = prints.select(
         "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(chosen)])).alias("x")
