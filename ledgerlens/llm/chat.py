@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import saved, table
+from ledgerlens.llm.common import forget, saved, table
 
 #: Schema rows (tool, field) up to which they are broadcast.
 BROADCAST_FIELDS = 10_000
@@ -16,36 +16,39 @@ def levels(calls: DataFrame) -> DataFrame:
     """(id, level) per distinct id of calls (id, after): the length of the longest chain of calls that must come before.
 
     `after` names a call that must be done first; several rows of an id name several, ids that no call has are
-    ignored. First each id with one such call is led to the nearest with none or several, by pointer doubling
-    (a chain of n calls takes log n joins). What remains, ids with several and what they come after, is
-    ordered in rounds: an id is placed once all before it are. Ids in a cycle, or after one, have a null level.
+    ignored. Each id follows one of those it comes after, and the lengths of these walks are found by pointer
+    doubling (a chain of n calls takes log n joins). Where another of them has a longer walk, the id follows that one
+    instead, until nothing changes; a walk that doesn't end counts as the longest. Ids in a cycle, or after one,
+    have a null level.
     """
     named = calls.where("id IS NOT NULL")
     own = saved(named.select("id").distinct())
     edges = saved(named.where("after IS NOT NULL").select("id", "after").distinct().join(own.select(F.col("id").alias("after")), "after").select("id", "after"))
-    per = edges.groupBy("id").agg(F.count("*").alias("n"), F.min("after").alias("after"))
-    now = own.join(per, "id", "left").select("id", F.when(F.col("n") == 1, F.col("after")).alias("jump"), F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("steps"), F.coalesce("n", F.lit(0)).alias("n"))
-    now = saved(now.select("id", F.col("id").alias("at"), "jump", "steps", "n"))
-    for _ in range(max(1, now.count()).bit_length() + 1):  # at: where the walk stands, jump: where it goes on
+    follows = saved(edges.groupBy("id").agg(F.max("after").alias("jump")))
+    while True:
+        found = _walks(own, follows)
+        rank = F.struct(F.col("level").isNull().alias("endless"), F.coalesce("level", F.lit(0).cast("long")).alias("level"))
+        ahead = edges.join(found.select(F.col("id").alias("after"), rank.alias("r")), "after").groupBy("id").agg(F.max_by("after", F.struct("r", "after")).alias("jump"), F.max("r").alias("r"))
+        better = ahead.join(found, "id").where("level IS NOT NULL AND (r.endless OR r.level + 1 > level)").select("id", "jump")
+        better = saved(better)
+        if better.isEmpty():
+            return found
+        old, follows = follows, saved(follows.join(better, "id", "left_anti").unionByName(better))
+        forget(old, better, found)
+
+
+def _walks(own: DataFrame, follows: DataFrame) -> DataFrame:
+    """(id, level) of each id of own: how many steps follows (id, jump) leads on from it, null if without an end."""
+    steps = F.when(F.col("jump").isNull(), 0).otherwise(1).cast("long")
+    now = saved(own.join(follows, "id", "left").select("id", "jump", steps.alias("level")))
+    for _ in range(max(1, now.count()).bit_length() + 1):
         if now.where("jump IS NOT NULL").isEmpty():
             break
-        ahead = now.select(F.col("id").alias("jump"), F.col("at").alias("at2"), F.col("jump").alias("next"), F.col("steps").alias("more"))
-        rest = now.where("jump IS NOT NULL").join(ahead, "jump").select("id", F.when(F.col("next").isNull(), F.col("at2")).otherwise(F.col("next")).alias("at"), F.col("next").alias("jump"), (F.col("steps") + F.col("more")).alias("steps"), "n")
-        now = saved(now.where("jump IS NULL").unionByName(rest))
-    ends = saved(now.where("jump IS NULL").select("id", "at", "steps", "n"))  # without those that walk in a circle
-    several = ends.where("n > 1").select("id")
-    wait = edges.join(several, "id").join(ends.select(F.col("id").alias("after"), "at", "steps"), "after", "left").select("id", "at", (F.col("steps") + 1).alias("steps"))
-    wait = saved(wait)
-    placed = saved(ends.where("n = 0").select("id", F.lit(0).cast("long").alias("level")))
-    while not wait.isEmpty():
-        due = wait.join(placed.select(F.col("id").alias("at"), "level"), "at", "left")
-        new = due.groupBy("id").agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
-        new = saved(new.where("open = 0").select("id", "level"))
-        if new.isEmpty():
-            break
-        placed, wait = saved(placed.unionByName(new)), saved(wait.join(new, "id", "left_anti"))
-    found = ends.join(placed.select(F.col("id").alias("at"), "level"), "at").select("id", (F.col("level") + F.col("steps")).alias("level"))
-    return own.join(found, "id", "left")
+        ahead = now.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("level").alias("more"))
+        rest = now.where("jump IS NOT NULL").join(ahead, "jump").select("id", F.col("next").alias("jump"), (F.col("level") + F.col("more")).alias("level"))
+        old, now = now, saved(now.where("jump IS NULL").unionByName(rest))
+        forget(old)
+    return saved(now.select("id", F.when(F.col("jump").isNull(), F.col("level")).alias("level")))
 
 
 def _kind(fields: Column, name: Column) -> Column:
