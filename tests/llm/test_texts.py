@@ -2,7 +2,7 @@ import hashlib
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -390,3 +390,41 @@ def test_chains_by_fenwick_tree():
         assert (np.diff(px) > 0).all() and (np.diff(py) > 0).all()
         score = passages.K * len(chain) - 0.05 * (px[-1] - px[0] + py[-1] - py[0])
         assert abs(score - max(best.values())) < 1e-6
+
+
+def test_passages_that_consist_of_frequent_spans(spark):
+    """Runs of 50 words whose every part of 49 is in many texts: the two that share the whole run are found, exactly, and no other."""
+    rnd = random.Random(12)
+    own = lambda n: [f"o{rnd.randrange(10**9)}" for _ in range(n)]
+    texts, pairs = {}, []
+    for g in range(10):
+        run = own(50)
+        for k in range(14):
+            texts[100 * g + k] = own(30) + (run[:49] if k % 2 else run[1:]) + own(30)
+        texts[100 * g + 50], texts[100 * g + 51] = own(25) + run + own(40), own(60) + run + own(20) + run + own(9)
+        pairs.append((100 * g + 50, 100 * g + 51))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in passages.classes(df).collect()}
+    linked = {d for d, r in got.items() if r.n_links}
+    assert linked == {d for p in pairs for d in p}
+    for a, b in pairs:
+        assert got[a].class_id == got[b].class_id == a and (got[a].passages, got[b].passages) == ("25-75", "60-110,130-180")
+
+
+def test_all_runs_of_frequent_lines(spark):
+    """No text that shares 50 words in a row with another is missed, whatever lines it consists of and repeats."""
+    rnd = random.Random(5)
+    lines = [[f"v{rnd.randrange(4000)}" for _ in range(rnd.choice([9, 14, 22]))] for _ in range(14)]
+    texts = {i: [w for _ in range(rnd.randint(3, 8)) for w in rnd.choice(lines)] + [f"o{i}-{k}" for k in range(5)] for i in range(400)}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in passages.classes(df).collect()}
+    spoken = {d: re.findall(r"[0-9a-z]+", " ".join(w)) for d, w in texts.items()}
+    want = brute_classes(spoken)
+    assert all(got[d].class_id == got[c].class_id for d, c in want.items())
+    holders = defaultdict(set)
+    for d, w in spoken.items():
+        for i in range(len(w) - 49):
+            holders[tuple(w[i : i + 50])].add(d)
+    for d, w in spoken.items():
+        covered = {k for p in got[d].passages.split(",") if p for k in range(*map(int, p.split("-")))}
+        assert all(set(range(i, i + 50)) <= covered for i in range(len(w) - 49) if len(holders[tuple(w[i : i + 50])]) > 1), d
