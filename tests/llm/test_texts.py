@@ -428,3 +428,91 @@ def test_all_runs_of_frequent_lines(spark):
     for d, w in spoken.items():
         covered = {k for p in got[d].passages.split(",") if p for k in range(*map(int, p.split("-")))}
         assert all(set(range(i, i + 50)) <= covered for i in range(len(w) - 49) if len(holders[tuple(w[i : i + 50])]) > 1), d
+
+
+def plain_align(a, b, x, y):
+    """Passages along a chain column by column, every part of it looked at."""
+    lead, k = int(min(x[0], y[0])), passages.K
+    cols = [(1, 1, bool(a[x[0] - n] == b[y[0] - n])) for n in range(lead, 0, -1)]
+    for i, j, p, q in zip(x[:-1].tolist(), y[:-1].tolist(), x[1:].tolist(), y[1:].tolist(), strict=True):
+        keep = min(k, p - i, q - j) if p - i != q - j else p - i
+        cols += [(1, 1, bool(a[i + n] == b[j + n])) for n in range(keep)] + passages._between(a[i + keep : p], b[j + keep : q])
+    cols += [(1, 1, bool(u == v)) for u, v in zip(a[x[-1] :].tolist(), b[y[-1] :].tolist(), strict=False)]
+    at = [np.cumsum([int(x[0]) - lead] + [c[0] for c in cols]), np.cumsum([int(y[0]) - lead] + [c[1] for c in cols])]
+    same, out, todo = np.array([c[2] for c in cols]), [], [(0, len(cols), 0)]
+    while todo:
+        lo, hi, level = todo.pop()
+        if same[lo:hi].sum() < 40:
+            continue
+        total = np.concatenate([[0], np.cumsum(np.where(same[lo:hi], 1, -(4, 12, 40, 10**6)[level]))])
+        end = int((total - np.minimum.accumulate(total)).argmax())
+        s, e = lo + int(np.flatnonzero(total[: end + 1] == total[: end + 1].min())[-1]), lo + end
+        if e <= s:
+            continue
+        todo += [(lo, s, level), (e, hi, level)]
+        na, nb = (int(z[e] - z[s]) for z in at)
+        if min(na, nb) < 50:
+            continue
+        shared = sum(bool(same[n : n + k].all()) for n in range(s, e - k + 1))
+        similar = shared / (na - k + 1 + nb - k + 1 - shared)
+        if similar >= 0.8:
+            out.append((int(at[0][s]), int(at[0][e]), int(at[1][s]), int(at[1][e]), round(similar, 6)))
+        elif level < 3:
+            todo.append((s, e, level + 1))
+    return sorted(out)
+
+
+def test_alignment_skips_no_passage():
+    """What is passed over has no passage, at the least similarity and length, too."""
+    rnd = random.Random(9)
+    found = Counter()
+    for n in range(600):
+        a = [rnd.randrange(10**6) for _ in range(rnd.randint(50, 260))]
+        if n % 3 == 0:  # lines that repeat
+            a = (a[: rnd.randint(5, 40)] * 50)[: len(a)]
+        b = list(a)
+        for at in sorted(rnd.sample(range(len(a)), rnd.choice([0, 1, 2, 3, 6, 12])), reverse=True):
+            b[at : at + 1] = [[-1], [], [-1, -2, b[at]], [-1]][rnd.randrange(4) if n % 2 else 0]
+        a, b = [rnd.randrange(10**6) for _ in range(rnd.randint(0, 9))] + a, [rnd.randrange(10**6) for _ in range(rnd.randint(0, 9))] + b
+        places = defaultdict(list)
+        for j in range(len(b) - 4):
+            places[tuple(b[j : j + 5])].append(j)
+        met = [(i, j) for i in range(0, len(a) - 4, 4) for j in places[tuple(a[i : i + 5])][:6]]
+        if not met:
+            continue
+        p, q, x, y = np.array(a, "<i8"), np.array(b, "<i8"), np.array([i for i, _ in met]), np.array([j for _, j in met])
+        for c in passages.chains(x, y)[:4]:
+            got = passages.align(p, q, x[c], y[c])
+            assert got == plain_align(p, q, x[c], y[c])
+            found[len(np.unique(x[c] - y[c])) == 1, bool(got)] += 1
+    assert min(found[s, g] for s in (True, False) for g in (True, False)) > 20
+
+
+def test_least_of_every_window():
+    rnd = np.random.default_rng(4)
+    for n, w in ((16, 16), (17, 16), (300, 16), (90, 7), (5, 1), (40, 13)):
+        h = rnd.integers(0, 12, n).astype(np.uint64)
+        want = np.unique(np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(n - w + 1))
+        assert passages._least(h, w).tolist() == want.tolist()
+
+
+def test_chains_on_one_diagonal_are_aligned_once(monkeypatch):
+    """Two texts that repeat a line have a chain for each pair of its places; all on one diagonal have the same passages."""
+
+    class Cut:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    count, align = [0], passages.align
+    monkeypatch.setattr(passages, "align", lambda *args: (count.__setitem__(0, count[0] + 1), align(*args))[1])
+    words = np.array([*range(30)] * 20 + [99], "<u4")
+    rows = []
+    for shift in (0, 30):
+        for i in range(150):
+            x, y = np.array([3 * i + shift, 3 * i + shift + 20], "<i4"), np.array([3 * i, 3 * i + 20], "<i4")
+            rows.append({"a": 1, "b": 2, "i": len(rows), "xs": x.tobytes(), "ys": y.tobytes(), "wa": words.tobytes(), "oa": 0, "na": len(words), "wb": words[:-1].tobytes(), "ob": 0, "nb": len(words) - 1})
+    schema = pa.schema([(n, pa.binary() if n in ("xs", "ys", "wa", "wb") else pa.int64() if n in "ab" else pa.int32()) for n in rows[0]])
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 64], schema) for i in range(0, 300, 64)]
+    got = [r for b in passages._aligned(Cut())(iter(batches)) for r in b.to_pylist()]
+    assert [(r["i"], r["a_from"], r["a_to"], r["b_from"], r["b_to"], r["similarity"], r["open"]) for r in got] == [(i, 0, 600, 0, 600, 1.0, False) if i < 150 else (i, 30, 600, 0, 570, 1.0, False) for i in range(300)]
+    assert count[0] == 2
