@@ -37,6 +37,13 @@ def test_base_spans_against_brute_force(spark, tmp_path):
     assert got == want
 
 
+def test_counts_of_each_kind(spark, tmp_path):
+    texts = ["a@b.co 10.0.0.1 c@d.ef", "10.0.0.1 a@b.co 10.0.0.2 +1 555 010 9999", "4111 1111 1111 1111", "none", None, "+15550109999 +1 (555) 010-9998 a@b.co"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.query(spark, str(tmp_path)).collect()}
+    assert got == {i: tuple(brute_spans(t).count(f"{k}:") for k in pii.KINDS) for i, t in enumerate(texts)}
+
+
 def test_contexts_discover_unseen_identifiers(spark):
     rows = [(i, f"some words before tel no {1000000 + i} please and more words") for i in range(6)]
     seeds = [(100 + i, f"some words before card number 4{i}42 4242 please hold the line") for i in range(2)]
