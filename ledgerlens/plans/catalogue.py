@@ -458,10 +458,10 @@ _XML = """SELECT o_orderkey, concat('<Order id="', o_orderkey, '"><Date>', date_
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate, o_orderstatus"""
 
 
-def _xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _xml(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
     from ledgerlens.sources import xml
 
-    return xml.values(select(spark, sf_dir, _XML).select(F.col("o_orderkey").cast("string").alias("path"), "content"))
+    return xml.values(select(spark, sf_dir, _XML).select(F.col("o_orderkey").cast("string").alias("path"), "content"), kinds)
 
 
 @query("""
@@ -471,7 +471,7 @@ UNION ALL SELECT '/Order/Items/Item/@num', 'integer', sum(n)::BIGINT FROM k UNIO
 def xml_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.sources import xml
 
-    found = _xml(spark, sf_dir).where("kind <> 'element'")
+    found = _xml(spark, sf_dir, ("text", "attribute"))
     return found.groupBy(coords.plain_xpath(F.col("xpath")).alias("xpath"), xml.typed(F.col("local_name"), F.col("raw_value")).alias("type")).agg(F.count("*").alias("n"))
 
 
@@ -481,7 +481,7 @@ def xml_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.sources import xml
 
     rules = spark.createDataFrame([("item", "order.v1", "/Order/Items/Item"), ("order", "order.v1", "/[A-Za-z]+"), ("other", "order.v2", ".*")], "rule string, schema_id string, pattern string")
-    return xml.anchors(_xml(spark, sf_dir).withColumn("schema_id", F.lit("order.v1")), rules).groupBy("rule").agg(F.count("*").alias("n"))
+    return xml.anchors(_xml(spark, sf_dir, ("element",)).withColumn("schema_id", F.lit("order.v1")), rules).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -490,7 +490,7 @@ UNION ALL SELECT l_orderkey::VARCHAR, 'unit_price', sum(l_extendedprice::DECIMAL
 def xml_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.sources import xml
 
-    found = _xml(spark, sf_dir).withColumn("schema_id", F.lit("order.v1"))
+    found = _xml(spark, sf_dir, ("text", "attribute")).withColumn("schema_id", F.lit("order.v1"))
     rules = spark.createDataFrame([("item", "order.v1", "/Order/Items/Item")], "rule string, schema_id string, pattern string")
     mapping = spark.createDataFrame([("item", "Qty", "quantity", 1, "first"), ("item", "Amount", "quantity", 2, "first"), ("item", "Price", "unit_price", 1, "unique")], "rule string, local_name string, field string, ordinal int, mode string")
     got = xml.mapped(xml.owned_fields(found, rules), mapping)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from functools import reduce
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.coords import plain_xpath
 
 MAX_BYTES, MAX_DEPTH, MAX_NODES, MAX_TEXT = 20 << 20, 128, 200_000, 2_000_000
+KINDS = ("element", "text", "attribute")
 SCHEMA = "source_path string, kind string, xpath string, owner string, local_name string, line int, raw_value string, code string"
 _FORBIDDEN = re.compile(rb"<!\s*(DOCTYPE|ENTITY)", re.IGNORECASE)
 
@@ -22,18 +24,11 @@ class Refused(ValueError):
     """The document isn't read; the message is a code."""
 
 
-class _Node:
-    __slots__ = ("tag", "line", "attributes", "text", "children", "path")
+def parse(content: bytes, kinds: Collection[str] = KINDS) -> list[tuple]:
+    """Elements, leaf texts and attributes as (kind, xpath, owner, local_name, line, raw_value), those of `kinds`, in the document's order.
 
-    def __init__(self, tag: str, line: int, attributes: list[tuple[str, str]]):
-        self.tag, self.line, self.attributes = tag, line, attributes
-        self.text, self.children, self.path = [], [], ""
-
-
-def parse(content: bytes) -> list[dict]:
-    """Leaves and attributes, each with its XPath; a position only where a tag repeats among siblings.
-
-    Document types and entities are refused before parsing, and limits hold while parsing.
+    An XPath has a position only where a tag repeats among siblings. Document types and entities are refused
+    before parsing, and limits hold while parsing.
     """
     if len(content) > MAX_BYTES:
         raise Refused("xml_limit_exceeded")
@@ -41,23 +36,25 @@ def parse(content: bytes) -> list[dict]:
         raise Refused("xml_dtd_forbidden")
     parser = expat.ParserCreate()
     parser.buffer_text, parser.ordered_attributes = True, True
-    stack: list[_Node] = []
-    root: list[_Node] = []
-    count = Counter()
+    stack: list[list] = []
+    root: list[list] = []
+    nodes = length = 0
 
     def start(tag: str, attributes: list[str]) -> None:
-        count["nodes"] += 1
-        if count["nodes"] > MAX_NODES or len(stack) >= MAX_DEPTH:
+        nonlocal nodes
+        nodes += 1
+        if nodes > MAX_NODES or len(stack) >= MAX_DEPTH:
             raise Refused("xml_limit_exceeded")
-        node = _Node(tag, parser.CurrentLineNumber, list(zip(attributes[::2], attributes[1::2], strict=True)))
-        (stack[-1].children if stack else root).append(node)
+        node = [tag, parser.CurrentLineNumber, attributes, [], []]  # the last two are texts and children
+        (stack[-1][4] if stack else root).append(node)
         stack.append(node)
 
     def text(data: str) -> None:
-        count["text"] += len(data)
-        if count["text"] > MAX_TEXT:
+        nonlocal length
+        length += len(data)
+        if length > MAX_TEXT:
             raise Refused("xml_limit_exceeded")
-        stack[-1].text.append(data)
+        stack[-1][3].append(data)
 
     parser.StartElementHandler, parser.CharacterDataHandler = start, text
     parser.EndElementHandler = lambda tag: stack.pop()
@@ -65,44 +62,134 @@ def parse(content: bytes) -> list[dict]:
         parser.Parse(content, True)
     except expat.ExpatError as error:
         raise Refused("xml_parse_error") from error
-    out: list[dict] = []
-    todo = [root[0]]
-    root[0].path = f"/{root[0].tag}"
+    elements, texts, attributed = (k in kinds for k in ("element", "text", "attribute"))
+    out: list[tuple] = []
+    todo = [(root[0], f"/{root[0][0]}", "")]
     while todo:
-        node = todo.pop()
-        for name, value in node.attributes:
-            if name != "xmlns" and not name.startswith("xmlns:"):
-                out.append({"kind": "attribute", "xpath": f"{node.path}/@{name}", "owner": node.path, "local_name": name.rpartition(":")[2], "line": node.line, "raw_value": value})
-        value = "".join(node.text).strip()
-        if not node.children and value:
-            out.append({"kind": "text", "xpath": node.path, "owner": node.path.rpartition("/")[0], "local_name": node.tag.rpartition(":")[2], "line": node.line, "raw_value": value})
-        out.append({"kind": "element", "xpath": node.path, "owner": node.path.rpartition("/")[0], "local_name": node.tag.rpartition(":")[2], "line": node.line, "raw_value": None})
-        same = Counter(c.tag for c in node.children)
-        seen: Counter = Counter()
-        for c in node.children:
-            seen[c.tag] += 1
-            c.path = f"{node.path}/{c.tag}" + (f"[{seen[c.tag]}]" if same[c.tag] > 1 else "")
-        todo += reversed(node.children)
+        (tag, line, attributes, said, children), path, owner = todo.pop()
+        if attributes and attributed:
+            for name, value in zip(attributes[::2], attributes[1::2], strict=True):
+                if name != "xmlns" and not name.startswith("xmlns:"):
+                    out.append(("attribute", f"{path}/@{name}", path, name.rpartition(":")[2], line, value))
+        local = tag.rpartition(":")[2]
+        if texts and said and not children and (value := "".join(said).strip()):
+            out.append(("text", path, owner, local, line, value))
+        if elements:
+            out.append(("element", path, owner, local, line, None))
+        if children:
+            same = Counter([c[0] for c in children])
+            if len(same) == len(children):
+                todo += [(c, f"{path}/{c[0]}", path) for c in reversed(children)]
+            else:
+                seen = dict.fromkeys(same, 0)
+                placed = []
+                for c in children:
+                    seen[c[0]] += 1
+                    placed.append((c, f"{path}/{c[0]}[{seen[c[0]]}]" if same[c[0]] > 1 else f"{path}/{c[0]}", path))
+                todo += reversed(placed)
     return out
 
 
-def values(files: DataFrame) -> DataFrame:
-    """Rows as SCHEMA for each element, leaf text and attribute of files (path, content); refused files give one row with a code."""
-    kind = pa.schema([("source_path", pa.string()), ("kind", pa.string()), ("xpath", pa.string()), ("owner", pa.string()), ("local_name", pa.string()), ("line", pa.int32()), ("raw_value", pa.string()), ("code", pa.string())])
+# Values that may stand for one another: whole text up to the next tag, and attributes in double quotes, without references, line ends and other control characters.
+_VALUE = re.compile("((?<=>)[^<&>\x00-\x1f\ufffe-\U0010ffff]+(?=<)|(?<==\")[^\"<&\x00-\x1f\ufffe-\U0010ffff]*(?=\"))")
+_PROLOG = re.compile(r"""\ufeff?<\?xml version="1\.0"(?: encoding="(?:UTF-8|utf-8)")?(?: standalone="(?:yes|no)")?\s*\?>""")
+_MARK = "\ue000"
+#: Layouts a worker keeps.
+LAYOUTS = 2048
+
+
+def _layout(head: str, parts: list[str], kinds: Collection[str]) -> tuple | None:
+    """What parse gives for any document that differs in its values only: its columns, and for each row the value's place in parts.
+
+    None if that can't be said: the layout has comments, sections, instructions or single quotes, a value is only part of a text, or
+    there is an error. The layout is parsed with marks in the places of its values, so its tags are checked by the parser.
+    """
+    fixed = "".join(parts[::2])
+    if (head and not _PROLOG.fullmatch(head)) or any(c in fixed for c in ("<!", "<?", "'", "\x00", _MARK)):
+        return None
+    marked = [f"{_MARK}{i}{_MARK}" if i % 2 else part for i, part in enumerate(parts)]
+    try:
+        rows = parse((head + "".join(marked)).encode(), kinds)
+    except Refused:
+        return None
+    places, texts = [], []
+    for n, row in enumerate(rows):
+        m = re.fullmatch(f"{_MARK}([0-9]+){_MARK}", row[5] or "")
+        if m is None and row[5] is not None:
+            return None
+        places.append(int(m[1]) if m else -1)
+        if m and row[0] == "text":
+            texts.append(n)
+    return ([list(c) for c in zip(*rows, strict=True)][:5] or [[]] * 5), places, texts
+
+
+class Reader:
+    """Columns of many documents; those of a layout met before take its paths and names from there."""
+
+    def __init__(self, kinds: Collection[str] = KINDS):
+        self.kinds, self.layouts = kinds, {}
+
+    def columns(self, content: bytes) -> tuple[list[list], list]:
+        """(kind, xpath, owner, local_name, line) and raw_value, as parse has them."""
+        if len(content) <= MAX_TEXT:
+            try:
+                text = content.decode()
+            except UnicodeDecodeError:
+                text = ""
+            at = text.find("?>") + 2 if text[:6].removeprefix("\ufeff").startswith("<?xml") else 0
+            head, parts = text[:at], _VALUE.split(text[at:])
+            key = (head, *parts[::2])
+            if key in self.layouts:
+                known = self.layouts[key]
+            else:
+                known = _layout(head, parts, self.kinds)
+                if len(self.layouts) < LAYOUTS:
+                    self.layouts[key] = known
+            if known:
+                fixed, places, texts = known
+                parts.append(None)  # at -1, for rows without a value
+                values = [parts[i] for i in places]
+                for n in texts:
+                    values[n] = values[n].strip()
+                if all(values[n] for n in texts):
+                    return fixed, values
+        rows = [list(c) for c in zip(*parse(content, self.kinds), strict=True)] or [[]] * 6
+        return rows[:5], rows[5]
+
+
+def values(files: DataFrame, kinds: Collection[str] = KINDS) -> DataFrame:
+    """Rows as SCHEMA for each element, leaf text and attribute of files (path, content), those of `kinds`; refused files give one row with a code."""
+    columns = [("kind", pa.string()), ("xpath", pa.string()), ("owner", pa.string()), ("local_name", pa.string()), ("line", pa.int32()), ("raw_value", pa.string())]
+    kind = pa.schema([("source_path", pa.string()), *columns, ("code", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
+        reader = Reader(kinds)
+        paths: list[str | None] = []
+        rows: list[list] = [[] for _ in columns]
+        refused: list[dict] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            if paths:
+                made = [pa.array(c, k) for c, (_, k) in zip(rows, columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *made, pa.nulls(len(paths), pa.string())], schema=kind)
+            if refused:
+                yield pa.RecordBatch.from_pylist(refused, kind)
+            for held in (paths, refused, *rows):
+                held.clear()
+
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [{"source_path": path, **r} for r in parse(content or b"")]
+                    fixed, found = reader.columns(content or b"")
                 except Refused as error:
-                    rows.append({"source_path": path, "kind": "error", "code": str(error)})
-                if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_pylist(rows, kind)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, kind)
+                    refused.append({"source_path": path, "kind": "error", "code": str(error)})
+                else:
+                    for held, more in zip(rows, (*fixed, found), strict=True):
+                        held += more
+                    paths += [path] * len(found)
+                if len(paths) + len(refused) >= 8192:
+                    yield from packed()
+        yield from packed()
 
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, SCHEMA)
 
@@ -110,7 +197,8 @@ def values(files: DataFrame) -> DataFrame:
 def typed(local_name: Column, raw: Column) -> Column:
     """date, datetime, integer, decimal or text, from the lexical form; names of identifiers stay text."""
     identifier = F.lower(local_name).rlike("id|code|version|guid|uuid|cipher")
-    number = raw.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$") & (F.length(F.regexp_replace(F.regexp_replace(raw, "[^0-9]", ""), "^0+", "")) <= 15)
+    few = (F.length(raw) <= 15) | (F.length(F.regexp_replace(F.regexp_replace(raw, "[^0-9]", ""), "^0+", "")) <= 15)
+    number = raw.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$") & few
     date = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & raw.try_cast("date").isNotNull()
     moment = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T") & raw.try_cast("timestamp").isNotNull()
     return F.when(date, "date").when(moment, "datetime").when(identifier | ~number, "text").when(raw.contains("."), "decimal").otherwise("integer")
@@ -124,13 +212,31 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rows
 
 
+#: Rules up to which patterns are compiled once; a pattern that comes with a row is compiled for each.
+LITERAL_RULES = 256
+
+
+def _fitting(found: DataFrame, path: Column, rules: DataFrame) -> DataFrame:
+    """found once for each rule of its schema whose pattern fits path without positions, with the rule's other columns."""
+    found = found.withColumn("plain", plain_xpath(path))
+    few = rules.limit(LITERAL_RULES + 1).collect()
+    if not 0 < len(few) <= LITERAL_RULES or not all(r["schema_id"] and r["pattern"] for r in few):
+        return found.join(_small(rules), "schema_id").where(F.expr("plain rlike concat('^(?:', pattern, ')$')")).drop("plain", "pattern")
+    others = [f for f in rules.schema if f.name not in ("schema_id", "pattern")]
+    by_schema: dict[str, list[Column]] = {}
+    for r in few:
+        made = F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in others])
+        by_schema.setdefault(r["schema_id"], []).append(F.when(F.col("plain").rlike(f"^(?:{r['pattern']})$"), made))
+    fit = reduce(lambda rest, kv: F.when(F.col("schema_id") == kv[0], F.array(*kv[1])).otherwise(rest), by_schema.items(), F.lit(None))
+    return found.select("*", F.explode(F.array_compact(fit)).alias("plain_fit")).select(*found.drop("plain").columns, *[F.col("plain_fit")[f.name].alias(f.name) for f in others])
+
+
 def anchors(found: DataFrame, rules: DataFrame) -> DataFrame:
     """Elements of found that a rule matches: rules (rule, schema_id, pattern) on found (schema_id, xpath, ...).
 
-    The schema is joined by equality; the pattern, on the path without positions, is what remains.
+    The schema must be equal, and the path without positions fit the pattern.
     """
-    own = found.where("kind = 'element'").withColumn("plain", plain_xpath(F.col("xpath")))
-    return own.join(_small(rules), "schema_id").where(F.expr("plain rlike concat('^(?:', pattern, ')$')")).drop("plain", "pattern")
+    return _fitting(found.where("kind = 'element'"), F.col("xpath"), rules)
 
 
 def direct_fields(anchored: DataFrame, found: DataFrame) -> DataFrame:
@@ -141,8 +247,7 @@ def direct_fields(anchored: DataFrame, found: DataFrame) -> DataFrame:
 
 def owned_fields(found: DataFrame, rules: DataFrame) -> DataFrame:
     """What direct_fields gives for the anchors of the rules, in one pass: a value's owner is an anchor if its path fits a rule."""
-    leaves = found.where("kind <> 'element' AND code IS NULL").withColumn("plain", plain_xpath(F.col("owner")))
-    fit = leaves.join(_small(rules), "schema_id").where(F.expr("plain rlike concat('^(?:', pattern, ')$')"))
+    fit = _fitting(found.where("kind <> 'element' AND code IS NULL"), F.col("owner"), rules)
     return fit.select("source_path", F.col("owner").alias("anchor"), "rule", "kind", "local_name", F.col("xpath").alias("value_xpath"), "raw_value")
 
 
@@ -152,6 +257,7 @@ def mapped(fields: DataFrame, mapping: DataFrame) -> DataFrame:
     mapping (rule, local_name, field, ordinal, mode) has a few dozen rows.
     """
     joined = fields.join(_small(mapping), ["rule", "local_name"]).where("raw_value IS NOT NULL AND trim(raw_value) <> ''")
+    joined = joined.repartition("source_path")  # groups hold a value or two, so counting them ahead of the shuffle saves nothing
     per = joined.groupBy("source_path", "anchor", "field").agg(F.min_by("raw_value", "ordinal").alias("value"), F.count("*").alias("n"), F.max("mode").alias("mode"))
     return per.where("mode = 'first' OR n = 1").select("source_path", "anchor", "field", "value")
 

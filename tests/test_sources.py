@@ -85,3 +85,28 @@ def test_inventory_and_intake(spark, tmp_path):
         inventory_stream(spark, str(root), f"{tmp_path}/table", f"{tmp_path}/seen").awaitTermination(120)
         assert spark.read.parquet(f"{tmp_path}/table").count() == expected
         (root / f"c{expected}.xml").write_bytes(b"<a/>")
+
+
+def test_xml_layout_is_parsed_once(monkeypatch):
+    from ledgerlens.sources import xml
+
+    real, calls = xml.parse, []
+    monkeypatch.setattr(xml, "parse", lambda *a: calls.append(a) or real(*a))
+    reader = xml.Reader()
+    rows = lambda doc: [tuple(r) for r in zip(*(lambda c: (*c[0], c[1]))(reader.columns(doc)), strict=True)]
+    made = lambda i: f'<?xml version="1.0"?>\n<o id="{i}">\n<i n="">{i}</i><i n="x{i}"> {i} </i><n:e xmlns:n="u{i}"/></o>'.encode()
+    for i in range(50):
+        assert rows(made(i)) == real(made(i))
+    assert len(calls) == 1
+    odd = ["<a> </a>", "<a>x</a>", "<a>x &lt; y</a>", "<a>x<!-- k=\"v\" -->y</a>", "<a k='b=\"c\"'>1</a>", "<a k='b=\"it's\"'>1</a>", '<a k="v=" l="w">2</a>', '<a>p="q"</a>', '<a>p="q" &amp;</a>', "<a><![CDATA[x]]>y</a>", "<a>x<b/>y</a>", '<a k="1" k="2"/>', "<a>", "", '<a k="\t"/>']
+    for doc in [*odd, *odd]:
+        for content in (doc.encode(), doc.encode("utf-16")):
+            try:
+                want = real(content)
+            except xml.Refused as error:
+                want = str(error)
+            try:
+                got = rows(content)
+            except xml.Refused as error:
+                got = str(error)
+            assert got == want, doc
