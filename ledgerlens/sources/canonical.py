@@ -82,13 +82,27 @@ def table_records(tables: DataFrame) -> DataFrame:
     return rows.select(F.lit("estimate_row").alias("entity"), F.map_concat("fields", own).alias("fields"), F.lit("reliable").alias("reliability"), *[c.alias(n) for n, c in named.items()])
 
 
-def sheet_headers(cells: DataFrame) -> DataFrame:
-    """(path, sheet, header, map) of rows with three different header texts or more, an anchor among them: first column of each field."""
-    field = text.lookup(text.SHEET_HEADERS, text.sheet_header(F.col("value")))
-    named = cells.where("formula IS NULL AND value IS NOT NULL").select("path", "sheet", "row", "col", field.alias("field")).where("field IS NOT NULL")
-    first = named.groupBy("path", "sheet", "row", "field").agg(F.min("col").alias("col"))
-    per = first.groupBy("path", "sheet", F.col("row").alias("header")).agg(F.collect_list(F.struct("field", "col")).alias("map"))
-    return per.where((F.size("map") >= 3) & F.exists("map", lambda m: m["field"].isin(ANCHORS)))
+def _first_columns(named: Column) -> Column:
+    """(field, col) of an array of (field, col): the first column of each field."""
+    first = lambda f: F.array_min(F.transform(F.filter(named, lambda x: x["field"] == f), lambda x: x["col"]))
+    return F.transform(F.array_distinct(F.transform(named, lambda x: x["field"])), lambda f: F.struct(f.alias("field"), first(f).alias("col")))
+
+
+def sheet_lines(cells: DataFrame) -> DataFrame:
+    """(path, sheet, row, cells, map) of occupied rows, a sheet's in one partition; map has the first column of each field where the row is a header.
+
+    A header has three different header texts or more, an anchor among them. Header texts have letters, so rows
+    with fewer than three such texts aren't looked up.
+    """
+    said = F.col("value").isNotNull() & F.col("formula").isNull()
+    # dealt by sheet once: rows, windows and joins by sheet need no other shuffle
+    dealt = cells.where("path IS NOT NULL AND sheet IS NOT NULL AND row IS NOT NULL AND (value IS NOT NULL OR formula IS NOT NULL)").repartition("path", "sheet")
+    rows = dealt.groupBy("path", "sheet", "row").agg(F.collect_list(F.struct("col", "ref", "value", "formula")).alias("cells"), F.count_if(said & F.col("value").rlike(r"[\p{L}№]")).alias("lettered"))
+    field = lambda c: text.lookup(text.SHEET_HEADERS, text.sheet_header(c["value"]))
+    named = F.transform(F.filter("cells", lambda c: c["value"].isNotNull() & c["formula"].isNull()), lambda c: F.struct(field(c).alias("field"), c["col"].alias("col")))
+    rows = rows.withColumn("map", F.when(F.col("lettered") >= 3, F.filter(named, lambda x: x["field"].isNotNull())))
+    fit = (F.size("map") >= 3) & F.exists("map", lambda m: m["field"].isin(ANCHORS))
+    return rows.withColumn("map", _first_columns(F.col("map"))).select("path", "sheet", "row", "cells", F.when(fit, F.col("map")).alias("map"))
 
 
 def sheet_rows(cells: DataFrame, declared: DataFrame | None = None) -> DataFrame:
@@ -98,25 +112,28 @@ def sheet_rows(cells: DataFrame, declared: DataFrame | None = None) -> DataFrame
     where the headers are. declared (path, sheet, first, last) are tables that the workbook names: from their
     header in row `first` they go on to row `last`, blank rows left out. A sheet is bounded by the reader.
     """
-    heads = sheet_headers(cells)
-    occupied = cells.where("value IS NOT NULL OR formula IS NOT NULL").select("path", "sheet", "row").distinct()
-    marks = heads.select("path", "sheet", F.col("header").alias("row"), F.lit(True).alias("head"))
+    occupied = sheet_lines(cells)
     w = W.partitionBy("path", "sheet").orderBy("row")
-    lines = occupied.join(marks, ["path", "sheet", "row"], "left").withColumn("rank", F.row_number().over(w))
-    under = F.last(F.when(F.col("head"), F.struct(F.col("row").alias("header"), "rank")), ignorenulls=True).over(w)
-    body = lines.withColumn("under", under).where("head IS NULL AND row - under.header = rank - under.rank").select("path", "sheet", "row", F.col("under.header").alias("header"), F.lit(False).alias("named"))
+    lines = occupied.withColumn("rank", F.row_number().over(w))
+    under = F.last(F.when(F.col("map").isNotNull(), F.struct(F.col("row").alias("header"), "rank", "map")), ignorenulls=True).over(w)
+    body = lines.withColumn("under", under).where("map IS NULL AND row - under.header = rank - under.rank").select("path", "sheet", "row", "cells", F.col("under.header").alias("header"), F.col("under.map").alias("map"), F.lit(False).alias("named"))
     if declared is not None:
-        tables = declared.select("path", "sheet", F.col("first").alias("header"), "last").join(heads.select("path", "sheet", "header"), ["path", "sheet", "header"])
+        heads = occupied.where("map IS NOT NULL").select("path", "sheet", F.col("row").alias("header"), "map")
+        tables = declared.select("path", "sheet", F.col("first").alias("header"), "last").join(heads, ["path", "sheet", "header"])
         body = body.join(tables.select("path", "sheet", "header"), ["path", "sheet", "header"], "left_anti")
-        inside = occupied.join(tables, ["path", "sheet"]).where("row > header AND row <= last")
-        body = body.unionByName(inside.select("path", "sheet", "row", "header", F.lit(True).alias("named")))
-    wanted = body.join(heads, ["path", "sheet", "header"]).select("path", "sheet", "header", "row", "named", F.explode("map").alias("m")).select("path", "sheet", "header", "row", "named", "m.field", "m.col")
-    found = wanted.join(cells.select("path", "sheet", "row", "col", "ref", "value", "formula"), ["path", "sheet", "row", "col"], "left")
-    ref = F.coalesce("ref", F.concat(coords.column_letters(F.col("col").cast("long")), F.col("row").cast("string")))
-    per = found.groupBy("path", "sheet", "header", "row", "named").agg(
-        F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"), F.collect_list(ref).alias("refs"),
-        F.map_from_entries(F.collect_list(F.struct(coords.column_letters(F.col("col").cast("long")), text.lookup({"amount": "declared_total"} | {f: f for f in ("quantity", "unit_price", "index", "coefficient")}, F.col("field"))))).alias("letters"),
-        F.max(F.when(F.col("field") == "amount", F.col("formula"))).alias("formula"), F.max(F.when(F.col("field") == "amount", ref)).alias("amount_ref"), F.bool_or(F.coalesce(F.col("value") != "", F.lit(False))).alias("filled"),
+        inside = occupied.drop("map").join(tables, ["path", "sheet"]).where("row > header AND row <= last")
+        body = body.unionByName(inside.select("path", "sheet", "row", "cells", "header", "map", F.lit(True).alias("named")))
+    letters = lambda m: coords.column_letters(m["col"].cast("long"))
+    at = lambda m: F.filter("cells", lambda c: c["col"] == m["col"])
+    one = lambda m, c: F.struct(m["field"].alias("field"), m["col"].alias("col"), F.coalesce(c["ref"], F.concat(letters(m), F.col("row").cast("string"))).alias("ref"), c["value"].alias("value"), c["formula"].alias("formula"))
+    none = F.array(F.lit(None).cast(dict(occupied.dtypes)["cells"].removeprefix("array<")[:-1]))
+    found = body.withColumn("found", F.flatten(F.transform("map", lambda m: F.transform(F.when(F.size(at(m)) > 0, at(m)).otherwise(none), lambda c: one(m, c)))))
+    amounts = F.filter("found", lambda f: f["field"] == "amount")
+    operand = lambda f: text.lookup({"amount": "declared_total"} | {n: n for n in ("quantity", "unit_price", "index", "coefficient")}, f["field"])
+    per = found.select(
+        "path", "sheet", "header", "row", "named", F.map_from_entries(F.transform("found", lambda f: F.struct(f["field"], f["value"]))).alias("fields"), F.col("found")["ref"].alias("refs"),
+        F.array_max(F.transform(amounts, lambda f: f["formula"])).alias("formula"), F.array_max(F.transform(amounts, lambda f: f["ref"])).alias("amount_ref"),
+        F.exists("found", lambda f: F.coalesce(f["value"] != "", F.lit(False))).alias("filled"), F.map_from_entries(F.transform("found", lambda f: F.struct(letters(f), operand(f)))).alias("letters"),
     )
     blank = F.min(F.when(~F.col("filled") & ~F.col("named"), F.col("row"))).over(W.partitionBy("path", "sheet", "header"))
     kept = per.withColumn("blank", blank).where("filled AND (named OR blank IS NULL OR row < blank)")

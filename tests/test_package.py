@@ -43,6 +43,20 @@ def test_tables_of_a_sheet(spark):
     assert sorted(r.row for r in canonical.sheet_rows(cells, declared).collect() if r.header == 3) == [4, 5, 7, 9, 10, 11, 12, 14]
 
 
+def below_shuffles(df):
+    """What the first plan has below each shuffle."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].split("Exchange hashpartitioning(")[1:]
+
+
+def test_sheets_are_dealt_once(spark):
+    kind = "path string, sheet string, ref string, row int, col int, kind string, value string, formula string"
+    head = [("b", "S", None, 1, c, "text", v, None) for c, v in ((2, " Наименование: "), (3, "Qty"), (5, "Quantity"), (4, "Сумма"), (6, "12"))]
+    body = [("b", "S", "B2", 2, 2, "text", "x", None), ("b", "S", "E2", 2, 5, "text", "not", None), ("b", "S", "D2", 2, 4, "number", None, "=C2"), ("b", None, "B3", 3, 2, "text", "lost", None), ("b", "S", None, 3, 3, "number", "3", None)]
+    got = canonical.sheet_rows(spark.createDataFrame(head + body, kind))
+    assert {(r.row, r.fields["name"], r.fields["quantity"], r.fields["amount"], tuple(sorted(r.refs))) for r in got.collect()} == {(2, "x", None, None, ("B2", "C2", "D2")), (3, None, "3", None, ("B3", "C3", "D3"))}
+    assert len(below_shuffles(got)) == 1
+
+
 def test_structure_of_a_workbook(spark):
     table = '<Relationships xmlns="x"><Relationship Id="t1" Type="http://x/table" Target="../tables/table1.xml"/></Relationships>'
     calc = '<definedNames><definedName name="Rate" localSheetId="0">LSR!$A$1</definedName></definedNames><calcPr calcMode="manual"/>'
