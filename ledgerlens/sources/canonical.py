@@ -189,14 +189,19 @@ def page_table_rows(cells: DataFrame) -> DataFrame:
 
     A table needs three headers of different fields or more, with an anchor, and boxes for all mapped cells of a row.
     """
-    field = text.lookup(text.RECORD_HEADERS, text.collapsed(F.col("text")))
     key = ["source_path", "page", "table"]
-    heads = cells.where("row = 0").select(*key, "col", field.alias("field")).where("field IS NOT NULL").groupBy(*key, "field").agg(F.min("col").alias("col"))
-    fit = heads.groupBy(*key).agg(F.count("*").alias("n"), F.bool_or(F.col("field").isin("quantity", "unit_price", "declared_total")).alias("anchored")).where("n >= 3 AND anchored")
     boxed = (F.col("x1") > F.col("x0")) & (F.col("bottom") > F.col("top")) & (F.col("x0") >= 0) & (F.col("top") >= 0)
-    found = cells.where("row > 0").join(heads.join(fit.select(*key, "n"), key), [*key, "col"])
-    per = found.groupBy(*key, "row").agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("fields"), F.count_if(boxed).alias("boxes"), F.max("n").alias("n")).where("boxes = n")
-    per = per.where(F.exists(F.map_keys("fields"), lambda k: k.isin("quantity", "unit_price", "declared_total")))
+    # dealt by table before anything is counted, into a fixed number of parts: a task that reads many cells, or many parts at once, would hold them all
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.where("source_path IS NOT NULL AND page IS NOT NULL AND `table` IS NOT NULL AND row >= 0").repartition(parts, *key)
+    rows = dealt.groupBy(*key, "row").agg(F.collect_list(F.struct("col", "text", F.coalesce(boxed, F.lit(False)).alias("boxed"))).alias("cells"))
+    field = lambda c: text.lookup(text.RECORD_HEADERS, text.collapsed(c["text"]))
+    named = F.when(F.col("row") == 0, F.filter(F.transform("cells", lambda c: F.struct(field(c).alias("field"), c["col"].alias("col"))), lambda x: x["field"].isNotNull()))
+    rows = rows.withColumn("map", F.first(_first_columns(named), ignorenulls=True).over(W.partitionBy(*key).orderBy("row")))
+    fit = (F.size("map") >= 3) & F.exists("map", lambda m: m["field"].isin("quantity", "unit_price", "declared_total"))
+    found = F.flatten(F.transform("map", lambda m: F.transform(F.filter("cells", lambda c: c["col"] == m["col"]), lambda c: F.struct(m["field"].alias("field"), c["text"].alias("text"), c["boxed"].alias("boxed")))))
+    per = rows.where("row > 0").where(fit).withColumn("found", found).where(F.size(F.filter("found", lambda f: f["boxed"])) == F.size("map"))
+    per = per.select(*key, "row", F.map_from_entries(F.transform("found", lambda f: F.struct(f["field"], f["text"]))).alias("fields"))
     name = F.concat(F.lit("page:"), "page", F.lit(":table:"), "table", F.lit(":row:"), "row")
     own = F.create_map(F.lit("row_id"), F.concat_ws(":", "source_path", name), F.lit("estimate_id"), F.concat("source_path", F.lit(":estimate")))
     place = evidence({"page": F.col("page")}, F.col("source_path"), name)

@@ -57,6 +57,16 @@ def test_sheets_are_dealt_once(spark):
     assert len(below_shuffles(got)) == 1
 
 
+def test_page_tables_are_dealt_before_they_are_counted(spark):
+    kind = "source_path string, page int, table int, row int, col int, text string, x0 double, top double, x1 double, bottom double"
+    lines = [["name", "quantity", "Total", "total"], ["a", "1", "2", "3"], ["b", "1", None, "4"]]
+    cells = [(p, 1, t, r, c, x, 0.0, 0.0, 1.0, 1.0) for p, t in (("p", 1), ("p", 2), (None, 1)) for r, line in enumerate(lines) for c, x in enumerate(line) if (t, r, c) != (2, 2, 1)]
+    got = canonical.page_table_rows(spark.createDataFrame(cells, kind))
+    assert {(r.fields["row_id"], r.fields["declared_total"]) for r in got.collect()} == {("p:page:1:table:1:row:1", "2"), ("p:page:1:table:1:row:2", None), ("p:page:1:table:2:row:1", "2")}
+    below = below_shuffles(got)
+    assert len(below) == 1 and "Aggregate" not in below[0]
+
+
 def test_structure_of_a_workbook(spark):
     table = '<Relationships xmlns="x"><Relationship Id="t1" Type="http://x/table" Target="../tables/table1.xml"/></Relationships>'
     calc = '<definedNames><definedName name="Rate" localSheetId="0">LSR!$A$1</definedName></definedNames><calcPr calcMode="manual"/>'
