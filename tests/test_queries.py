@@ -65,3 +65,16 @@ def test_page_budget_against_a_loop(spark):
         want[p.conv_id] = (n + fits, used + p["size"] * fits, seen + 1)
     got = {r.conv_id: (r.accepted, r.used, r.n) for r in catalogue.QUERIES["page_budget_nonmonotone"](spark, SF).collect()}
     assert got == want
+
+
+def test_formulas_of_one_kind_are_compiled_once(monkeypatch):
+    import decimal
+
+    from ledgerlens.operators import formulas
+
+    real, calls = formulas.scan, []
+    monkeypatch.setattr(formulas, "scan", lambda f: calls.append(f) or real(f))
+    for i in range(20):
+        own = formulas.Evaluator({f"B{n}": decimal.Decimal(n + i) for n in (7, 8, 9)}, {"C91": "=SUM(B7:$B$9)*91"})
+        assert own.cell("C91") == (24 + 3 * i) * 91
+    assert calls == ["=SUM(B7:$B$9)*91"]
