@@ -94,8 +94,8 @@ def parse(content: bytes, kinds: Collection[str] = KINDS) -> list[tuple]:
 _VALUE = re.compile("((?<=>)[^<&>\x00-\x1f\ufffe-\U0010ffff]+(?=<)|(?<==\")[^\"<&\x00-\x1f\ufffe-\U0010ffff]*(?=\"))")
 _PROLOG = re.compile(r"""\ufeff?<\?xml version="1\.0"(?: encoding="(?:UTF-8|utf-8)")?(?: standalone="(?:yes|no)")?\s*\?>""")
 _MARK = "\ue000"
-#: Layouts a worker keeps.
-LAYOUTS = 2048
+#: Layouts a worker keeps, and the size of documents up to which they are; others are parsed.
+LAYOUTS, LAYOUT_BYTES = 2048, 16 << 10
 
 
 def _layout(head: str, parts: list[str], kinds: Collection[str]) -> tuple | None:
@@ -131,7 +131,7 @@ class Reader:
 
     def columns(self, content: bytes) -> tuple[list[list], list]:
         """(kind, xpath, owner, local_name, line) and raw_value, as parse has them."""
-        if len(content) <= MAX_TEXT:
+        if len(content) <= LAYOUT_BYTES:
             try:
                 text = content.decode()
             except UnicodeDecodeError:
@@ -142,9 +142,9 @@ class Reader:
             if key in self.layouts:
                 known = self.layouts[key]
             else:
-                known = _layout(head, parts, self.kinds)
+                known = None
                 if len(self.layouts) < LAYOUTS:
-                    self.layouts[key] = known
+                    known = self.layouts[key] = _layout(head, parts, self.kinds)
             if known:
                 fixed, places, texts = known
                 parts.append(None)  # at -1, for rows without a value
